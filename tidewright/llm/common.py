@@ -52,7 +52,7 @@ def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512,
     return run
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 4096) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int, share: int = 4096) -> DataFrame:
     """Inner join of rows with table (one row a key; weight: how many rows have the key), safe against hot keys.
 
     Keys that hold more than 1/share of all rows number less than share, so they are broadcast: that bound is proven,
@@ -60,8 +60,9 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     """
     least = total // share + 1
     hot, cold = table.filter(F.col(weight) >= least), table.filter(F.col(weight) < least)
-    by_hot = rows.join(F.broadcast(hot), key)
-    by_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    keys = [key] if isinstance(key, str) else key
+    by_hot = rows.join(F.broadcast(hot), keys)
+    by_cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return by_hot.unionByName(by_cold)
 
 

@@ -188,3 +188,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = body.join(best, "body").withColumn("text_sha256", F.sha2(F.col("body").cast("binary"), 256))
         found = found.unionByName(rest.select(found.columns))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps; of rows alike in every column one stays. Rows
+    that share a doc_id that is kept, but not its text, all stay."""
+    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
+    ids = stays.distinct()
+    rows = docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi")
+    again = stays.groupBy("_kept_id").count().filter("count > 1").select("_kept_id")
+    if again.isEmpty():
+        return rows
+    return rows.join(again, docs[id_col].eqNullSafe(again["_kept_id"]), "left_anti").unionByName(rows.join(again, docs[id_col].eqNullSafe(again["_kept_id"]), "left_semi").dropDuplicates())

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, media_avi, quality_mil, simhash, toxicity_pu
+from . import exact_dedup, html_text, media_avi, packing, quality_mil, simhash, substrings, toxicity_pu
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_mil.score(docs, quality_mil.train(docs, _table(spark, sf_dir, "labels")))
@@ -26,6 +30,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -40,7 +48,7 @@ def op10_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_attention_mil, op3_simhash_near_dedup, op4_exact_dedup, op7_html_extraction, op9_toxicity_pu, op10_media_avi)
+    f.__name__: f for f in (op1_best_fit_packing, op2_quality_attention_mil, op3_simhash_near_dedup, op4_exact_dedup, op5_substring_dedup, op7_html_extraction, op9_toxicity_pu, op10_media_avi)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -251,3 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = saved(of_node.select("fp", "n", "root").join(classes, "root").select("fp", "n", "component_id"), "classes")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return lookup(prints, table, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, that have the least doc_id of their near-duplicate component."""
+    first = near_duplicates(docs, id_col, text_col, width, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first_id")).distinct()
+    return docs.join(first, docs[id_col].eqNullSafe(first["_first_id"]), "left_semi")

@@ -131,3 +131,13 @@ def score(docs: DataFrame, model: PositiveUnlabelled, threshold: float = 0.7, pa
 
     out = texts(docs, id_col, text_col).mapInArrow(by_slices(work, rows=256, most_bytes=4 << 20), "doc_id long, score double, predicted int")
     return out.select("doc_id", fold("doc_id", parts, held).alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, model: PositiveUnlabelled, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under threshold. Null text counts as empty."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bodies = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        return batch.filter(pa.array([model.score(t or "") < threshold for t in bodies], pa.bool_()))
+
+    return docs.mapInArrow(by_slices(work, rows=256, most_bytes=4 << 20), docs.schema)
