@@ -52,6 +52,14 @@ def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512,
     return run
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int, share: int = 4096) -> DataFrame:
     """Inner join of rows with table (one row a key; weight: how many rows have the key), safe against hot keys.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, media_avi, packing, quality_mil, simhash, substrings, toxicity_pu
+from . import exact_dedup, html_text, media_avi, packing, pieces, quality_mil, simhash, substrings, token_counts, toxicity_pu
+from .common import scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents: estimates from their lengths are committed first, and again, to no effect; the counts of
+    their tokens then revise them."""
+    docs = _table(spark, sf_dir, "documents")
+    estimate = F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 4)
+    load = docs.select("source", "lang", F.lit("byte_bpe_50k").alias("version"), estimate.alias("tokens"))
+    exact = token_counts.counted(docs).withColumn("estimate", F.ceil(F.col("chars") / 4))
+    store = token_counts.Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    store.commit("load", token_counts.as_inserts(load))
+    store.commit("load", token_counts.as_inserts(load))
+    store.commit("tokens", token_counts.as_revisions(exact, "estimate"))
+    return store.totals()
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -48,7 +69,7 @@ def op10_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_quality_attention_mil, op3_simhash_near_dedup, op4_exact_dedup, op5_substring_dedup, op7_html_extraction, op9_toxicity_pu, op10_media_avi)
+    f.__name__: f for f in (op1_best_fit_packing, op2_quality_attention_mil, op3_simhash_near_dedup, op4_exact_dedup, op5_substring_dedup, op6_token_rollup, op7_html_extraction, op8_sentencepiece, op9_toxicity_pu, op10_media_avi)
 }
 
 ORACLE_SQL: dict[str, str] = {

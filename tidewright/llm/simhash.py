@@ -63,7 +63,7 @@ def grouped_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     """Bits in m partitions of like size: each is seeded with the free bit of most correlation and takes those most
     correlated with it."""
     bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(float)
-    bits -= bits.mean(0)
+    bits -= bits.mean(0) if len(bits) else 0.5
     norm = np.sqrt((bits**2).sum(0))
     like = np.abs(bits.T @ bits) / np.maximum(np.outer(norm, norm), 1e-9)
     free, out = list(range(BITS)), []
@@ -104,7 +104,8 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
 
 def plan_partitions(sample: np.ndarray, total: int, radius: int = 3) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of least estimated cost for `total` distinct fingerprints; those left out are not listed."""
-    n = max(1, len(sample))
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
+    n = len(sample)
     options = []
     for m in range(2, radius + 2):
         parts, costs = grouped_bits(sample, m), []
