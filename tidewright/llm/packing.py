@@ -113,26 +113,28 @@ def _times(need: Counter, free: np.ndarray) -> int:
     return min(int(free[n]) // k for n, k in need.items())
 
 
-def complement(gap: int, top: int, free: np.ndarray) -> tuple[int, ...] | None:
+def complement(gap: int, top: int, free: np.ndarray, slack: int) -> tuple[int, ...] | None:
     """One, two or three available lengths of at most `top` that add up to gap, larger ones first; the caller has taken
-    the piece that leaves the gap off the counts."""
+    the piece that leaves the gap off the counts. Of two or three, all but the last come within `slack` of the longest
+    length that would fit: fillings of small lengths alone would leave the middling ones without partners. A slack below
+    zero leaves single complements alone."""
     if gap <= top and free[gap] > 0:
         return (gap,)
 
+    def first(g: int, most: int) -> np.ndarray:
+        """Lengths that may come next in a gap of g, longest first."""
+        found = np.flatnonzero(free[: min(most, g - 1) + 1])[::-1]
+        return found[found >= found[0] - slack] if len(found) else found
+
     def pair(g: int, most: int) -> tuple[int, int] | None:
-        b = np.arange(min(most, g - 1), (g - 1) // 2, -1)
-        if len(b):
-            ok = (free[b] > 0) & (free[g - b] > np.where(b == g - b, 1, 0)) & (g - b <= most)
-            if ok.any():
-                x = int(b[np.argmax(ok)])
-                return x, g - x
-        return None
+        b = first(g, most)
+        c = g - b
+        ok = (c <= b) & (free[c] > (b == c))
+        return (int(b[k := int(np.argmax(ok))]), int(c[k])) if ok.any() else None
 
     if found := pair(gap, top):
         return found
-    for b in np.flatnonzero(free[: min(top, gap - 2) + 1])[::-1].tolist():
-        if 3 * b < gap:
-            break
+    for b in first(gap - 1, top).tolist():
         free[b] -= 1
         found = pair(gap - b, b)
         free[b] += 1
@@ -141,17 +143,19 @@ def complement(gap: int, top: int, free: np.ndarray) -> tuple[int, ...] | None:
     return None
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """counts[n] pieces of length n -> [(((length, repeats), ...), sequences)]."""
-    free = counts.astype(np.int64).copy()
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
+Patterns = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def exact_fillings(free: np.ndarray, capacity: int, slack: int) -> Patterns:
+    """Sequences filled without rest, longest lengths first; takes their pieces off free."""
+    out: Patterns = []
     if free[capacity]:
         out.append((((capacity, 1),), int(free[capacity])))
         free[capacity] = 0
     for a in range(capacity - 1, 0, -1):
         while free[a] > 0:
             free[a] -= 1
-            rest = complement(capacity - a, a, free)
+            rest = complement(capacity - a, a, free, slack)
             free[a] += 1
             if rest is None:
                 break
@@ -160,7 +164,12 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple
             for n, k in need.items():
                 free[n] -= k * times
             out.append((tuple(sorted(need.items(), reverse=True)), times))
-    open_bins: dict[int, list[list]] = {}
+    return out
+
+
+def best_fit(free: np.ndarray, capacity: int) -> Patterns:
+    """Best fit of all pieces in free, longest first, by lengths: bins with like contents are one entry."""
+    bins: dict[int, list[list]] = {}
     gaps = np.zeros(capacity + 1, bool)
     for n in range(capacity, 0, -1):
         left = int(free[n])
@@ -170,26 +179,37 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple
                 each = capacity // n
                 for k, m in ((each, left // each), (left % each, 1)):
                     if k and m:
-                        open_bins.setdefault(capacity - k * n, []).append([((n, k),), m])
+                        bins.setdefault(capacity - k * n, []).append([((n, k),), m])
                         gaps[capacity - k * n] = True
                 break
             g = n + int(fits[0])
-            last = open_bins[g][-1]
-            each = min(g // n, -(-left // last[1]))  # as many into each of these as best fit would put there in the end
+            last = bins[g][-1]
+            each = min(g // n, -(-left // last[1]))
             m = min(last[1], left // each)
             last[1] -= m
             if not last[1]:
-                open_bins[g].pop()
-            if not open_bins[g]:
-                del open_bins[g]
+                bins[g].pop()
+            if not bins[g]:
+                del bins[g]
                 gaps[g] = False
-            open_bins.setdefault(g - each * n, []).append([(*last[0], (n, each)), m])
+            bins.setdefault(g - each * n, []).append([(*last[0], (n, each)), m])
             gaps[g - each * n] = True
             left -= m * each
-    return out + [(tuple(p), m) for bins in open_bins.values() for p, m in bins]
+    return [(tuple(p), m) for entries in bins.values() for p, m in entries]
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, slacks: tuple[int, ...] = (-1, 0, 4, CAPACITY)) -> Patterns:
+    """counts[n] pieces of length n -> [(((length, repeats), ...), sequences)]. Of some slacks the one that gives the
+    fewest sequences is taken; they are tried on the histogram alone."""
+    found = []
+    for slack in slacks:
+        free = counts.astype(np.int64).copy()
+        out = exact_fillings(free, capacity, slack)
+        found.append(out + best_fit(free, capacity))
+    return min(found, key=lambda p: sum(m for _, m in p))
 
 
-def slots(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
+def slots(patterns: Patterns) -> np.ndarray:
     """Rows (length, first rank, repeats, first sequence, offset) in order of length and rank."""
     used: Counter[int] = Counter()
     rows, base = [], 0
