@@ -75,7 +75,7 @@ def new_visitor_fix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unique_visitor_daily(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf).filter("k % 3 = 0")
+    e = _events(spark, sf).filter("event_type = 'view'")
     return stateful.first_of_day(e, ["user_id"], "day", ["ts", "event_id"]).select("event_id", "user_id", "day")
 
 
@@ -183,8 +183,8 @@ def keyword_lateral(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly_dense24(spark: SparkSession, sf: str) -> DataFrame:
-    """Visitors of each hour of one day, zeros included."""
-    e = stateful.flag_first(_events(spark, sf).filter("k < 30").withColumn("is_new", (F.col("k") % 2).cast("string")), ["user_id", "day"], ["ts", "event_id"], "uv")
+    """Sign-ups of each hour of one day, zeros included."""
+    e = stateful.flag_first(_events(spark, sf).filter("event_type = 'signup'").withColumn("is_new", (F.col("k") % 2).cast("string")), ["user_id", "day"], ["ts", "event_id"], "uv")
     out = tumbling(e, "ts", ["is_new"], [total("uv", "uv_count"), F.count("*").alias("page_view_count")], HOUR)
     return serving.visitors_per_hour(out, 20240105)
 
@@ -256,7 +256,7 @@ ORACLE_SQL: dict[str, str] = {
     "new_visitor_fix": f"""
         WITH e AS ({E}), f AS (SELECT *, first_value(k % 2) OVER w AS first_new, first_value(day) OVER w AS first_day FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT event_id, CASE WHEN k % 2 = 1 AND first_new = 1 AND day = first_day THEN '1' ELSE '0' END AS is_new FROM f""",
-    "unique_visitor_daily": f"WITH e AS ({E}) SELECT event_id, user_id, day FROM e WHERE k % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) = 1",
+    "unique_visitor_daily": f"WITH e AS ({E}) SELECT event_id, user_id, day FROM e WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) = 1",
     "page_uv_window": f"""
         WITH e AS ({E}), f AS (SELECT date_trunc('hour', ts) AS w, event_type FROM e WHERE event_type IN ('view', 'click', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY ts, event_id) = 1)
         SELECT {HOURS}, count(*) FILTER (event_type = 'view') AS home_uv_count, count(*) FILTER (event_type = 'click') AS list_uv_count, count(*) FILTER (event_type = 'purchase') AS detail_uv_count FROM f GROUP BY w""",
@@ -304,7 +304,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH w AS (SELECT role, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[㐀-䶿一-鿿]'))) AS keyword FROM conversations)
         SELECT role, keyword, count(*) AS keyword_count FROM w GROUP BY 1, 2""",
     "hourly_dense24": f"""
-        WITH e AS ({E}), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) = 1 AS one FROM e WHERE k < 30),
+        WITH e AS ({E}), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) = 1 AS one FROM e WHERE event_type = 'signup'),
              g AS (SELECT CAST(hour(ts) AS INTEGER) AS hr, count(*) FILTER (one) AS uv_count, count(*) AS page_view_count, count(DISTINCT CASE WHEN k % 2 = 1 THEN 1 END) AS new_uv_count FROM f WHERE day = '2024-01-05' GROUP BY 1)
         SELECT CAST(h AS INTEGER) AS hr, coalesce(uv_count, 0) AS uv_count, coalesce(page_view_count, 0) AS page_view_count, coalesce(new_uv_count, 0) AS new_uv_count FROM range(24) AS t(h) LEFT JOIN g ON hr = h""",
     "ratio_per_source": f"""

@@ -15,9 +15,10 @@ from pyspark.sql.types import StructType
 from ..operators import dims, parse
 
 
-def to_topic(df: DataFrame, servers: str, name: str | None, checkpoint: str) -> StreamingQuery:
-    """A stream as JSON texts to a Kafka topic; without a name, to the topic in each row's sink_table."""
-    out = parse.as_json(df) if name else df.select(F.col("sink_table").alias("topic"), F.to_json("data").alias("value"))
+def to_topic(df: DataFrame, servers: str, name: str | None, checkpoint: str, serialise: Callable[[DataFrame], DataFrame] = parse.as_json) -> StreamingQuery:
+    """A stream as texts (JSON unless another serialiser is given) to a Kafka topic; without a name, to the topic in each
+    row's sink_table."""
+    out = serialise(df) if name else df.select(F.col("sink_table").alias("topic"), F.to_json("data").alias("value"))
     writer = out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint)
     return (writer.option("topic", name) if name else writer).start()
 
