@@ -13,6 +13,7 @@ automaton: each of its windows occurs as often as it does. Shards beyond a bound
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -22,68 +23,94 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, lookup, saved, texts
+from .common import by_slices, fresh, lookup, saved, texts
 
 GRAM = 8
 
 
 class SuffixAutomaton:
-    """Of several word sequences, each with a weight: how often it stands in the corpus."""
+    """Of several word sequences, each with a weight: how often it stands in the corpus.
+
+    Most states have one transition, which stands in two arrays; only those with more have a table. A million words take
+    some fifty megabytes."""
 
     def __init__(self) -> None:
-        self.next: list[dict] = [{}]
-        self.link, self.length, self.count = [-1], [0], [0]
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length, self.count = array("i", [-1]), array("i", [0]), array("q", [0])
+        self.ids: dict = {}
+
+    def _get(self, state: int, c: int) -> int:
+        """The target of a transition, -1 if there is none."""
+        if state in self.more:
+            return self.more[state].get(c, -1)
+        return self.to[state] if self.word[state] == c else -1
+
+    def _set(self, state: int, c: int, target: int) -> None:
+        if state in self.more:
+            self.more[state][c] = target
+        elif self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, target
+        else:
+            self.more[state] = {self.word[state]: self.to[state], c: target}
 
-    def _state(self, length: int, move: dict, link: int) -> int:
-        self.next.append(move)
+    def _state(self, length: int, link: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
         self.length.append(length)
         self.link.append(link)
         self.count.append(0)
         return len(self.link) - 1
 
-    def _split(self, p: int, q: int, c) -> int:
+    def _split(self, p: int, q: int, c: int) -> int:
         """A copy of q for the shorter sequences that reach it by c from p."""
-        new = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = new
+        new = self._state(self.length[p] + 1, self.link[q])
+        self.word[new], self.to[new] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
+        while p >= 0 and self._get(p, c) == q:
+            self._set(p, c, new)
             p = self.link[p]
         self.link[q] = new
         return new
 
     def add(self, words: list, weight: int = 1) -> None:
-        move, link, length = self.next, self.link, self.length
+        link, length, ids = self.link, self.length, self.ids
         last = 0
-        for c in words:
-            q = move[last].get(c)
-            if q is not None:  # known from another sequence
+        for w in words:
+            c = ids.setdefault(w, len(ids))
+            q = self._get(last, c)
+            if q >= 0:  # known from another sequence
                 last = q if length[q] == length[last] + 1 else self._split(last, q, c)
             else:
-                new, p = self._state(length[last] + 1, {}, 0), last
-                while p >= 0 and c not in move[p]:
-                    move[p][c] = new
+                new, p = self._state(length[last] + 1, 0), last
+                while p >= 0 and (q := self._get(p, c)) < 0:
+                    self._set(p, c, new)
                     p = link[p]
                 if p >= 0:
-                    q = move[p][c]
                     link[new] = q if length[q] == length[p] + 1 else self._split(p, q, c)
                 last = new
             self.count[last] += weight
 
     def finish(self) -> SuffixAutomaton:
         """Carry the counts of prefixes over to their suffixes."""
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
+        for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[:0:-1].tolist():
             self.count[self.link[s]] += self.count[s]
         return self
 
     def occurrences(self, words: list, size: int) -> Iterator[tuple[int, int]]:
         """(start, occurrences) of every window of `size` words that the automaton knows, from matching statistics."""
-        move, link, length = self.next, self.link, self.length
+        link, length, get = self.link, self.length, self._get
         state = matched = 0
-        for at, c in enumerate(words):
-            while state and c not in move[state]:
+        for at, w in enumerate(words):
+            c = self.ids.get(w, -2)
+            target = get(state, c)
+            while state and target < 0:
                 state = link[state]
                 matched = length[state]
-            if c in move[state]:
-                state, matched = move[state][c], matched + 1
+                target = get(state, c)
+            if target >= 0:
+                state, matched = target, matched + 1
             while state and length[link[state]] >= size:
                 state = link[state]
             if matched >= size:
@@ -168,12 +195,11 @@ def shard_matches(size: int):
 
         def close() -> None:
             automaton = SuffixAutomaton()
-            bodies = [body.split(b" ") for _, _, _, body in shard]
-            for (_, _, n, _), words in zip(shard, bodies, strict=True):
-                automaton.add(words, n)
+            for _, _, n, body in shard:
+                automaton.add(body.split(b" "), n)
             automaton.finish()
-            for (key, seg, _, _), words in zip(shard, bodies, strict=True):
-                out.append((key, seg, _ranges([at for at, n in automaton.occurrences(words, size) if n > 1])))
+            for key, seg, _, body in shard:
+                out.append((key, seg, _ranges([at for at, n in automaton.occurrences(body.split(b" "), size) if n > 1])))
 
         def flush() -> pa.RecordBatch:
             k, s, r = zip(*out, strict=True)
@@ -196,7 +222,7 @@ def shard_matches(size: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, size: int = 35, shard_words: int = 150_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000) -> DataFrame:
     """(doc_id, crc, spans): of each document that has any, the repeated windows as ranges of word positions, ends
     included; crc is that of its text and tells rows apart that share a doc_id. docs: (doc_id, text)."""
     runs = saved(docs.mapInArrow(by_slices(_runs(size), rows=128, most_bytes=2 << 20), RUNS), "segments")
@@ -240,7 +266,7 @@ def repeated_spans(docs: DataFrame, size: int = 35, shard_words: int = 150_000)
     return spans.groupBy("doc_id", "crc").agg(F.flatten(F.collect_list(shifted)).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 150_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space), spans (the word
     positions removed, ends included).
 
@@ -296,12 +322,13 @@ def brute_force(bodies: list[str | None], size: int = 35) -> list[tuple[int, int
     return out
 
 
-def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 150_000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of docs, with all their columns: a text that has repeated windows is replaced by the words that stay,
     joined by one space, and its length column follows; all others are left as they are."""
-    spans = repeated_spans(texts(docs, id_col, text_col), size, shard_words).select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("spans").alias("_spans"))
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
-    both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["_id"]) & (crc == spans["_crc"]), "left").drop("_id", "_crc")
+    found = fresh("_spans", docs)
+    spans = repeated_spans(texts(docs, id_col, text_col), size, shard_words)
+    crc = F.crc32(F.coalesce(docs[text_col], F.lit("")))
+    both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["doc_id"]) & (crc == spans["crc"]), "left").select(*(docs[c] for c in docs.columns), spans["spans"].alias(found))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(text: str, found: list[dict]) -> str:
@@ -316,7 +343,7 @@ def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 150_000,
         out = [cut(t, f) if f else t for t, f in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
-    kept = both.select(*docs.columns, "_spans").mapInArrow(by_slices(work, rows=128), docs.schema)
+    kept = both.mapInArrow(by_slices(work, rows=128), docs.schema)
     if length_col not in docs.columns:
         return kept
     return kept.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
