@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
+_SAVED: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +27,7 @@ def scratch_dir(spark: SparkSession) -> str:
         found = current.get() if current.isDefined() else None
     if not found:
         found = tempfile.mkdtemp(prefix="tidewright-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -29,10 +35,19 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it again: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _SAVED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process, once the results that read them have been written."""
+    for path in _SAVED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _SAVED.clear()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null text as empty: what an operator reads of a table, whatever else it holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
