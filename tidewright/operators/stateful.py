@@ -38,13 +38,13 @@ def visitors_and_new(rows: DataFrame, user: str, day: str, order: list[str], uv:
 
     literal: a returning day's rows all count, and none of the first day's after the first."""
     w = Window.partitionBy(user).orderBy(*order)
-    out = rows.withColumn(new, F.when(F.row_number().over(w) == 1, 1).otherwise(0).cast("long")).withColumn(uv, F.lit(1).cast("long"))
-    if literal:
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counts = (F.col(new) == 1) | (F.col(day) > F.first(day).over(whole))
-    else:
-        counts = _first([user, day], order)
-    return out.withColumn("_f", counts).filter("_f").drop("_f")
+    # the first row of all is the first of its day, so days are cut down, before the shuffle, to a row each
+    out = rows if literal else first_of_day(rows, [user], day, order)
+    out = out.withColumn(new, F.when(F.row_number().over(w) == 1, 1).otherwise(0).cast("long")).withColumn(uv, F.lit(1).cast("long"))
+    if not literal:
+        return out
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return out.withColumn("_f", (F.col(new) == 1) | (F.col(day) > F.first(day).over(whole))).filter("_f").drop("_f")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
