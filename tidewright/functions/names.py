@@ -13,7 +13,7 @@ def camel(name: str) -> str:
 
 
 def snake(name: str) -> str:
-    return re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", name).lower()
+    return re.sub(r"(?<!^)([A-Z])", r"_\1", name).lower()
 
 
 def to_snake(df: DataFrame) -> DataFrame:
