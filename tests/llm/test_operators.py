@@ -293,6 +293,8 @@ PAGES = {
     "<article><header><h1>T</h1></header><p>A<br>b &amp; c\n d</p><aside>x</aside><form>f</form><script>var a='</p>'</script><div class='ad-box'>buy</div><p>e</article><footer>f</footer>": "T A b & c d e",
     "<main><p>a <i>b</i>c</p></main><div class=cookie-notice>We use cookies, of course, to make this better. Yes.</div>": "a bc",
     "<ul><li>one, two. three<li>four, five. six</ul>": "one, two. three four, five. six",
+    "<div class='page with-sidebar'><div class='post'><p>Long enough, a text; yes. And more.</p></div><div class='left sidebar'><p>Hot, hot, hot. Read this now, please, all.</p></div></div>": "Long enough, a text; yes. And more.",
+    "<article><div class='article-header'><h1>T</h1></div><p>A, b.</p><section class='userComments'><p>No, never.</p></section></article>": "T A, b.",
     "<table><tr><td>a, b. c<td>d, e. f</table>": "a, b. c d, e. f",
 }
 

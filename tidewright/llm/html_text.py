@@ -29,7 +29,9 @@ BLOCK = set("address article aside blockquote body br caption center dd details
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements, and words of class, id or role, that mark boilerplate.
 DROPPED = set("head nav footer aside form button select menu dialog search label input fieldset".split())
-MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidebars aside rail comment comments comments-list commentlist disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social follow popup modal overlay widget widgets skip pagination pager tags tagcloud copyright complementary contentinfo".split())
+MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidebars aside rail comment comments comments-list commentlist disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social follow popup modal overlay widget widgets skip pagination pager tags tagcloud copyright complementary contentinfo disclaimer warning toast announcement paywall donate feedback reviews".split())
+#: A mark after one of these says what an element has; an article's own head belongs to it.
+NOT_IT, HEADS = {"with", "has", "no", "without", "hide"}, {"header", "masthead", "banner"}
 ARTICLE = {"article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
@@ -41,13 +43,15 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return not in_article
     if tag in ("html", "body", "main", "article") or not attributes:
         return False
-    words: set[str] = set()
     for name, *values in NAMES.findall(attributes):
         value = next((v for v in values if v), "")
         if name.lower() == "role" and value.lower() in ("main", "article"):
             return False
-        words.update(re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return bool(words & MARKS)
+        words = re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        for before, word in zip(["", *words], words, strict=False):
+            if word in MARKS and before not in NOT_IT and not (in_article and word in HEADS):
+                return True
+    return False
 
 
 def text_nodes(page: str) -> list[tuple[str, tuple[int, ...], int, str]]:
