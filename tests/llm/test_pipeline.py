@@ -1,11 +1,13 @@
 """The pipeline's stages on planted cases, and the whole run on the smallest tables."""
 
 import numpy as np
+import pytest
+from check_oracle import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewright.llm import exact_dedup, packing, simhash, substrings, toxicity_pu
-from tidewright.llm.queries import QUERIES
+from tidewright.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +68,8 @@ def test_registered_queries(spark):
     columns = {n: q(spark, SF).columns for n, q in QUERIES.items() if n.startswith(("op4", "op7", "op10"))}
     assert columns["op4_exact_dedup"] == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert QUERIES["op10_media_avi"](spark, SF).filter(F.col("payload_bytes") % 576 != 0).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert compare(spark, name, SF) == ""

@@ -77,4 +77,13 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
              w AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, sha256(body) AS text_sha256 FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w""",
+    "op5_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             h AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, unnest(list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i : i + 34], ' ')))) AS win FROM t WHERE len(ws) >= 35),
+             d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM h),
+             g AS (SELECT DISTINCT doc_id, i + o AS k FROM d, range(35) AS r(o) WHERE n > 1),
+             w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM t),
+             x AS (SELECT w.doc_id, word, w.k, g.k IS NOT NULL AS gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.k = g.k),
+             s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM x GROUP BY 1)
+        SELECT t.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s ON t.doc_id = s.doc_id""",
 }
