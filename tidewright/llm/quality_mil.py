@@ -119,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, parts: int = 5,
     model = GatedAttention(N_FEATURES)
     if not rows:
         return model
-    X, bags = passages([t.encode() for t, _ in rows])
+    # in slices, as the words of all documents at once are far larger than their features
+    parts = [passages([t.encode() for t, _ in rows[at : at + 64]]) for at in range(0, len(rows), 64)]
+    X, bags = (np.concatenate(x) for x in zip(*parts, strict=True))
     return model.fit(X.astype(float), bags, np.array([y for _, y in rows], float))
 
 
