@@ -190,10 +190,8 @@ def _encoder(path: str, keep_ids: bool):
     return by_slices(work, rows=256)
 
 
-def encode_chunks(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk: int = 1 << 18, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a chunk: doc_id, check (crc32 of the text), chunk, chunks, n_pieces, ids_crc32, restored (whether decoding
-    gives the chunk back), and ids if asked. Texts of more than `giant` characters are cut, and their chunks dealt out
-    over all tasks; all others are one chunk and stay where they are read."""
+def _encoded(docs: DataFrame, path: str | None, giant: int, chunk: int, keep_ids: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """encode_chunks in two: the texts that are one chunk, and the chunks of giant ones."""
     where = path or default_model()
     rows = texts(docs, id_col, text_col).withColumn("check", F.crc32("text"))
     one = rows.filter(F.char_length("text") <= giant).select("doc_id", "check", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), "text")
@@ -205,7 +203,15 @@ def encode_chunks(docs: DataFrame, path: str | None = None, giant: int = 1 << 20
 
     many = rows.filter(F.char_length("text") > giant).select("doc_id", "check", "text").mapInArrow(by_slices(cut, rows=1), "doc_id long, check long, chunk int, chunks int, text string")
     kind = ENCODED + (", ids array<int>" if keep_ids else "")
-    return one.mapInArrow(_encoder(where, keep_ids), kind).unionByName(many.repartition("doc_id", "check", "chunk").mapInArrow(_encoder(where, keep_ids), kind))
+    return one.mapInArrow(_encoder(where, keep_ids), kind), many.repartition("doc_id", "check", "chunk").mapInArrow(_encoder(where, keep_ids), kind)
+
+
+def encode_chunks(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk: int = 1 << 18, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a chunk: doc_id, check (crc32 of the text), chunk, chunks, n_pieces, ids_crc32, restored (whether decoding
+    gives the chunk back), and ids if asked. Texts of more than `giant` characters are cut, and their chunks dealt out
+    over all tasks; all others are one chunk and stay where they are read."""
+    one, many = _encoded(docs, path, giant, chunk, keep_ids, id_col, text_col)
+    return one.unionByName(many)
 
 
 def encode(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,8 +219,8 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk
 
     Null and empty texts have no pieces, crc 0, and are restored. Rows that repeat are returned each, but giant texts
     that share doc_id and text come out once. A null doc_id stays null. An empty table gives an empty result."""
-    rows = encode_chunks(docs, path, giant, chunk, False, id_col, text_col)
-    whole = rows.filter("chunks = 1").select("doc_id", "n_pieces", "ids_crc32", "restored")
+    one, many = _encoded(docs, path, giant, chunk, False, id_col, text_col)
+    whole = one.select("doc_id", "n_pieces", "ids_crc32", "restored")
 
     def join(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -226,7 +232,7 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_pieces", "ids_crc32", "restored"])
 
-    parts = rows.filter("chunks > 1").dropDuplicates(["doc_id", "check", "chunk"]).groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(F.struct("chunk", "n_pieces", "ids_crc32", "restored"))).alias("parts"))
+    parts = many.dropDuplicates(["doc_id", "check", "chunk"]).groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(F.struct("chunk", "n_pieces", "ids_crc32", "restored"))).alias("parts"))
     joined = parts.select("doc_id", "parts").mapInArrow(by_slices(join), "doc_id long, n_pieces long, ids_crc32 long, restored boolean")
     return whole.unionByName(joined)
 
