@@ -8,6 +8,7 @@ pi R_p(+) + max(0, R_u(-) - pi R_p(-)). Word beginnings carry over to inflected
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ class PositiveUnlabelled:
 
     def columns(self, text: str) -> list[int]:
         """The features present in a text, all of it; words met before are looked up."""
-        if len(self.seen) > 300_000:
+        if len(self.seen) > 150_000:
             self.seen.clear()
         found: set[int] = set()
         for w in set(text.lower().split()):
@@ -83,17 +84,25 @@ class PositiveUnlabelled:
 
 def vocabulary(positive: list[str], unlabelled: list[str], most: int = 400, least: int = 3) -> list[str]:
     """Beginnings that positives have more often than unlabelled text, by the likelihood ratio of their document counts."""
+    # counted by hash first: only features that may be frequent enough are then held by name
+    bins = np.zeros(1 << 22, np.int32)
+    place = lambda f: crc32(f.encode()) & (len(bins) - 1)
+    for t in positive:
+        own = np.fromiter(map(place, document_features(t)), np.int64)
+        bins[np.unique(own)] += 1
     in_p: Counter[str] = Counter()
     for t in positive:
-        in_p.update(document_features(t))
+        in_p.update(f for f in document_features(t) if bins[place(f)] >= least)
     in_p = Counter({f: n for f, n in in_p.items() if n >= least})
     in_u: Counter[str] = Counter()
-    seen: dict[str, list[str]] = {}
+    seen: dict[str, tuple[str, ...]] = {}
     for t in unlabelled:
-        own: set[str] = set()
+        if len(seen) > 100_000:
+            seen.clear()
+        own = set()
         for w in set(t.lower().split()):
             if w not in seen:
-                seen[w] = [f for f in beginnings(w) if f in in_p]
+                seen[w] = tuple(f for f in beginnings(w) if f in in_p)
             own.update(seen[w])
         in_u.update(own)
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
