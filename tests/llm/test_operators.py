@@ -305,6 +305,15 @@ def test_html_shapes(spark):
     assert out == {k: (t, len(t)) for k, t in enumerate(PAGES.values())}
 
 
+def test_html_hidden_by_attribute_names():
+    shown = ["style='overflow:hidden'", 'class="overflow-hidden"', 'aria-hidden="false"', "title='hidden gems'", "data-state=hidden", "data-hidden", "data-id='comments'", "style='display:none; display:block'", "hidden=until-found"]
+    for a in shown:
+        assert html_text.main_text(f"<body {a}><article {a}><p {a}>One, two.</p><p><a href='/hidden-gems'>Three.</a></p></article></body>") == "One, two. Three.", a
+    for a in ("hidden", "HIDDEN=''", 'class="x" hidden="hidden"', "aria-hidden=true", 'aria-hidden="TRUE"', "style='color:red; display : none'", 'style="display:none!important"'):
+        assert html_text.main_text(f"<article><p>One, two.</p><p {a}>Three.</p></article>") == "One, two.", a
+    assert html_text.main_text("<body style='display:none'><p>One, two.</p></body>") == "One, two."
+
+
 def test_media(spark):
     stored = media_avi.stored(frame(spark, ODD))
     out = media_avi.digests(stored).collect()

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import by_slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I)
 #: Fixed values of HTML: elements without end tag, and elements that begin a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -36,16 +36,37 @@ ARTICLE = {"article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
 
+def attributes_of(attributes: str) -> dict[str, str]:
+    """Attributes by name in lower case; of a name that repeats the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
+def hidden(named: dict[str, str]) -> bool:
+    """Whether an element isn't shown: any value of hidden hides, but for until-found, which search in the page opens."""
+    if named.get("hidden", "until-found").strip().lower() != "until-found" or named.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    return [x.lower() for x in DISPLAY.findall(named.get("style", ""))[-1:]] == ["none"]
+
+
 def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or attributes and HIDDEN.search(attributes):
+    if tag in DROPPED:
+        return True
+    if tag in ("html", "body"):  # hidden until a script shows the page
+        return False
+    named = attributes_of(attributes) if attributes else {}
+    if named and hidden(named):
         return True
     if tag == "header":
         return not in_article
-    if tag in ("html", "body", "main", "article") or not attributes:
+    if tag in ("main", "article"):
         return False
-    for name, *values in NAMES.findall(attributes):
-        value = next((v for v in values if v), "")
-        if name.lower() == "role" and value.lower() in ("main", "article"):
+    for name, value in named.items():
+        if name not in ("class", "id", "role"):
+            continue
+        if name == "role" and value.lower() in ("main", "article"):
             return False
         words = re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
         for before, word in zip(["", *words], words, strict=False):
