@@ -314,6 +314,17 @@ def test_html_hidden_by_attribute_names():
     assert html_text.main_text("<body style='display:none'><p>One, two.</p></body>") == "One, two."
 
 
+def test_html_names_and_ends_of_skipped_elements():
+    shapes = {
+        "<svg-icon></svg-icon>": "", "<math-field></math-field>": "", "<title-bar></title-bar>": "", "<script-x>c</script-x>": "c", "<svg viewBox='0 0 1 1'/>": "", '<svg alt="a>b" />': "", "<math/>": "",
+        "<svg><title/><path d='M0'/></svg>": "", "<svg><svg><text>in</text></svg><text>out</text></svg>": "", "<svg><foreignObject><div>in</svg>": "", "<svg><style>a{}</style><script href='x'/></svg>": "",
+        "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>": "x=1", "<object data=x><param name=a><b>instead</b></object>": "instead", "<script>var a='<b>'</script >": "", "<style>p{}</style/>": "", "<script src=x />var a</script>": "", "<template>t</template>": "",
+    }
+    for x, shown in shapes.items():
+        assert html_text.main_text(f"<article><p>One, two. {x}</p><p>Three.</p></article>").split() == f"One, two. {shown} Three.".split(), x
+    assert html_text.main_text("<article><svg><path d=M0><p>One, two.</p></article>") == "One, two."
+
+
 def test_media(spark):
     stored = media_avi.stored(frame(spark, ODD))
     out = media_avi.digests(stored).collect()

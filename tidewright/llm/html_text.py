@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import by_slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Groups: an element of text that isn't shown, up to its end tag, and its start tag's rest if that ends in />; or a tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)(?=[\s/>])(?=((?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>)?)[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I)
 #: Fixed values of HTML: elements without end tag, and elements that begin a block.
@@ -28,7 +29,7 @@ BLOCK = set("address article aside blockquote body br caption center dd details
 #: What an opening tag ends when it is still open, up to the element named.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements, and words of class, id or role, that mark boilerplate.
-DROPPED = set("head nav footer aside form button select menu dialog search label input fieldset".split())
+DROPPED = set("head nav footer aside form button select menu dialog search label input fieldset svg".split())
 MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidebars aside rail comment comments comments-list commentlist disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social follow popup modal overlay widget widgets skip pagination pager tags tagcloud copyright complementary contentinfo disclaimer warning toast announcement paywall donate feedback reviews".split())
 #: A mark after one of these says what an element has; an article's own head belongs to it.
 NOT_IT, HEADS = {"with", "has", "no", "without", "hide"}, {"header", "masthead", "banner"}
@@ -80,7 +81,8 @@ def text_nodes(page: str) -> list[tuple[str, tuple[int, ...], int, str]]:
     stack: list[tuple[str, int, bool]] = []  # tag, element number, whether text inside is dropped
     nodes: list[tuple[str, tuple[int, ...], int, str]] = []
     block = serial = at = 0
-    for m in [*TOKEN.finditer(page), None]:
+    while True:
+        m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if end > at and not (stack and stack[-1][2]):
             text = page[at:end]
@@ -90,10 +92,11 @@ def text_nodes(page: str) -> list[tuple[str, tuple[int, ...], int, str]]:
                 nodes.append(("/".join(t for t, _, _ in stack), tuple(e for _, e, _ in stack), block, html.unescape(text)))
         if m is None:
             break
-        at = m.end()
-        if not m[3]:
+        drawn = bool(stack and stack[-1][2]) and any(t == "svg" for t, _, _ in stack)
+        at = m.end(2) if drawn and m[2] else m.end()  # only in a drawing does /> end such elements
+        if not m[4]:
             continue
-        tag, closing, attributes = m[3].lower(), bool(m[2]), m[4]
+        tag, closing, attributes = m[4].lower(), bool(m[3]), m[5]
         if tag in BLOCK:
             block += 1
         if tag in VOID:
@@ -103,15 +106,17 @@ def text_nodes(page: str) -> list[tuple[str, tuple[int, ...], int, str]]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
+                if tag not in BLOCK and tag != "svg" and stack[k][0] in BLOCK:
                     break
             continue
+        if drawn and tag in BLOCK and not any(t == "foreignobject" for t, _, _ in stack):  # a drawing left open ends here
+            del stack[next(k for k, (t, _, _) in enumerate(stack) if t == "svg") :]
         over, until = ENDS.get(tag, (None, None))
         if over is None and tag in BLOCK:
             over, until = {"p"}, {"td", "th", "button", "object"}
         if over:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in until:
+                if stack[k][0] in until or stack[k][0] == "foreignobject":
                     break
                 if stack[k][0] in over:
                     del stack[k:]
