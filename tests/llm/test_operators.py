@@ -325,6 +325,16 @@ def test_html_names_and_ends_of_skipped_elements():
     assert html_text.main_text("<article><svg><path d=M0><p>One, two.</p></article>") == "One, two."
 
 
+def test_html_outside_the_largest_block():
+    long = "Long enough, a text; yes. And more of it, here. " * 12
+    lead, part = "A lead, of some words; it says what follows. " * 2, "Another part, as long as this; it is. " * 3
+    post = f"<div class=post><h1>T</h1><div class=lead>{lead}</div><div class=entry-content>{long}</div></div>"
+    assert html_text.main_text(f"<body>{post}</body>").split() == f"T {lead} {long}".split()
+    parts = f"<div class=a><p>{long}</p><p>{long}</p></div><h2>So</h2><div class=b><p>{part}</p><ul><li>x</li></ul></div>"
+    links = "<div><ul><li><a href=/>Home</a></li><li><a href=/b>All</a></li></ul></div>"
+    assert html_text.main_text(f"<body>{links}<div class=post>{parts}</div>{links}</body>").split() == f"{long} {long} So {part} x".split()
+
+
 def test_media(spark):
     stored = media_avi.stored(frame(spark, ODD))
     out = media_avi.digests(stored).collect()

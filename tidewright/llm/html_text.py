@@ -2,8 +2,9 @@
 
 Every text node has a root-to-leaf path of tags. Text length and punctuation are added up per path and divided by its
 nodes; both ratios are smoothed over the page order, fused by product and held against a threshold that follows their
-spread. The element that holds the paths above it is the content; its nodes are returned, short ones included, except
-those inside elements that are boilerplate by name.
+spread. Nodes of paths above it are returned wherever they stand, with all others of the element that holds most of them,
+and with blocks beside them under their lowest common ancestor. Where <article> (or else <main>) holds half of what was
+found, its nodes are returned instead, whatever their paths. Nothing inside elements that are boilerplate by name is.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I)
 #: Fixed values of HTML: elements without end tag, and elements that begin a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Parts of a list or table, which stand beside other blocks as a whole.
+PARTS = set("li dt dd caption tbody td tfoot th thead tr".split())
 #: What an opening tag ends when it is still open, up to the element named.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements, and words of class, id or role, that mark boilerplate.
@@ -130,7 +133,7 @@ def text_nodes(page: str) -> list[tuple[str, tuple[int, ...], int, str]]:
 
 
 def path_scores(nodes: list[tuple[str, tuple[int, ...], int, str]], radius: int = 2) -> np.ndarray:
-    """The fused, smoothed ratio of each node's path."""
+    """The fused, smoothed ratio of each node's path: the mean of its nodes, so that a neighbour alone lifts no path."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, _, _, text in nodes:
         if text.strip():
@@ -142,7 +145,11 @@ def path_scores(nodes: list[tuple[str, tuple[int, ...], int, str]], radius: int
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / (radius / 2)) ** 2)
     smooth = np.stack([np.convolve(np.pad(r, radius, mode="edge"), kernel / kernel.sum(), "valid") for r in ratios.T], axis=1)
     own = np.array([bool(t.strip()) for _, _, _, t in nodes])
-    return np.where(own, np.sqrt(smooth[:, 0] * (1 + smooth[:, 1])), 0)
+    fused = np.where(own, np.sqrt(smooth[:, 0] * (1 + smooth[:, 1])), 0)
+    total: dict[str, float] = defaultdict(float)
+    for (path, _, _, _), x in zip(nodes, fused.tolist(), strict=True):
+        total[path] += x
+    return np.where(own, [total[p] / max(1, count[p]) for p, _, _, _ in nodes], 0)
 
 
 def main_text(page: str) -> str:
@@ -158,21 +165,27 @@ def main_text(page: str) -> str:
     kind: dict[int, str] = {}
     for ok, (path, chain, _, text) in zip(chosen, nodes, strict=True):
         if ok:
-            for k, (e, tag) in enumerate(zip(chain, path.split("/"), strict=False)):
+            for k, (e, tag) in enumerate(zip((0, *chain), ("", *path.split("/")), strict=False)):  # 0: the page
                 weight[e] += len(text.strip())
                 depth[e], kind[e] = k, tag
-    total = sum(len(t.strip()) for ok, (_, _, _, t) in zip(chosen, nodes, strict=True) if ok)
+    total = weight[0]
     articles = {e for e in weight if kind[e] == "article"} or {e for e in weight if kind[e] == "main"}
     if articles and 2 * sum(weight[e] for e in articles) >= total:
-        holders = articles
+        taken = [not articles.isdisjoint(chain) for _, chain, _, _ in nodes]
     else:
-        holders = {max((e for e in weight if weight[e] >= 0.8 * total), key=lambda e: (depth[e], -e), default=0)}
-        if kind.get(next(iter(holders))) in ("p", "h1", "span", "b", "i", "em", "strong", "a"):  # a lone paragraph: its parent
-            one = next(iter(holders))
-            holders = {c[depth[one] - 1] for _, c, _, _ in nodes if one in c and depth[one] > 0} or holders
+        holder = max((e for e in weight if weight[e] >= 0.8 * total), key=lambda e: (depth[e], -e))
+        if kind[holder] in ("p", "h1", "span", "b", "i", "em", "strong", "a"):  # a lone paragraph: its parent
+            holder = next((0, *c)[depth[holder] - 1] for _, c, _, _ in nodes if holder in c)
+        common = max((e for e in weight if weight[e] == total), key=lambda e: depth[e])
+        taken = []
+        for ok, (path, chain, _, _) in zip(chosen, nodes, strict=True):
+            whole = (0, *chain)
+            k = next((k for k, t in reversed([*enumerate(path.split("/"), 1)]) if t in BLOCK and t not in PARTS), 0)
+            beside = common in whole and (whole[k] in weight or whole[max(0, k - 1)] in weight and k > depth[common])
+            taken.append(bool(ok) or holder in whole or beside)
     blocks: dict[int, list[str]] = {}
-    for _, chain, block, text in nodes:
-        if holders == {0} or not holders.isdisjoint(chain):
+    for ok, (_, _, block, text) in zip(taken, nodes, strict=True):
+        if ok:
             blocks.setdefault(block, []).append(text)
     return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks.values()) if x)
 
