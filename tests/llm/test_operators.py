@@ -416,6 +416,18 @@ def test_sentencepiece(spark, docs, rows):
     assert pieces.encode(frame(spark, [])).count() == 0
 
 
+def test_sentencepiece_returns_rows_that_repeat(spark):
+    giant, other = " ".join(f"w{k % 97}" for k in range(900)), " ".join(f"v{k % 89}" for k in range(900))
+    data = [(1, giant)] * 3 + [(1, other), (2, giant), (None, giant), (None, giant), (None, other), (3, "so small"), (3, "so small"), (None, ""), (None, "")]
+    d = frame(spark, data)
+    whole = pieces.encode(d).collect()
+    cut = pieces.encode(d, giant=1000, chunk=300).collect()
+    assert len(cut) == len(data) and Counter(map(tuple, cut)) == Counter(map(tuple, whole))
+    for size in (1000, 1 << 20):
+        back = pieces.decode(pieces.encode_chunks(d, giant=size, chunk=300, keep_ids=True))
+        assert Counter(map(tuple, back.collect())) == Counter(data)
+
+
 def test_max_plus_scan_equals_one_pass():
     r = np.random.default_rng(3)
     for _ in range(40):

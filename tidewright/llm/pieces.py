@@ -167,7 +167,7 @@ def crc_joined(a: int, b: int, length: int) -> int:
     return a ^ b
 
 
-ENCODED = "doc_id long, check long, chunk int, chunks int, n_pieces long, ids_crc32 long, restored boolean"
+ENCODED = "doc_id long, check string, chunk int, chunks int, n_pieces long, ids_crc32 long, restored boolean"
 
 
 def _encoder(path: str, keep_ids: bool):
@@ -193,32 +193,44 @@ def _encoder(path: str, keep_ids: bool):
 def _encoded(docs: DataFrame, path: str | None, giant: int, chunk: int, keep_ids: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """encode_chunks in two: the texts that are one chunk, and the chunks of giant ones."""
     where = path or default_model()
-    rows = texts(docs, id_col, text_col).withColumn("check", F.crc32("text"))
+    rows = texts(docs, id_col, text_col).withColumn("check", F.sha2(F.col("text").cast("binary"), 256))
     one = rows.filter(F.char_length("text") <= giant).select("doc_id", "check", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), "text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [(i, c, k, len(parts), p) for i, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True) for parts in [chunks(t, chunk)] for k, p in enumerate(parts)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "check", "chunk", "chunks", "text"])
 
-    many = rows.filter(F.char_length("text") > giant).select("doc_id", "check", "text").mapInArrow(by_slices(cut, rows=1), "doc_id long, check long, chunk int, chunks int, text string")
+    many = rows.filter(F.char_length("text") > giant).select("doc_id", "check", "text").mapInArrow(by_slices(cut, rows=1), "doc_id long, check string, chunk int, chunks int, text string")
     kind = ENCODED + (", ids array<int>" if keep_ids else "")
     return one.mapInArrow(_encoder(where, keep_ids), kind), many.repartition("doc_id", "check", "chunk").mapInArrow(_encoder(where, keep_ids), kind)
 
 
 def encode_chunks(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk: int = 1 << 18, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a chunk: doc_id, check (crc32 of the text), chunk, chunks, n_pieces, ids_crc32, restored (whether decoding
+    """A row a chunk: doc_id, check (SHA-256 of the text), chunk, chunks, n_pieces, ids_crc32, restored (whether decoding
     gives the chunk back), and ids if asked. Texts of more than `giant` characters are cut, and their chunks dealt out
     over all tasks; all others are one chunk and stay where they are read."""
     one, many = _encoded(docs, path, giant, chunk, keep_ids, id_col, text_col)
     return one.unionByName(many)
 
 
+def _repeats(parts: DataFrame, *values: str) -> DataFrame:
+    """(doc_id, check, parts, copies): the chunks of each text in order, and how many rows have that doc_id and text. A
+    row gives each of its chunks once, so copies are counted by chunk."""
+    each = parts.groupBy("doc_id", "check", "chunk").agg(F.count("*").alias("copies"), *(F.first(v).alias(v) for v in values))
+    return each.groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(F.struct("chunk", *values))).alias("parts"), F.max("copies").alias("copies"))
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """Every row as often as its copies say."""
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
 def encode(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_pieces, ids_crc32 (of its little-endian 32-bit ids), restored.
 
-    Null and empty texts have no pieces, crc 0, and are restored. Rows that repeat are returned each, but giant texts
-    that share doc_id and text come out once. A null doc_id stays null. An empty table gives an empty result."""
+    Null and empty texts have no pieces, crc 0, and are restored. Rows that repeat are returned each. A null doc_id stays
+    null. An empty table gives an empty result."""
     one, many = _encoded(docs, path, giant, chunk, False, id_col, text_col)
     whole = one.select("doc_id", "n_pieces", "ids_crc32", "restored")
 
@@ -230,16 +242,16 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = 1 << 20, chunk
                 n, crc = n + p["n_pieces"], crc_joined(crc, p["ids_crc32"], 4 * p["n_pieces"])
             out.append((i, n, crc, all(p["restored"] for p in parts)))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_pieces", "ids_crc32", "restored"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), batch.column(2)], names=["doc_id", "n_pieces", "ids_crc32", "restored", "copies"])
 
-    parts = many.dropDuplicates(["doc_id", "check", "chunk"]).groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(F.struct("chunk", "n_pieces", "ids_crc32", "restored"))).alias("parts"))
-    joined = parts.select("doc_id", "parts").mapInArrow(by_slices(join), "doc_id long, n_pieces long, ids_crc32 long, restored boolean")
-    return whole.unionByName(joined)
+    parts = _repeats(many, "n_pieces", "ids_crc32", "restored").select("doc_id", "parts", "copies")
+    joined = parts.mapInArrow(by_slices(join), "doc_id long, n_pieces long, ids_crc32 long, restored boolean, copies long")
+    return whole.unionByName(_each(joined))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of rows (doc_id, check, chunk, ids): chunks are decoded on their own and joined by the space that
-    cutting took."""
+    cutting took. Rows that repeat are returned each."""
     where = path or default_model()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,6 +261,6 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         out = pa.array([model.decode(x) for x in batch.column(3).to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns[:3], out], names=["doc_id", "check", "chunk", "text"])
 
-    parts = encoded.select("doc_id", "check", "chunk", "ids").mapInArrow(by_slices(work), "doc_id long, check long, chunk int, text string")
-    joined = parts.groupBy("doc_id", "check").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda p: p["text"]), " ").alias("text"))
-    return joined.select("doc_id", "text")
+    parts = encoded.select("doc_id", "check", "chunk", "ids").mapInArrow(by_slices(work), "doc_id long, check string, chunk int, text string")
+    joined = _repeats(parts, "text").select("doc_id", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"), "copies")
+    return _each(joined)
