@@ -400,6 +400,21 @@ def test_rollup_batches(spark, tmp_path):
     assert token_counts.counted(frame(spark, [])).count() == 0
 
 
+def test_substring_tells_texts_of_one_crc_apart(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)).encode() + b" " for c in "pq")
+    met = {zlib.crc32(w, zlib.crc32(one)): w for w in (hashlib.md5(b"1%d" % k).hexdigest()[:9].encode() for k in range(300_000))}
+    tail = next(w for w in (hashlib.md5(b"2%d" % k).hexdigest()[:9].encode() for k in range(2_000_000)) if zlib.crc32(w, zlib.crc32(two)) in met)
+    a, b = (one + met[zlib.crc32(two + tail)]).decode(), (two + tail).decode()
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode()) and a != b
+    data = [(None, a), (None, b), (7, one.decode() + "x")]
+    out = substrings.digests(substrings.remove_repeats(frame(spark, data))).collect()
+    assert Counter(tuple(r)[1:] for r in out) == Counter(substrings.brute_force([t for _, t in data]))
+    assert b in {r.text for r in substrings.without_repeats(frame(spark, data)).collect()}
+    texts = ["é" * n + "ab"[: n % 3] for n in range(90)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *substrings.checked(F.col("t"))).collect()
+    assert all(tuple(r)[1:] == substrings.checks(r[0].encode()) for r in got)
+
+
 def test_sentencepiece(spark, docs, rows):
     import sentencepiece
 

@@ -20,7 +20,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_slices, fresh, lookup, saved, texts
@@ -156,17 +156,27 @@ def segments(words: list[bytes], size: int) -> list[tuple[int, int, int, int, in
     return list(zip(keys[starts].view(np.int64).tolist(), np.array(content, np.uint64).view(np.int64).tolist(), starts.tolist(), windows.tolist(), times.tolist(), strict=True))
 
 
-RUNS = "key long, seg long, doc_id long, crc long, start int, n int, times int"
+RUNS = "key long, seg long, doc_id long, crc long, hash long, start int, n int, times int"
+
+
+def checked(text: Column) -> tuple[Column, Column]:
+    """What tells rows apart that share a doc_id: crc32 and length in bytes as one number, and XXH64. checks: the same."""
+    return F.shiftleft(F.crc32(text), 32).bitwiseOR(F.octet_length(text).cast("long")), F.xxhash64(text)
+
+
+def checks(body: bytes) -> tuple[int, int]:
+    both = np.array([crc32(body) << 32 | len(body), xxhash.xxh64_intdigest(body, 42)], np.uint64).view(np.int64)
+    return int(both[0]), int(both[1])
 
 
 def _runs(size: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         for i, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            check = crc32(body)
-            rows += [(k, s, i, check, a, n, t) for k, s, a, n, t in segments(body.split(), size)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
+            crc, code = checks(body)
+            rows += [(k, s, i, crc, code, a, n, t) for k, s, a, n, t in segments(body.split(), size)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUNS.split(", ")])
 
     return work
@@ -223,22 +233,22 @@ def shard_matches(size: int):
 
 
 def repeated_spans(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000) -> DataFrame:
-    """(doc_id, crc, spans): of each document that has any, the repeated windows as ranges of word positions, ends
-    included; crc is that of its text and tells rows apart that share a doc_id. docs: (doc_id, text)."""
+    """(doc_id, crc, hash, spans): of each document that has any, the repeated windows as ranges of word positions, ends
+    included; crc and hash are those of its text and tell rows apart that share a doc_id. docs: (doc_id, text)."""
     runs = saved(docs.mapInArrow(by_slices(_runs(size), rows=128, most_bytes=2 << 20), RUNS), "segments")
     often = runs.groupBy("key").agg(F.sum("times").alias("t")).filter("t > 1").select("key")
     kept = saved(runs.join(often, "key"), "segments-met")
     # one row per distinct segment, with one place where its words stand
-    own = kept.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("times").alias("times"), F.min(F.struct("doc_id", "crc", "start")).alias("at"))
+    own = kept.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("times").alias("times"), F.min(F.struct("doc_id", "crc", "hash", "start")).alias("at"))
     sizes = own.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.col("n") + (size - 1)).alias("words"))
     own = saved(own.join(sizes, "key"), "segments-own")
     alone = own.filter("members = 1 AND (copies > 1 OR times = 1)")
     alone = alone.filter("copies > 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges"))
     wanted = own.filter("NOT (members = 1 AND (copies > 1 OR times = 1))")
-    places = wanted.groupBy("at.doc_id", "at.crc").agg(F.collect_list(F.struct("key", "seg", "copies", F.col("at.start").alias("start"), "n", (F.col("words") > shard_words).alias("large"))).alias("places"))
-    known = docs.withColumn("crc", F.crc32("text"))
-    met = known.join(places, known.doc_id.eqNullSafe(places.doc_id) & (known.crc == places.crc)).select(known.doc_id, known.crc, "text", "places")
-    met = met.dropDuplicates(["doc_id", "crc"])
+    places = wanted.groupBy("at.doc_id", "at.crc", "at.hash").agg(F.collect_list(F.struct("key", "seg", "copies", F.col("at.start").alias("start"), "n", (F.col("words") > shard_words).alias("large"))).alias("places"))
+    known = docs.withColumns(dict(zip(("crc", "hash"), checked(F.col("text")), strict=True)))
+    met = known.join(places, known.doc_id.eqNullSafe(places.doc_id) & (known.crc == places.crc) & (known.hash == places.hash)).select(known.doc_id, known.crc, known.hash, "text", "places")
+    met = met.dropDuplicates(["doc_id", "crc", "hash"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
@@ -261,9 +271,9 @@ def repeated_spans(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000
     ranges = alone.unionByName(matched.filter(F.size("ranges") > 0)).unionByName(refined)
     table = saved(ranges.join(own.select("key", "seg", "copies"), ["key", "seg"]), "segments-found")
     total = own.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    spans = lookup(kept.select("key", "seg", "doc_id", "crc", "start"), table, ["key", "seg"], "copies", total)
+    spans = lookup(kept.select("key", "seg", "doc_id", "crc", "hash", "start"), table, ["key", "seg"], "copies", total)
     shifted = F.transform("ranges", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (size - 1)).alias("b")))
-    return spans.groupBy("doc_id", "crc").agg(F.flatten(F.collect_list(shifted)).alias("spans"))
+    return spans.groupBy("doc_id", "crc", "hash").agg(F.flatten(F.collect_list(shifted)).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,8 +287,8 @@ def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000
     """
     docs = texts(docs, id_col, text_col)
     spans = repeated_spans(docs, size, shard_words)
-    known = docs.withColumn("crc", F.crc32("text"))
-    both = known.join(spans, known.doc_id.eqNullSafe(spans.doc_id) & (known.crc == spans.crc), "left").select(known.doc_id, "text", "spans")
+    known = docs.withColumns(dict(zip(("crc", "hash"), checked(F.col("text")), strict=True)))
+    both = known.join(spans, known.doc_id.eqNullSafe(spans.doc_id) & (known.crc == spans.crc) & (known.hash == spans.hash), "left").select(known.doc_id, "text", "spans")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(4)]
@@ -327,8 +337,8 @@ def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_00
     joined by one space, and its length column follows; all others are left as they are."""
     found = fresh("_spans", docs)
     spans = repeated_spans(texts(docs, id_col, text_col), size, shard_words)
-    crc = F.crc32(F.coalesce(docs[text_col], F.lit("")))
-    both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["doc_id"]) & (crc == spans["crc"]), "left").select(*(docs[c] for c in docs.columns), spans["spans"].alias(found))
+    crc, code = checked(F.coalesce(docs[text_col], F.lit("")))
+    both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["doc_id"]) & (crc == spans["crc"]) & (code == spans["hash"]), "left").select(*(docs[c] for c in docs.columns), spans["spans"].alias(found))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(text: str, found: list[dict]) -> str:
