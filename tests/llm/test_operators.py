@@ -134,6 +134,16 @@ def test_simhash_odd(spark):
     assert simhash.one_of_each(frame(spark, ODD)).columns == frame(spark, []).columns
 
 
+def test_simhash_one_of_each_of_null_and_repeated_ids(spark):
+    t, u, v, w = (" ".join(f"{c}{k}" for k in range(50)) for c in "tuvw")
+    data = [(1, t), (None, t), (None, u), (None, u), (None, f"{u} "), (5, v), (5, w), (5, v), (6, w), (None, None), (None, ""), (9, "")]
+    out = simhash.one_of_each(frame(spark, data))
+    assert out.schema == frame(spark, []).schema
+    assert Counter(map(tuple, out.select("doc_id", "text").collect())) == Counter([(1, t), (None, f"{u} "), (5, v), (5, w), (9, "")])
+    assert [r.text for r in simhash.one_of_each(frame(spark, [(1, t), (2, t), (3, u)])).orderBy("doc_id").collect()] == [t, u]
+    assert simhash.one_of_each(frame(spark, [])).count() == 0
+
+
 def test_suffix_automaton():
     r = np.random.default_rng(2)
     for _ in range(60):

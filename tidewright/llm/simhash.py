@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_slices, lookup, saved, texts
+from .common import by_slices, fresh, lookup, saved, texts
 from .components import components
 
 BITS = 64
@@ -235,6 +236,16 @@ def near_links(fps: DataFrame, radius: int = 3, sample_size: int = 4096) -> Data
     return probes.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(bucket_links(radius), "a long, b long")
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, n, least_id, root, component_id) of each fingerprint."""
+    prints = saved(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
+    roots = components(near_links(nodes, radius))
+    of_node = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
+    classes = of_node.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints, saved(of_node.join(classes, "root").select("fp", "n", "least_id", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable by links of at
     most radius differing bits, its own included).
@@ -244,17 +255,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never the least of a component that has others; a component of null ids alone has component_id null. An empty table
     gives an empty result. Other columns are not read.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
-    roots = components(near_links(nodes, radius))
-    of_node = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
-    classes = of_node.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    table = saved(of_node.select("fp", "n", "root").join(classes, "root").select("fp", "n", "component_id"), "classes")
+    prints, table = _linked(docs, id_col, text_col, width, radius)
+    table = table.select("fp", "n", "component_id")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return lookup(prints, table, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, that have the least doc_id of their near-duplicate component."""
-    first = near_duplicates(docs, id_col, text_col, width, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first_id")).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first["_first_id"]), "left_semi")
+    """One row of each near-duplicate component, with all its columns: one that has the least doc_id and, where several
+    rows do, the least fingerprint of theirs and then the longest text. So rows that share a doc_id or have none are told
+    apart, and of those that are near duplicates one stays."""
+    prints, table = _linked(docs, id_col, text_col, width, radius)
+    first = table.filter(F.col("least_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("id"))
+    first = saved(first.select("id", "fp"), "first")
+    again = saved(prints.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "again")
+    key = docs[id_col].cast("long")
+    if again.isEmpty():
+        return docs.join(first, key == first["id"], "left_semi")
+    alone = first.join(again, "id", "left_anti").filter("id IS NOT NULL")
+    rows = docs.join(alone, key == alone["id"], "left_semi")
+    shared = docs.join(again, key == again["id"], "left_semi").unionByName(docs.filter(key.isNull()))
+    names, at, fp = docs.columns, docs.columns.index(text_col), fresh("_fp", docs)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(shingle_hashes(x or b"", width)) for x in batch.column(at).cast(pa.binary()).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, fp])
+
+    known = shared.mapInArrow(by_slices(work), StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = known.groupBy(F.col(id_col).cast("long").alias("id"), F.col(fp).alias("fp")).agg(F.max_by(F.struct(*names), F.struct(F.char_length(text), text)).alias("row"))
+    picked = picked.join(first.withColumnsRenamed({"id": "first_id", "fp": "first_fp"}), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp")), "left_semi")
+    return rows.unionByName(picked.select("row.*"))
