@@ -379,6 +379,17 @@ def test_shots():
     assert media_avi.timed([(0, 11)], 24) == [{"clip": 0, "first_frame": 0, "last_frame": 11, "start_ms": 0, "end_ms": 500}]
 
 
+def test_shots_at_the_first_frame():
+    dark, light, grey = (np.full((24, 24), v, np.uint8) for v in (10, 240, 120))
+    half = dark.copy()
+    half[:8] = 120
+    for frames, want in (([dark, light], 2), ([dark, dark], 1), ([dark, half], 1), ([dark, *[light] * 9], 2), ([dark, *[half] * 9], 2), ([dark, light, grey, dark], 2), ([dark, half] * 5, 1)):
+        shots = media_avi.detect_shots(np.stack(frames))
+        assert shots == media_avi.detect_shots(frames) and len(shots) == want and (want == 1 or shots[0] == (0, 0)), (len(frames), shots)
+    avi = media_avi.encode_avi(media_avi.padded(b"a" * 577))
+    assert len(media_avi.detect_shots(media_avi.read_frames(avi)[1])) == 2
+
+
 def test_token_rollup(spark, docs, rows, tmp_path):
     bpe = packing.ByteBpe(*packing.default_tokenizer())
     want = defaultdict(lambda: [0, 0])

@@ -207,9 +207,10 @@ def read_frames(avi: bytes) -> tuple[int, list[np.ndarray] | np.ndarray]:
     return fps, [decode_jpeg(avi[o : o + s]) for o, s in places]
 
 
-def detect_shots(frames, bins: int = 32, window: int = 8, sigmas: float = 3.0, floor: float = 0.05) -> list[tuple[int, int]]:
+def detect_shots(frames, bins: int = 32, window: int = 8, sigmas: float = 3.0, floor: float = 0.05, prior: float = 0.5) -> list[tuple[int, int]]:
     """[(first, last)] frames of each shot. A cut is where the histogram difference to the frame before exceeds the mean
-    of the last `window` differences by `sigmas` deviations and by `floor` at least."""
+    of the last `window` differences by `sigmas` deviations and by `floor` at least. The first difference has none before
+    it: it is held against the `window` that follow it, and is a cut as well where it exceeds `prior` and `floor`."""
     n = len(frames)
     if n == 0:
         return []
@@ -227,7 +228,9 @@ def detect_shots(frames, bins: int = 32, window: int = 8, sigmas: float = 3.0, f
     count = np.maximum(1, at - low)
     mean = (one[at] - one[low]) / count
     spread = np.sqrt(np.maximum(0, (two[at] - two[low]) / count - mean**2))
-    cuts = np.flatnonzero((diff > mean + sigmas * spread + floor) & (at > 0)) + 1
+    after = diff[1 : 1 + window]
+    mean[0], spread[0] = min((prior, 0.0), (after.mean(), after.std()) if len(after) else (prior, 0.0), key=lambda x: x[0] + sigmas * x[1])
+    cuts = np.flatnonzero(diff > mean + sigmas * spread + floor) + 1
     edges = [0, *cuts.tolist(), n]
     return [(a, b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
