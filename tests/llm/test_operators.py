@@ -464,6 +464,31 @@ def test_sentencepiece_returns_rows_that_repeat(spark):
         assert Counter(map(tuple, back.collect())) == Counter(data)
 
 
+def test_bpe_scan_equals_the_library(spark):
+    """Cut anywhere: marks and runs of spaces, bytes, texts without any space; each row comes out."""
+    r = np.random.default_rng(8)
+    lattice = pieces.BpeLattice(pieces.BpePieces(pieces.default_model()))
+    some = ["a", "the", "in", "ing", " ", "  ", "   ", "▁", "漢", "字", "\n", "é", "12", "====", "ation", "re", "<s>", "　", "\x00", "😀", "for", "(", "'s"]
+    data = ["▁ 漢", "x ▁▁ y", " ", "▁"] + ["".join(r.choice(some, r.integers(0, 90))) for _ in range(800)]
+    ids = lambda t: np.array(lattice.words.model.encode(t), "<u4").tobytes()
+    for t in data:
+        assert lattice.words.ids(t) == ids(t), t
+        parts = pieces.chunks(pieces.normalised(t), int(r.integers(17, 40)), lattice.reach)
+        matrices = [lattice.transfer(*p) for p in parts]
+        states = pieces.boundary_states(matrices) if parts else []
+        assert b"".join(lattice.trace(*p, i, j) for p, i, j in zip(parts, states[:-1], states[1:], strict=True)) == ids(t), t
+    x, y, z = matrices[:3] if len(matrices) > 2 else [lattice.transfer(*p) for p in pieces.chunks(pieces.normalised("the thing in there " * 9), 30, lattice.reach)[:3]]
+    assert pieces.combine(pieces.combine(x, y), z) == pieces.combine(x, pieces.combine(y, z))
+    wide = "".join(r.choice(list("漢字的是不了人我在有他"), 3000))
+    data = [(k, t) for k, t in enumerate([*data[:60], wide, wide])] + [(None, wide), (None, data[9])]
+    want = Counter((i, len(ids(t)) // 4, zlib.crc32(ids(t)), "▁" not in t) for i, t in data)
+    for giant in (40, 1 << 15):
+        assert Counter(map(tuple, pieces.encode(frame(spark, data), giant=giant, chunk=25).collect())) == want
+    plain = [(i, t) for i, t in data if "▁" not in t]
+    back = pieces.decode(pieces.encode_chunks(frame(spark, plain), giant=40, chunk=25, keep_ids=True))
+    assert Counter(map(tuple, back.collect())) == Counter(plain)
+
+
 def test_max_plus_scan_equals_one_pass():
     r = np.random.default_rng(3)
     for _ in range(40):
