@@ -229,6 +229,39 @@ def test_plan_is_near_the_bound_and_uses_all():
         assert any(len(p) >= 2 and sum(n * k for n, k in p) == 2048 for p, _ in plan)
 
 
+def test_sum_index_against_brute_force():
+    """What the index finds for a gap, one, two or three lengths, is there exactly when there is such a combination."""
+    from itertools import combinations_with_replacement
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        cap = int(r.integers(8, 40))
+        free = np.bincount(r.integers(1, cap, r.integers(1, 14)), minlength=cap + 1).astype(np.int64)
+        index = packing.SumIndex(free, cap)
+        for lead in np.flatnonzero(free).tolist():
+            left = Counter({n: int(c) for n, c in enumerate(free) if c}) - Counter([lead])
+            for k in (1, 2, 3):
+                want = any(sum(x) == cap - lead and not Counter(x) - left for x in combinations_with_replacement(sorted(left), k))
+                found = index.complement(lead, k)
+                assert (found is not None) == want
+                assert found is None or (sum(found) == cap - lead and len(found) == k and not Counter(found) - left)
+
+
+def test_plan_takes_pairs_and_triples_and_meets_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = np.zeros(2049, np.int64)
+    for row in packing.pieces(docs).groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    made = packing.plan(counts)
+    assert sum(m for _, m in made) == -(-int((counts * np.arange(2049)).sum()) // 2048)
+    exact = Counter()
+    free = counts.copy()
+    for pattern, times in packing.exact_fillings(free, 2048):
+        assert sum(n * k for n, k in pattern) == 2048
+        exact[sum(k for _, k in pattern)] += times
+    assert min(exact[k] for k in (2, 3, 4)) > 0 and (free >= 0).all()
+
+
 def test_quality(spark):
     big = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")

@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences by exact-complement hashing.
 
 Only counts per length decide where pieces go, and there are no more lengths than a sequence has tokens: the histogram
-is gathered and the plan made on the driver, whatever the size of the corpus. The plan takes the longest length that is
-left, and looks up whether one, two or three available lengths fill its gap exactly; it uses up such a combination as
-often as the counts allow. What has no complement goes by best fit, longest first. The plan is a short list of slots
+is gathered and the plan made on the driver, whatever the size of the corpus. The sums of one, two and three available
+lengths are indexed; longest lengths first, gaps are filled exactly by one, then by two, then by three pieces, and such a
+combination is used up as often as the counts allow. What has no complement goes by best fit, longest first. The plan is a short list of slots
 (length, range of ranks) -> (sequences, offset), and each piece finds its slot by its rank among pieces of its length.
 """
 
@@ -109,61 +109,91 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, capac
     return texts(docs, id_col, text_col).mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
 
 
-def _times(need: Counter, free: np.ndarray) -> int:
-    return min(int(free[n]) // k for n, k in need.items())
-
-
-def complement(gap: int, top: int, free: np.ndarray, slack: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths of at most `top` that add up to gap, larger ones first; the caller has taken
-    the piece that leaves the gap off the counts. Of two or three, all but the last come within `slack` of the longest
-    length that would fit: fillings of small lengths alone would leave the middling ones without partners. A slack below
-    zero leaves single complements alone."""
-    if gap <= top and free[gap] > 0:
-        return (gap,)
-
-    def first(g: int, most: int) -> np.ndarray:
-        """Lengths that may come next in a gap of g, longest first."""
-        found = np.flatnonzero(free[: min(most, g - 1) + 1])[::-1]
-        return found[found >= found[0] - slack] if len(found) else found
+Patterns = list[tuple[tuple[tuple[int, int], ...], int]]
 
-    def pair(g: int, most: int) -> tuple[int, int] | None:
-        b = first(g, most)
-        c = g - b
-        ok = (c <= b) & (free[c] > (b == c))
-        return (int(b[k := int(np.argmax(ok))]), int(c[k])) if ok.any() else None
 
-    if found := pair(gap, top):
+class SumIndex:
+    """Available lengths by the sums of one, two and three of them, under their counts.
+
+    The index is built once from the lengths there are: pairs by their sum, and triples by their sum as a length and the
+    sum of a pair. Counts only fall, so an entry whose pieces have run out stays out; entries are looked up against the
+    counts as they are. Of pairs those of like lengths come first, which leaves small lengths, that fit anywhere, to the end."""
+
+    def __init__(self, free: np.ndarray, capacity: int):
+        self.free, self.capacity = free, capacity
+        self.lengths = np.flatnonzero(free[:capacity])
+        i, j = np.triu_indices(len(self.lengths))
+        self.pairs = self._by_sum(self.lengths[j], self.lengths[i])
+        sums = np.flatnonzero(np.diff(self.pairs[0]))
+        self.triples = self._by_sum(np.repeat(self.lengths, len(sums)), np.tile(sums, len(self.lengths)))
+        self.alive = np.zeros(capacity + 1, bool)
+        self.alive[sums] = True
+
+    def _by_sum(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first entry of each sum, x, y) of the entries whose sum leaves room for another piece, the most alike first."""
+        fits = x + y < self.capacity
+        x, y = x[fits], y[fits]
+        at = np.lexsort((np.abs(x - y), x + y))
+        return np.searchsorted((x + y)[at], np.arange(self.capacity + 2)), x[at], y[at]
+
+    def _pair(self, total: int) -> tuple[int, int] | None:
+        first, x, y = self.pairs
+        x, y = x[first[total] : first[total + 1]], y[first[total] : first[total + 1]]
+        ok = (self.free[x] > 0) & (self.free[y] > (x == y))
+        return (int(x[k := int(np.argmax(ok))]), int(y[k])) if ok.any() else None
+
+    def _bury(self, total: int, lead: int) -> None:
+        """Leave a sum out from now on if none of its pairs has any piece left, those held by the search put back."""
+        first, x, y = self.pairs
+        x, y = x[first[total] : first[total + 1]], y[first[total] : first[total + 1]]
+        self.alive[total] = bool((((self.free[x] > 0) | (x == lead)) & ((self.free[y] > 0) | (y == lead))).any())
+
+    def complement(self, lead: int, pieces: int) -> tuple[int, ...] | None:
+        """`pieces` available lengths (one, two or three) that fill the gap beside a piece of length lead exactly."""
+        gap, free = self.capacity - lead, self.free
+        free[lead] -= 1
+        found = None
+        if pieces == 1:
+            found = (gap,) if free[gap] > 0 else None
+        elif pieces == 2:
+            found = self._pair(gap)
+        else:
+            first, x, y = self.triples
+            x, y = x[first[gap] : first[gap + 1]], y[first[gap] : first[gap + 1]]
+            for k in np.flatnonzero((free[x] > 0) & self.alive[y]).tolist():
+                n = int(x[k])
+                free[n] -= 1
+                pair = self._pair(int(y[k]))
+                free[n] += 1
+                if pair is None:
+                    self._bury(int(y[k]), lead)
+                if pair:
+                    found = (n, *pair)
+                    break
+        free[lead] += 1
         return found
-    for b in first(gap - 1, top).tolist():
-        free[b] -= 1
-        found = pair(gap - b, b)
-        free[b] += 1
-        if found:
-            return (b, *found)
-    return None
 
-
-Patterns = list[tuple[tuple[tuple[int, int], ...], int]]
+    def consume(self, lengths: tuple[int, ...]) -> tuple[tuple[tuple[int, int], ...], int]:
+        """Take a combination off the counts as often as they allow."""
+        need = Counter(lengths)
+        times = min(int(self.free[n]) // k for n, k in need.items())
+        for n, k in need.items():
+            self.free[n] -= k * times
+        return tuple(sorted(need.items(), reverse=True)), times
 
 
-def exact_fillings(free: np.ndarray, capacity: int, slack: int) -> Patterns:
-    """Sequences filled without rest, longest lengths first; takes their pieces off free."""
+def exact_fillings(free: np.ndarray, capacity: int) -> Patterns:
+    """Sequences filled without rest: single complements of all lengths, then pairs, then triples, longest lengths first;
+    takes their pieces off free."""
     out: Patterns = []
     if free[capacity]:
         out.append((((capacity, 1),), int(free[capacity])))
         free[capacity] = 0
-    for a in range(capacity - 1, 0, -1):
-        while free[a] > 0:
-            free[a] -= 1
-            rest = complement(capacity - a, a, free, slack)
-            free[a] += 1
-            if rest is None:
-                break
-            need = Counter((a, *rest))
-            times = _times(need, free)
-            for n, k in need.items():
-                free[n] -= k * times
-            out.append((tuple(sorted(need.items(), reverse=True)), times))
+    index = SumIndex(free, capacity)
+    for pieces in (1, 2, 3):
+        for lead in index.lengths[::-1].tolist():
+            while free[lead] > 0 and (rest := index.complement(lead, pieces)):
+                out.append(index.consume((lead, *rest)))
     return out
 
 
@@ -198,15 +228,11 @@ def best_fit(free: np.ndarray, capacity: int) -> Patterns:
     return [(tuple(p), m) for entries in bins.values() for p, m in entries]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, slacks: tuple[int, ...] = (-1, 0, 4, CAPACITY)) -> Patterns:
-    """counts[n] pieces of length n -> [(((length, repeats), ...), sequences)]. Of some slacks the one that gives the
-    fewest sequences is taken; they are tried on the histogram alone."""
-    found = []
-    for slack in slacks:
-        free = counts.astype(np.int64).copy()
-        out = exact_fillings(free, capacity, slack)
-        found.append(out + best_fit(free, capacity))
-    return min(found, key=lambda p: sum(m for _, m in p))
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> Patterns:
+    """counts[n] pieces of length n -> [(((length, repeats), ...), sequences)]: exact fillings, then best fit of the rest."""
+    free = counts.astype(np.int64).copy()
+    out = exact_fillings(free, capacity)
+    return out + best_fit(free, capacity)
 
 
 def slots(patterns: Patterns) -> np.ndarray:
