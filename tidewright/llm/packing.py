@@ -130,7 +130,7 @@ class SumIndex:
         self.alive[sums] = True
 
     def _by_sum(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first entry of each sum, x, y) of the entries whose sum leaves room for another piece, the most alike first."""
+        """(first entry of each sum, x, y) of the entries whose sum leaves room for another piece."""
         fits = x + y < self.capacity
         x, y = x[fits], y[fits]
         at = np.lexsort((np.abs(x - y), x + y))
@@ -174,9 +174,14 @@ class SumIndex:
         return found
 
     def consume(self, lengths: tuple[int, ...]) -> tuple[tuple[tuple[int, int], ...], int]:
-        """Take a combination off the counts as often as they allow."""
+        """Take a combination off the counts as often as they allow, and as a partner is left for every piece of more than
+        half a sequence: no two of those go together, so one that is alone costs a sequence."""
         need = Counter(lengths)
         times = min(int(self.free[n]) // k for n, k in need.items())
+        middle = self.capacity // 2
+        large = sum(k for n, k in need.items() if n > middle)
+        if taken := len(lengths) - 2 * large:  # small pieces beyond one for each large one
+            times = min(times, max(0, int(self.free[: middle + 1].sum()) - int(self.free[middle + 1 :].sum())) // taken)
         for n, k in need.items():
             self.free[n] -= k * times
         return tuple(sorted(need.items(), reverse=True)), times
@@ -193,7 +198,10 @@ def exact_fillings(free: np.ndarray, capacity: int) -> Patterns:
     for pieces in (1, 2, 3):
         for lead in index.lengths[::-1].tolist():
             while free[lead] > 0 and (rest := index.complement(lead, pieces)):
-                out.append(index.consume((lead, *rest)))
+                pattern, times = index.consume((lead, *rest))
+                if not times:
+                    break
+                out.append((pattern, times))
     return out
 
 
