@@ -378,6 +378,40 @@ def test_html_outside_the_largest_block():
     assert html_text.main_text(f"<body>{links}<div class=post>{parts}</div>{links}</body>").split() == f"{long} {long} So {part} x".split()
 
 
+def test_html_ends_and_names_that_lose_no_text():
+    for page, want in {
+        "<article><p>One, two.</p><select><option>x<option>y</select><p>After.</p></article>": "One, two. After.",
+        "<article><p>One.</p><button><div>x</div></button><p>After.</p></article>": "One. After.",
+        "<article><p class='social-science'>A, b.</p><p id='menu-of-the-day'>C.</p><label>D</label></article>": "A, b. C. D",
+        "<p>a <b>b<p>c</b> d": "a b c d", "<table><tr><td>a<table><tr><td>b</table>c</table>": "a b c",
+    }.items():
+        assert html_text.main_text(page) == want, page
+
+
+def test_html_ratios_select(monkeypatch):
+    """On a page without telling names the scores decide; in an article, link lists and named boilerplate go, headings stay."""
+    long, short = "Long enough, a text; yes. And more of it, here. " * 9, "Home of it all "
+    bare = f"<body><div><div><span>{short}</span></div><div><span>{short}</span></div><div><span>x</span></div></div><section><p>{long}</p><p>{long}</p></section></body>"
+    listed = f"<article><h2>So</h2><p>{long}</p><ul>{'<li><a href=/>More of this</a>' * 9}</ul><p>{long} <a href=/>In it</a></p><ol>{'<li>item' * 9}</ol><div class=related-posts>{'<p>See x' * 4}</div></article>"
+    named = f"<body><div class=widget><p>{long}</p><p>{long}</p></div><div><p>{short}</p></div></body>"
+    texts = [" ".join(html_text.main_text(p).split()) for p in (bare, listed, named)]
+    want = [f"{long} {long}", f"So {long} {long} In it {'item ' * 9}", f"{long} {long} {short}"]
+    assert texts[:2] == [" ".join(w.split()) for w in want[:2]] and texts[2].startswith(" ".join(long.split()))
+    monkeypatch.setattr(html_text.Page, "scores", lambda self, radius=2: np.array([float(bool(t.strip())) for t in self.text]))
+    assert all(" ".join(html_text.main_text(p).split()) != t for p, t in zip((bare, listed), texts, strict=False))
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        began = time.perf_counter()
+        assert html_text.main_text("<div> <span>" * n + "text, here." + "</b></i>" * n) == "text, here."
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
 def test_media(spark):
     stored = media_avi.stored(frame(spark, ODD))
     out = media_avi.digests(stored).collect()

@@ -1,11 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a root-to-leaf path of tags. Text length and punctuation are added up per path and divided by its
-nodes; both ratios are smoothed over the page order, fused by product and held against a threshold that follows their
-spread. Nodes of paths above it are returned wherever they stand, with all others of the element that holds most of them,
-and with blocks beside them under their lowest common ancestor. Where <article> (or else <main>) holds half of what was
-found, its nodes are returned instead, whatever their paths. Nothing inside elements that are boilerplate by name is.
-"""
+Every text node has a root-to-leaf path of tags; inline tags belong to their block's. Text length and punctuation are added
+up per path and divided by its nodes; both ratios are smoothed over the page order, fused by product and held against a
+threshold that follows their spread. Names that tell of boilerplate (class, id, role) are a prior: they are part of the path
+and cut its score to a tenth, so text that outweighs the rest of its page stays whatever it is called.
+
+Nodes of paths above the threshold are returned wherever they stand, and what stands with them: the element that holds
+most of them, or the <article> elements (or else <main>) that hold half of them, and blocks beside it under their lowest
+common ancestor. There, paths below the threshold lose their text if they are links alone or named as boilerplate;
+headings, captions and short items stay. Elements that are menus, footers, forms or not shown by HTML's own rules have no
+text here."""
 
 from __future__ import annotations
 
@@ -31,12 +35,15 @@ BLOCK = set("address article aside blockquote body br caption center dd details
 PARTS = set("li dt dd caption tbody td tfoot th thead tr".split())
 #: What an opening tag ends when it is still open, up to the element named.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements, and words of class, id or role, that mark boilerplate.
-DROPPED = set("head nav footer aside form button select menu dialog search label input fieldset svg".split())
-MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidebars aside rail comment comments comments-list commentlist disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social follow popup modal overlay widget widgets skip pagination pager tags tagcloud copyright complementary contentinfo disclaimer warning toast announcement paywall donate feedback reviews".split())
+#: Elements that aren't main text by HTML's own rules.
+DROPPED = set("head nav footer aside form button select menu dialog search input fieldset svg".split())
+#: Words of class, id or role that mark boilerplate where the others beside them are neutral.
+MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidebars aside rail comment comments commentlist disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social follow popup modal overlay widget widgets skip pagination pager tags tagcloud copyright complementary contentinfo disclaimer warning toast announcement paywall donate feedback reviews".split())
+NEUTRAL = set("a all and area article author bar bars block body bottom box buttons button cards center col column container content count dark data desktop div element entry extra feed fixed float form full global group head headline holder icon icons id in inline inner item items js js2 large layout left light line link links list lists main medium meta mobile module more new nofollow off on outer page panel parent post posts primary print region right root row secondary section site skin slot small sticky story sub tablet text thread title top tracking unit us user users view web wide wrap wrapper zone".split())
 #: A mark after one of these says what an element has; an article's own head belongs to it.
 NOT_IT, HEADS = {"with", "has", "no", "without", "hide"}, {"header", "masthead", "banner"}
 ARTICLE = {"article", "main"}
+PRIOR = 0.1
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
 
@@ -55,136 +62,182 @@ def hidden(named: dict[str, str]) -> bool:
     return [x.lower() for x in DISPLAY.findall(named.get("style", ""))[-1:]] == ["none"]
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body"):  # hidden until a script shows the page
-        return False
-    named = attributes_of(attributes) if attributes else {}
-    if named and hidden(named):
-        return True
-    if tag == "header":
-        return not in_article
-    if tag in ("main", "article"):
-        return False
-    for name, value in named.items():
-        if name not in ("class", "id", "role"):
-            continue
-        if name == "role" and value.lower() in ("main", "article"):
-            return False
-        words = re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        for before, word in zip(["", *words], words, strict=False):
-            if word in MARKS and before not in NOT_IT and not (in_article and word in HEADS):
+def named_so(named: dict[str, str], in_article: bool) -> bool:
+    """Whether class, id or role mark boilerplate: a name that is a mark and else neutral words or numbers."""
+    for key in ("class", "id", "role"):
+        for name in named.get(key, "").split():
+            words = re.split(r"[_-]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+            marks = [w for before, w in zip(["", *words], words, strict=False) if w in MARKS and before not in NOT_IT and not (in_article and w in HEADS)]
+            if marks and all(w in MARKS or w in NEUTRAL or not w or w.isdigit() for w in words):
                 return True
     return False
 
 
-def text_nodes(page: str) -> list[tuple[str, tuple[int, ...], int, str]]:
-    """(tag path, element chain, block number, decoded text) of every text node outside boilerplate."""
-    stack: list[tuple[str, int, bool]] = []  # tag, element number, whether text inside is dropped
-    nodes: list[tuple[str, tuple[int, ...], int, str]] = []
-    block = serial = at = 0
-    while True:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at and not (stack and stack[-1][2]):
-            text = page[at:end]
-            if m is None:  # a page may be cut within a tag
-                text = re.sub(r"<[/!?a-zA-Z][^<>]*\Z", "", text)
-            if text and (text.strip() or nodes):
-                nodes.append(("/".join(t for t, _, _ in stack), tuple(e for _, e, _ in stack), block, html.unescape(text)))
-        if m is None:
-            break
-        drawn = bool(stack and stack[-1][2]) and any(t == "svg" for t, _, _ in stack)
-        at = m.end(2) if drawn and m[2] else m.end()  # only in a drawing does /> end such elements
-        if not m[4]:
-            continue
-        tag, closing, attributes = m[4].lower(), bool(m[3]), m[5]
-        if tag in BLOCK:
-            block += 1
-        if tag in VOID:
-            continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and tag != "svg" and stack[k][0] in BLOCK:
-                    break
-            continue
-        if drawn and tag in BLOCK and not any(t == "foreignobject" for t, _, _ in stack):  # a drawing left open ends here
-            del stack[next(k for k, (t, _, _) in enumerate(stack) if t == "svg") :]
-        over, until = ENDS.get(tag, (None, None))
-        if over is None and tag in BLOCK:
-            over, until = {"p"}, {"td", "th", "button", "object"}
-        if over:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in until or stack[k][0] == "foreignobject":
-                    break
-                if stack[k][0] in over:
-                    del stack[k:]
-                    break
-        serial += 1
-        inside = any(t in ARTICLE for t, _, _ in stack)
-        stack.append((tag, serial, bool(stack and stack[-1][2]) or boilerplate(tag, attributes, inside)))
-        if attributes.rstrip().endswith("/") and tag not in BLOCK:
-            stack.pop()
-    return nodes
-
-
-def path_scores(nodes: list[tuple[str, tuple[int, ...], int, str]], radius: int = 2) -> np.ndarray:
-    """The fused, smoothed ratio of each node's path: the mean of its nodes, so that a neighbour alone lifts no path."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, _, _, text in nodes:
-        if text.strip():
-            length[path] += len(text.strip())
-            marks[path] += len(PUNCTUATION.findall(text))
-            count[path] += 1
-    n = len(nodes)
-    ratios = np.array([[length[p] / max(1, count[p]), marks[p] / max(1, count[p])] for p, _, _, _ in nodes]).reshape(n, 2)
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / (radius / 2)) ** 2)
-    smooth = np.stack([np.convolve(np.pad(r, radius, mode="edge"), kernel / kernel.sum(), "valid") for r in ratios.T], axis=1)
-    own = np.array([bool(t.strip()) for _, _, _, t in nodes])
-    fused = np.where(own, np.sqrt(smooth[:, 0] * (1 + smooth[:, 1])), 0)
-    total: dict[str, float] = defaultdict(float)
-    for (path, _, _, _), x in zip(nodes, fused.tolist(), strict=True):
-        total[path] += x
-    return np.where(own, [total[p] / max(1, count[p]) for p, _, _, _ in nodes], 0)
+#: What may be open in a scope, by the tags that end it when they open: index into an open element's places.
+_ENDED_BY = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_BOUND = {"ul": (1,), "ol": (1,), "menu": (1,), "dl": (2,), "table": (0, 3, 4), "tr": (4,), "td": (0,), "th": (0,), "select": (5,), "button": (0,), "object": (0,), "foreignobject": (0, 1, 2, 3, 4, 5)}
+#: Elements whose end tag ends whatever is open inside; the end tag of others stops at a block.
+_WHOLE = BLOCK | DROPPED | {"object", "option", "foreignobject"}
+
+
+class Page:
+    """The text nodes of a page and its tree of elements, numbered in the order of their start tags (0: the page)."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.depth, self.last = [-1], [""], [0], [0]
+        self.element: list[int] = []  # of each text node
+        self.path: list[int] = []
+        self.block: list[int] = []
+        self.text: list[str] = []
+        self.link: list[bool] = []
+        self.marked: list[bool] = []  # of each path
+        paths: dict[tuple[int, str, bool], int] = {}
+        # tag, element, no text inside, in an article, in a drawing, path, in a link, open elements that start tags end
+        stack: list[tuple] = [("", 0, False, False, False, self._path(paths, -1, "", False), False, (-1,) * 6)]
+        open_tags: dict[str, int] = defaultdict(int)
+        block = at = 0
+
+        def close(k: int) -> None:
+            for t, e, *_ in stack[k:]:
+                open_tags[t] -= 1
+                self.last[e] = len(self.tag) - 1
+            del stack[k:]
+
+        while True:
+            m = TOKEN.search(page, at)
+            end = m.start() if m else len(page)
+            top = stack[-1]
+            if end > at and not top[2]:
+                text = page[at:end]
+                if m is None:  # a page may be cut within a tag
+                    text = re.sub(r"<[/!?a-zA-Z][^<>]*\Z", "", text)
+                if text and (self.text or not text.isspace()):
+                    self.element.append(top[1])
+                    self.path.append(top[5])
+                    self.block.append(block)
+                    self.link.append(top[6])
+                    self.text.append(html.unescape(text))
+            if m is None:
+                break
+            drawn = top[4]
+            at = m.end(2) if drawn and m[2] else m.end()  # only in a drawing does /> end such elements
+            if not m[4]:
+                continue
+            tag, closing, attributes = m[4].lower(), bool(m[3]), m[5]
+            if tag in BLOCK:
+                block += 1
+            if tag in VOID:
+                continue
+            if closing:
+                if open_tags[tag]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] == tag:
+                            close(k)
+                            break
+                        if tag not in _WHOLE and stack[k][0] in BLOCK:
+                            break
+                continue
+            if drawn and tag in BLOCK and not open_tags["foreignobject"]:  # a drawing left open ends here
+                close(next(k for k in range(1, len(stack)) if stack[k][4]))
+            place = _ENDED_BY.get(tag, 0 if tag in BLOCK else None)
+            if place is not None and stack[-1][7][place] > 0:
+                close(stack[-1][7][place])
+            _, parent, hid, inside, drawn, path, link, places = stack[-1]
+            number = len(self.tag)
+            named = attributes_of(attributes) if attributes and not attributes.isspace() else {}
+            if tag not in ("html", "body"):  # those are hidden until a script shows the page
+                role = named.get("role", "").lower()
+                hid = hid or (tag in DROPPED and role not in ARTICLE) or bool(named) and hidden(named) or (tag == "header" and not inside)
+                mark = tag not in ARTICLE and role not in ARTICLE and named_so(named, inside)
+                if tag in BLOCK or mark:
+                    path = self._path(paths, path, tag, mark)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.depth.append(self.depth[parent] + 1)
+            self.last.append(number)
+            if attributes.rstrip().endswith("/") and tag not in BLOCK:
+                continue
+            here, own = list(places), len(stack)
+            for k in _BOUND.get(tag, ()):
+                here[k] = -1
+            if tag == "p":
+                here[0] = own
+            elif tag in _ENDED_BY:
+                here[_ENDED_BY[tag]] = own
+            open_tags[tag] += 1
+            stack.append((tag, number, hid, inside or tag in ARTICLE, (drawn or tag == "svg") and tag != "foreignobject", path, link or tag == "a", tuple(here)))
+        close(1)
+        self.last[0] = len(self.tag) - 1
+
+    def _path(self, paths: dict, parent: int, tag: str, mark: bool) -> int:
+        if (parent, tag, mark) not in paths:
+            paths[parent, tag, mark] = len(paths)
+            self.marked.append(mark or parent >= 0 and self.marked[parent])
+        return paths[parent, tag, mark]
+
+    def scores(self, radius: int = 2) -> np.ndarray:
+        """The fused, smoothed ratio of each node's path, zero where it has no text: the mean of the path's nodes, so that a
+        neighbour alone lifts no path; a tenth where it is named as boilerplate."""
+        own = np.array([bool(t.strip()) for t in self.text])
+        path, paths = np.array(self.path), len(self.marked)
+        count = np.maximum(1, np.bincount(path, own, paths))
+        length = np.bincount(path, [len(t.strip()) for t in self.text], paths) / count
+        marks = np.bincount(path, [len(PUNCTUATION.findall(t)) for t in self.text], paths) / count
+        kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / (radius / 2)) ** 2)
+        smooth = [np.convolve(np.pad(r[path], radius, mode="edge"), kernel / kernel.sum(), "valid") for r in (length, marks)]
+        fused = np.bincount(path, np.where(own, np.sqrt(smooth[0] * (1 + smooth[1])), 0), paths) / count
+        return np.where(own, (fused * np.where(self.marked, PRIOR, 1))[path], 0)
+
+    def selected(self, scores: np.ndarray) -> list[bool]:
+        """Which text nodes are main text."""
+        full = scores[scores > 0]
+        chosen = scores >= max(full.max() * 0.3, full.mean() - full.std(), 1e-9)
+        size = np.array([len(t.strip()) for t in self.text])
+        weight = np.bincount(self.element, np.where(chosen, size, 0), len(self.tag)).astype(np.int64).tolist()
+        for e in range(len(weight) - 1, 0, -1):  # children have larger numbers
+            weight[self.parent[e]] += weight[e]
+        total = weight[0]
+        links = np.bincount(self.path, np.where(self.link, size, 0), len(self.marked)) >= 0.9 * np.maximum(1, np.bincount(self.path, size, len(self.marked)))
+        lost = ~chosen & (np.array(self.marked) | links)[self.path]
+        articles = [e for e, t in enumerate(self.tag) if t == "article" and weight[e]] or [e for e, t in enumerate(self.tag) if t == "main" and weight[e]]
+        outer, end = [], -1
+        for e in articles:
+            if e > end:
+                outer.append(e)
+                end = self.last[e]
+        if outer and 2 * sum(weight[e] for e in outer) >= total:
+            inside = np.zeros(len(self.tag) + 1, np.int64)
+            for e in outer:
+                inside[e] += 1
+                inside[self.last[e] + 1] -= 1
+            inside = np.cumsum(inside) > 0
+            return [bool(inside[e]) and not x for e, x in zip(self.element, lost.tolist(), strict=True)]
+        holder = common = 0
+        for e in range(1, len(self.tag)):
+            if 10 * weight[e] >= 8 * total and self.depth[e] > self.depth[holder]:
+                holder = e
+            if weight[e] == total and self.depth[e] > self.depth[common]:
+                common = e
+        if self.tag[holder] in ("p", "h1", "span", "b", "i", "em", "strong", "a"):  # a lone paragraph: its parent
+            holder = self.parent[holder]
+        whole = [0] * len(self.tag)  # the block that an element stands in, lists and tables as one
+        for e in range(1, len(self.tag)):
+            whole[e] = e if self.tag[e] in BLOCK and self.tag[e] not in PARTS else whole[self.parent[e]]
+        taken = []
+        for ok, e, gone in zip(chosen.tolist(), self.element, lost.tolist(), strict=True):
+            k = whole[e]
+            beside = common <= e <= self.last[common] and (weight[k] > 0 or k > 0 and weight[self.parent[k]] > 0 and self.depth[k] > self.depth[common])
+            taken.append((ok or holder <= e <= self.last[holder] or beside) and not gone)
+        return taken
 
 
 def main_text(page: str) -> str:
     """The content nodes of a page: blocks trimmed, their white space made one space, joined by one space in page order."""
-    nodes = text_nodes(page)
-    if not any(t.strip() for _, _, _, t in nodes):
+    nodes = Page(page)
+    if all(t.isspace() for t in nodes.text):
         return ""
-    scores = path_scores(nodes)
-    full = scores[scores > 0]
-    chosen = scores >= max(full.max() * 0.3, full.mean() - full.std())
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    kind: dict[int, str] = {}
-    for ok, (path, chain, _, text) in zip(chosen, nodes, strict=True):
-        if ok:
-            for k, (e, tag) in enumerate(zip((0, *chain), ("", *path.split("/")), strict=False)):  # 0: the page
-                weight[e] += len(text.strip())
-                depth[e], kind[e] = k, tag
-    total = weight[0]
-    articles = {e for e in weight if kind[e] == "article"} or {e for e in weight if kind[e] == "main"}
-    if articles and 2 * sum(weight[e] for e in articles) >= total:
-        taken = [not articles.isdisjoint(chain) for _, chain, _, _ in nodes]
-    else:
-        holder = max((e for e in weight if weight[e] >= 0.8 * total), key=lambda e: (depth[e], -e))
-        if kind[holder] in ("p", "h1", "span", "b", "i", "em", "strong", "a"):  # a lone paragraph: its parent
-            holder = next((0, *c)[depth[holder] - 1] for _, c, _, _ in nodes if holder in c)
-        common = max((e for e in weight if weight[e] == total), key=lambda e: depth[e])
-        taken = []
-        for ok, (path, chain, _, _) in zip(chosen, nodes, strict=True):
-            whole = (0, *chain)
-            k = next((k for k, t in reversed([*enumerate(path.split("/"), 1)]) if t in BLOCK and t not in PARTS), 0)
-            beside = common in whole and (whole[k] in weight or whole[max(0, k - 1)] in weight and k > depth[common])
-            taken.append(bool(ok) or holder in whole or beside)
     blocks: dict[int, list[str]] = {}
-    for ok, (_, _, block, text) in zip(taken, nodes, strict=True):
+    for ok, block, text in zip(nodes.selected(nodes.scores()), nodes.block, nodes.text, strict=True):
         if ok:
             blocks.setdefault(block, []).append(text)
     return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks.values()) if x)
