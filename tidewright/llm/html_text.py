@@ -155,7 +155,7 @@ class Page:
             self.tag.append(tag)
             self.depth.append(self.depth[parent] + 1)
             self.last.append(number)
-            if attributes.rstrip().endswith("/") and tag not in BLOCK:
+            if attributes.rstrip().endswith("/") and tag not in BLOCK and (drawn or tag == "math" or tag in DROPPED or "-" in tag):
                 continue
             here, own = list(places), len(stack)
             for k in _BOUND.get(tag, ()):
