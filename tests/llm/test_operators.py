@@ -57,7 +57,27 @@ def test_exact_dedup_odd(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     kept = exact_dedup.deduplicated(frame(spark, ODD))
     assert kept.columns == frame(spark, []).columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 3, 5, 8, 9]  # a null id that is kept keeps all null ids
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 5, 8, 9]  # a copy without id goes as any other
+
+
+def test_exact_dedup_of_null_and_shared_ids(spark):
+    data = [(1, "t"), (None, "t"), (None, "other"), (None, "o ther"), (5, "u"), (5, "u"), (5, "v"), (6, "v"), (7, "w"), (7, "t ")]
+    out = exact_dedup.deduplicated(frame(spark, data))
+    assert out.schema == frame(spark, []).schema
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "o ther"), (5, "u"), (5, "v"), (7, "t "), (7, "w")]
+    assert exact_dedup.deduplicated(frame(spark, [])).count() == 0
+
+
+def test_exact_dedup_shuffles_texts_of_hits_alone(spark, docs):
+    """What passes the filter is what several runs hold, and few others; a filter out of room loses nothing."""
+    some = docs.select("doc_id", "text").repartition(3)
+    index, light = exact_dedup.build_index(some, memtable_bytes=200_000)
+    digests = [bytes(r.digest) for r in index.select("digest").distinct().collect()]
+    for most in (1 << 20, 64 * 8):
+        filters = [exact_dedup.Bloom(bits=b) for b in exact_dedup.hit_filter(spark.createDataFrame([(d,) for d in digests[:40]], "digest binary"), 64, most)]
+        passed = {d for d in digests if d in filters[zlib.crc32(d) % 64]}
+        assert set(digests[:40]) <= passed and (most < 1 << 20 or len(passed) < 40 + len(digests) // 10)
+    assert light.count() == docs.count() and index.agg(F.sum("group_size")).first()[0] == docs.count()
 
 
 def fp_brute(text, width=3):

@@ -1,15 +1,17 @@
 """Exact de-duplication by a log-structured merge index.
 
-Memtables in the tasks that read the documents collapse equal texts as they come and flush sorted digest runs, each with
-a Bloom filter of its digests. Compaction brings the runs of a digest range together, merges them in digest order, keeps
-the preferred (smallest) identifier of each text and adds up the sizes. A hit, in a memtable or in compaction, counts
-only after the bytes have been compared; texts of one digest that differ stay apart as variants of it.
+Memtables in the tasks that read the documents collapse equal texts as they come and flush sorted digest runs. Merging
+the runs, without any text, keeps the preferred (smallest) identifier of each digest and adds up the sizes; digests that
+several runs hold are hits. Hits go into a sliced Bloom filter of bounded size, which every task gets: only texts that the
+filter lets through are shuffled, for compaction, where a hit counts once its bytes have been compared; texts of one
+digest that differ stay apart as variants of it. Beyond its bound the filter lets more texts through, and loses none.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, by_slices, lookup, saved, texts
+from .common import SPACE_BYTES, fresh, lookup, saved, texts
 
-RUNS = "bucket int, digest binary, run string, variant int, rank long, best_id long, n long, body binary"
-_RUNS = pa.schema([("bucket", pa.int32()), ("digest", pa.binary()), ("run", pa.string()), ("variant", pa.int32()), ("rank", pa.int64()), ("best_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+RUNS = "digest binary, run string, variant int, rank long, best_id long, n long, body binary, doc_id long, text_sha256 string"
+_RUNS = pa.schema([("digest", pa.binary()), ("run", pa.string()), ("variant", pa.int32()), ("rank", pa.int64()), ("best_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("doc_id", pa.int64()), ("text_sha256", pa.string())])
 INDEX = "digest binary, variant int, keep_id long, group_size long"
 _INDEX = pa.schema([("digest", pa.binary()), ("variant", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
@@ -29,8 +31,8 @@ _INDEX = pa.schema([("digest", pa.binary()), ("variant", pa.int32()), ("keep_id"
 class Bloom:
     """A Bloom filter of digests; the digest's own bytes serve as its hashes."""
 
-    def __init__(self, n: int = 0, bits: bytes | None = None):
-        self.bits = bytearray(bits if bits is not None else max(8, n * 10 // 8 + 1))
+    def __init__(self, size: int = 8, bits: bytes | None = None):
+        self.bits = bytearray(bits if bits is not None else size)
 
     def _places(self, digest: bytes) -> list[int]:
         a, b = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:16], "little") | 1
@@ -58,34 +60,36 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
 
-def memtables(digest_bytes: int, limit_bytes: int, buckets: int):
-    """Documents -> sorted runs. A memtable is flushed at limit_bytes of texts, so a task's memory is bounded."""
+def memtables(digest_bytes: int, limit_bytes: int, hits: list[bytes] | None = None):
+    """Documents -> sorted runs. A memtable is flushed at limit_bytes of texts, so a task's memory is bounded.
+
+    Without hits (slices of the filter) each document also gives a row of its digest, and runs carry no texts; with them,
+    only documents that the filter lets through are taken, and runs carry the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, list[list]] = {}
         held, flushed = 0, 0
-        task = TaskContext.get()
+        task, pack = TaskContext.get(), zstandard.ZstdCompressor(level=1)
+        filters = [Bloom(bits=b) for b in hits] if hits else None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            name, pack, filters, rows = f"{task.partitionId() if task else 0}-{flushed}", zstandard.ZstdCompressor(level=1), {}, []
-            sizes: dict[int, int] = {}
-            where = {d: int.from_bytes(d[-4:], "little") % buckets for d in table}
-            for b in where.values():
-                sizes[b] = sizes.get(b, 0) + 1
-            for digest in sorted(table):
-                b = where[digest]
-                filters.setdefault(b, Bloom(sizes[b])).add(digest)
-                rows += [(b, digest, name, v, rank, best, n, pack.compress(body)) for v, (body, rank, best, n) in enumerate(table[digest])]
-            rows += [(b, b"", name, 0, 0, None, len(f.bits), bytes(f.bits)) for b, f in filters.items()]
+            name = f"{task.partitionId() if task else 0}-{flushed}"
+            rows = [(d, name, v, rank, best, n, pack.compress(body) if filters else None, None, None) for d in sorted(table) for v, (body, rank, best, n) in enumerate(table[d])]
             for at in range(0, len(rows), 2000):
                 yield _batch(rows[at : at + 2000], _RUNS)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, points = part.column(0).to_pylist(), pc.utf8_length(part.column(1)).to_pylist()
-                for i, n, body in zip(ids, points, normalised(part.column(1)), strict=True):
-                    digest = hashlib.sha256(body).digest()[:digest_bytes]
+                ids, points, bodies = part.column(0).to_pylist(), pc.utf8_length(part.column(1)).to_pylist(), normalised(part.column(1))
+                hashed = list(map(hashlib.sha256, bodies))
+                digests = [h.digest()[:digest_bytes] for h in hashed]
+                if filters is None:
+                    none = [pa.nulls(len(ids), t) for t in _RUNS.types[1:7]]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *none, part.column(0), pa.array([h.hexdigest() for h in hashed])], schema=_RUNS)
+                for i, n, body, digest in zip(ids, points, bodies, digests, strict=True):
+                    if filters and digest not in filters[crc32(digest) % len(filters)]:
+                        continue
                     for entry in (variants := table.setdefault(digest, [])):
                         if entry[0] == body:  # the byte check of a hit
                             if _better((-n, i), (entry[1], entry[2])):
@@ -104,46 +108,46 @@ def memtables(digest_bytes: int, limit_bytes: int, buckets: int):
     return run
 
 
-def compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of some buckets, in order of bucket and digest (filters first) -> index rows. It streams: one digest is held
-    at a time besides the bucket's filters. Where no other run's filter has a digest, its entry passes without unpacking."""
-    unpack = zstandard.ZstdDecompressor()
-    bucket, filters, out = None, {}, []
-    digest, entries, runs = None, [], set()
+def hit_filter(hits: DataFrame, slices: int, most_bytes: int = 32 << 20) -> list[bytes]:
+    """A Bloom filter of the digests, in slices that are built where they lie: ten bits a digest, most_bytes in all."""
+    size = min(most_bytes // slices, hits.count() * 13 // 8 // slices + 64)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Bloom] = {}
+        for batch in batches:
+            for k, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made.setdefault(k, Bloom(size)).add(digest)
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([bytes(f.bits) for f in made.values()], pa.binary())], names=["slice", "bits"])
 
-    def admitted(d: bytes, run: str) -> bool:
-        return any(d in f for r, f in filters.items() if r != run)
+    keyed = hits.select((F.crc32("digest") % slices).alias("slice"), "digest").repartition("slice")
+    found = {r["slice"]: bytes(r["bits"]) for r in keyed.mapInArrow(build, "slice long, bits binary").collect()}  # at most most_bytes
+    return [found.get(k, bytes(8)) for k in range(slices)]
+
+
+def compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs in order of digest -> index rows. It streams: the texts of one digest are held at a time, each once."""
+    unpack, out = zstandard.ZstdDecompressor(), []
+    digest, entries = None, []
 
     def close() -> None:
         out.extend((digest, v, best, n) for v, (_, _, best, n) in enumerate(entries))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
-        for b, d, run, _, rank, best, n, body in zip(*columns, strict=True):
-            if b != bucket:
-                if digest is not None:
-                    close()
-                bucket, filters, digest, entries = b, {}, None, []
-            if d == b"":
-                filters[run] = Bloom(bits=body)
-                continue
+        columns = [batch.column(c).to_pylist() for c in ("digest", "rank", "best_id", "n", "body")]
+        for d, rank, best, n, body in zip(*columns, strict=True):
             if d != digest:
                 if digest is not None:
                     close()
-                digest, entries, runs = d, [], set()
-                single = len(filters) <= 32 and not admitted(d, run)
-            if single and run in runs or not entries:  # variants of one run differ already
-                entries.append([body, rank, best, n])
+                digest, entries = d, []
+            for entry in entries:
+                if entry[0] == body or unpack.decompress(entry[0]) == unpack.decompress(body):  # the byte check
+                    if _better((rank, best), (entry[1], entry[2])):
+                        entry[1:3] = rank, best
+                    entry[3] += n
+                    break
             else:
-                for entry in entries:
-                    if entry[0] == body or unpack.decompress(entry[0]) == unpack.decompress(body):  # the byte check
-                        if _better((rank, best), (entry[1], entry[2])):
-                            entry[1:3] = rank, best
-                        entry[3] += n
-                        break
-                else:
-                    entries.append([body, rank, best, n])
-            runs.add(run)
+                entries.append([body, rank, best, n])
             if len(out) >= 4000:
                 yield _batch(out, _INDEX)
                 out.clear()
@@ -153,28 +157,33 @@ def compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, _INDEX)
 
 
-def build_index(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 24 << 20, buckets: int = 4096) -> DataFrame:
-    """The compacted index (digest, variant, keep_id, group_size) of (doc_id, text)."""
-    runs = docs.mapInArrow(memtables(digest_bytes, memtable_bytes, buckets), RUNS)
-    return runs.repartition("bucket").sortWithinPartitions("bucket", "digest", "run").mapInArrow(compacted, INDEX)
+def build_index(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 24 << 20, slices: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The compacted index (digest, variant, keep_id, group_size) of (doc_id, text), and (doc_id, digest, text_sha256) of
+    every row."""
+    first = saved(docs.mapInArrow(memtables(digest_bytes, memtable_bytes), RUNS).drop("body"), "exact-runs")
+    light = first.filter("text_sha256 IS NOT NULL").select("doc_id", "digest", "text_sha256")
+    best = F.min(F.struct("rank", F.col("best_id").isNull(), "best_id")).getField("best_id")
+    runs = first.filter("text_sha256 IS NULL").groupBy("digest").agg(F.count("*").alias("entries"), best.alias("keep_id"), F.sum("n").alias("group_size"))
+    merged = saved(runs, "exact-merged")
+    once, hits = merged.filter("entries = 1").select("digest", F.lit(0).alias("variant"), "keep_id", "group_size"), merged.filter("entries > 1").select("digest")
+    if hits.isEmpty():
+        return once, light
+    met = docs.mapInArrow(memtables(digest_bytes, memtable_bytes, hit_filter(hits, slices)), RUNS).select("digest", "run", "variant", "rank", "best_id", "n", "body")
+    checked = met.repartition("digest").sortWithinPartitions("digest", "run", "variant").mapInArrow(compacted, INDEX).join(hits, "digest", "left_semi")
+    return saved(once.unionByName(checked), "exact-index"), light
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable_bytes: int = 24 << 20, buckets: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable_bytes: int = 24 << 20, buckets: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without white space. Of equal texts the one with the most code points stays,
     then the smallest doc_id. Null and empty texts, and those of white space alone, form one group. A null doc_id loses
     against any other. Rows that repeat a doc_id and its text are counted and returned each; all of them are kept when
-    that doc_id is, as nothing tells them apart. An empty table gives an empty result. Other columns are not read.
+    that doc_id is, as nothing tells them apart. An empty table gives an empty result. Other columns are not read. buckets:
+    slices of the filter.
     """
     docs = texts(docs, id_col, text_col)
-    index = saved(build_index(docs, digest_bytes, memtable_bytes, buckets), "exact-index")
-
-    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashed = [hashlib.sha256(x) for x in normalised(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.digest()[:digest_bytes] for h in hashed], pa.binary()), pa.array([h.hexdigest() for h in hashed])], names=["doc_id", "digest", "text_sha256"])
-
-    light = saved(docs.mapInArrow(by_slices(digests), "doc_id long, digest binary, text_sha256 string"), "exact-digests")
+    index, light = build_index(docs, digest_bytes, memtable_bytes, buckets)
     total = index.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     collided = index.filter("variant > 0").select("digest").distinct()
     if collided.isEmpty():
@@ -191,12 +200,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that exact_dedup keeps; of rows alike in every column one stays. Rows
-    that share a doc_id that is kept, but not its text, all stay."""
-    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    ids = stays.distinct()
-    rows = docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi")
-    again = stays.groupBy("_kept_id").count().filter("count > 1").select("_kept_id")
-    if again.isEmpty():
-        return rows
-    return rows.join(again, docs[id_col].eqNullSafe(again["_kept_id"]), "left_anti").unionByName(rows.join(again, docs[id_col].eqNullSafe(again["_kept_id"]), "left_semi").dropDuplicates())
+    """One row of each group of equal texts, with all its columns: that which exact_dedup keeps. Rows that share a doc_id,
+    or have none, are told apart by their texts; of rows alike in doc_id and text without white space the longest stays,
+    of those the one of the largest text and, at last, of the largest hash of all columns."""
+    i, h, sha, own, row = (fresh(n, docs) for n in ("_i", "_h", "_sha", "_own", "_row"))
+    found = saved(exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias(i), "kept", F.col("text_sha256").alias(h)), "exact-found")
+    shared = saved(found.groupBy(i).count().filter(f"count > 1 OR {i} IS NULL").select(i), "exact-shared")
+    stays, key = found.filter("kept").select(i, h), docs[id_col].cast("long")
+    if shared.isEmpty():
+        return docs.join(stays, key == stays[i], "left_semi")
+    alone = stays.join(shared, i, "left_anti").filter(F.col(i).isNotNull())
+    rows = docs.join(alone, key == alone[i], "left_semi")
+    some = docs.join(shared, key == shared[i], "left_semi").unionByName(docs.filter(key.isNull()))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = some.select(F.struct(*docs.columns).alias(row), text.alias("_t"), F.xxhash64(*docs.columns).alias("_x"), F.col(id_col).cast("long").alias(own), F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", "").cast("binary"), 256).alias(sha))
+    # a row of each doc_id and text is picked in the tasks before anything is shuffled
+    picked = some.groupBy(own, sha).agg(F.max_by(row, F.struct(F.char_length("_t"), "_t", "_x")).alias(row))
+    picked = picked.join(stays.distinct(), F.col(own).eqNullSafe(F.col(i)) & (F.col(sha) == F.col(h)), "left_semi")
+    return rows.unionByName(picked.select(f"{row}.*"))
