@@ -136,6 +136,21 @@ def test_forest_of_large_buckets():
     assert sorted(parts[0]) == sorted(parts[1])
 
 
+def test_forest_of_a_hot_bucket():
+    """150 000 distinct fingerprints under one key, with planted neighbours, take seconds, not a lookup of a ball each."""
+    import time
+
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 2**48, 120_000, dtype=np.uint64))
+    near = base[:30_000] ^ np.array([sum(1 << int(b) for b in r.choice(48, 3, replace=False)) for _ in range(30_000)], np.uint64)
+    began = time.perf_counter()
+    edges = simhash._forest(base, near, 3, 2048)
+    assert time.perf_counter() - began < 60
+    met = {frozenset(e) for e in edges}
+    # a planted pair is linked, alone or by others it is near to
+    assert sum(frozenset((int(a), int(b))) in met for a, b in zip(base, near, strict=False)) > 29_900
+
+
 def test_thresholds_fill_the_pigeonhole():
     sample = np.random.default_rng(1).integers(0, 2**63, 512, dtype=np.uint64)
     for total in (10, 10**6, 10**9, 3 * 10**10):

@@ -129,24 +129,27 @@ def _forest(own: np.ndarray, probes: np.ndarray, radius: int, rest: int) -> list
     """A spanning forest of the links of one bucket. own: fingerprints filed under this key; probes: those that reach it
     by flipped bits. Links between two probes show elsewhere, but those found here are true as well.
 
-    Nodes are taken off the unvisited set once each, so edges are fewer than nodes. Up to `rest` nodes a node is compared
-    with all that are unvisited; beyond, it looks its ball up in the sorted set, which costs the same whatever the size.
-    """
+    Up to `rest` nodes a node is compared with all that are unvisited; each is taken off that set once, so edges are fewer
+    than nodes. A larger bucket is parted again: the bits in which its nodes differ are dealt into radius + 1 groups, of
+    which two nodes within the radius share one at least, and nodes that share a group's value are a bucket of fewer bits."""
     left = np.unique(np.concatenate([own, probes]))
     edges: list[tuple[int, int]] = []
-    masks = ball(BITS, radius) if len(left) > rest else None
+    if len(left) > max(rest, 64):
+        differ = np.bitwise_or.reduce(left ^ left[0])
+        bits = [b for b in range(BITS) if int(differ) >> b & 1]
+        for k in range(radius + 1):
+            value = partition_value(left, bits[k :: radius + 1])
+            at = np.argsort(value, kind="stable")
+            edge = np.flatnonzero(np.diff(value[at])) + 1
+            for part in np.split(left[at], edge):
+                if len(part) > 1:
+                    edges += _forest(part, part[:0], radius, rest)
+        return edges
     while len(left) > 1:
         seed, left = left[0], left[1:]
         front = [seed]
         while front and len(left):
-            x = front.pop()
-            if masks is not None and len(left) > rest:
-                wanted = x ^ masks
-                at = np.minimum(np.searchsorted(left, wanted), len(left) - 1)
-                hit = np.zeros(len(left), bool)
-                hit[at[left[at] == wanted]] = True
-            else:
-                hit = np.bitwise_count(left ^ x) <= radius
+            hit = np.bitwise_count(left ^ front.pop()) <= radius
             if hit.any():
                 new = left[hit]
                 edges += [(int(seed), int(y)) for y in new]
@@ -155,7 +158,7 @@ def _forest(own: np.ndarray, probes: np.ndarray, radius: int, rest: int) -> list
     return edges
 
 
-def bucket_links(radius: int, rest: int = 60_000):
+def bucket_links(radius: int, rest: int = 2_048):
     """Rows (part, key, probe, fp) in order of part and key -> edges (a, b) as signed longs. One bucket is held at a
     time, as eight bytes a distinct fingerprint; small buckets are compared together, row with next row."""
 
