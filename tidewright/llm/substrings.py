@@ -7,7 +7,8 @@ with their counts. Only documents with a segment in a shard are streamed against
 statistics give, for every window, how often its word sequence occurs. Spans of repeated windows are removed.
 
 Segments of a minimizer that occurs once in all are unique and end there. A segment that is alone in its shard needs no
-automaton: each of its windows occurs as often as it does. Shards beyond a bound are refined to single windows.
+automaton: each of its windows occurs as often as it does. Shards beyond a bound are refined to single windows, so that
+no task holds more than that bound, whatever a passage is met beside.
 """
 
 from __future__ import annotations
@@ -156,27 +157,27 @@ def segments(words: list[bytes], size: int) -> list[tuple[int, int, int, int, in
     return list(zip(keys[starts].view(np.int64).tolist(), np.array(content, np.uint64).view(np.int64).tolist(), starts.tolist(), windows.tolist(), times.tolist(), strict=True))
 
 
-RUNS = "key long, seg long, doc_id long, crc long, hash long, start int, n int, times int"
+RUNS = "key long, seg long, sha binary, start int, n int, times int"
 
 
-def checked(text: Column) -> tuple[Column, Column]:
-    """What tells rows apart that share a doc_id: crc32 and length in bytes as one number, and XXH64. checks: the same."""
-    return F.shiftleft(F.crc32(text), 32).bitwiseOR(F.octet_length(text).cast("long")), F.xxhash64(text)
+def checked(text: Column) -> tuple[Column]:
+    """What a text is known by: the first half of its SHA-256. Rows of one doc_id, or of none, are so told apart, and equal
+    texts are one. checks: the same."""
+    return (F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16),)
 
 
-def checks(body: bytes) -> tuple[int, int]:
-    both = np.array([crc32(body) << 32 | len(body), xxhash.xxh64_intdigest(body, 42)], np.uint64).view(np.int64)
-    return int(both[0]), int(both[1])
+def checks(body: bytes) -> tuple[bytes]:
+    return (hashlib.sha256(body).digest()[:16],)
 
 
 def _runs(size: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for i, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            crc, code = checks(body)
-            rows += [(k, s, i, crc, code, a, n, t) for k, s, a, n, t in segments(body.split(), size)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        for body in batch.column(1).cast(pa.binary()).to_pylist():
+            (sha,) = checks(body)
+            rows += [(k, s, sha, a, n, t) for k, s, a, n, t in segments(body.split(), size)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUNS.split(", ")])
 
     return work
@@ -232,23 +233,29 @@ def shard_matches(size: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000) -> DataFrame:
-    """(doc_id, crc, hash, spans): of each document that has any, the repeated windows as ranges of word positions, ends
-    included; crc and hash are those of its text and tell rows apart that share a doc_id. docs: (doc_id, text)."""
-    runs = saved(docs.mapInArrow(by_slices(_runs(size), rows=128, most_bytes=2 << 20), RUNS), "segments")
-    often = runs.groupBy("key").agg(F.sum("times").alias("t")).filter("t > 1").select("key")
-    kept = saved(runs.join(often, "key"), "segments-met")
+def frequent_texts(known: DataFrame) -> DataFrame:
+    """(sha) of the texts that more than one row in 4096 has: fewer than 4096, whatever the corpus."""
+    counts = saved(known.groupBy("sha").agg(F.count("*").alias("rows")).filter("rows > 1"), "texts-repeated")
+    return counts.filter(F.col("rows") > known.count() // 4096 + 1).select("sha")
+
+
+def repeated_spans(docs: DataFrame, hot: DataFrame, size: int = 35, shard_words: int = 200_000) -> DataFrame:
+    """(sha, spans): of each text that has any, the repeated windows as ranges of word positions, ends included.
+    docs: (doc_id, text, sha); hot: its frequent texts."""
+    runs = saved(docs.select("doc_id", "text").mapInArrow(by_slices(_runs(size), rows=128, most_bytes=2 << 20), RUNS), "segments")
+    often = saved(runs.groupBy("key").agg(F.sum("times").alias("t"), F.count("*").alias("rows")).filter("t > 1").select("key", "rows"), "minimizers-met")
+    kept = saved(lookup(runs, often, "key", "rows", runs.count()).drop("rows"), "segments-met")
     # one row per distinct segment, with one place where its words stand
-    own = kept.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("times").alias("times"), F.min(F.struct("doc_id", "crc", "hash", "start")).alias("at"))
+    own = saved(kept.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("times").alias("times"), F.min(F.struct("sha", "start")).alias("at")), "segments-distinct")
     sizes = own.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.col("n") + (size - 1)).alias("words"))
-    own = saved(own.join(sizes, "key"), "segments-own")
+    own = saved(lookup(own, sizes, "key", "members", own.count()), "segments-own")
     alone = own.filter("members = 1 AND (copies > 1 OR times = 1)")
     alone = alone.filter("copies > 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges"))
     wanted = own.filter("NOT (members = 1 AND (copies > 1 OR times = 1))")
-    places = wanted.groupBy("at.doc_id", "at.crc", "at.hash").agg(F.collect_list(F.struct("key", "seg", "copies", F.col("at.start").alias("start"), "n", (F.col("words") > shard_words).alias("large"))).alias("places"))
-    known = docs.withColumns(dict(zip(("crc", "hash"), checked(F.col("text")), strict=True)))
-    met = known.join(places, known.doc_id.eqNullSafe(places.doc_id) & (known.crc == places.crc) & (known.hash == places.hash)).select(known.doc_id, known.crc, known.hash, "text", "places")
-    met = met.dropDuplicates(["doc_id", "crc", "hash"])
+    places = wanted.groupBy("at.sha").agg(F.collect_list(F.struct("key", "seg", "copies", F.col("at.start").alias("start"), "n", (F.col("words") > shard_words).alias("large"))).alias("places"))
+    light = docs.select("sha", "text")
+    each = light.join(F.broadcast(hot), "sha", "left_anti").unionByName(light.join(F.broadcast(hot), "sha", "left_semi").dropDuplicates(["sha"]))
+    met = each.join(places, "sha").dropDuplicates(["sha"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
@@ -266,17 +273,26 @@ def repeated_spans(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000
     shards = bodies.filter("window IS NULL").select("key", "seg", "copies", "body")
     matched = shards.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(shard_matches(size), FOUND)
     single = bodies.filter("window IS NOT NULL")
-    twice = single.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash")
-    refined = single.join(twice, "hash").groupBy("key", "seg").agg(F.transform(F.array_sort(F.collect_list("window")), lambda w: F.struct(w.alias("a"), w.alias("b"))).alias("ranges"))
+    # a window that many segments hold is counted in the tasks, and looked up, not met in one
+    counts = single.groupBy("hash").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).filter("n > 1").select("hash", "rows")
+    twice = lookup(single.select("key", "seg", "window", "hash"), saved(counts, "windows-met"), "hash", "rows", single.count())
+    refined = twice.groupBy("key", "seg").agg(F.transform(F.array_sort(F.collect_list("window")), lambda w: F.struct(w.alias("a"), w.alias("b"))).alias("ranges"))
     ranges = alone.unionByName(matched.filter(F.size("ranges") > 0)).unionByName(refined)
     table = saved(ranges.join(own.select("key", "seg", "copies"), ["key", "seg"]), "segments-found")
-    total = own.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    spans = lookup(kept.select("key", "seg", "doc_id", "crc", "hash", "start"), table, ["key", "seg"], "copies", total)
+    spans = lookup(kept.select("key", "seg", "sha", "start"), table, ["key", "seg"], "copies", kept.count())
     shifted = F.transform("ranges", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (size - 1)).alias("b")))
-    return spans.groupBy("doc_id", "crc", "hash").agg(F.flatten(F.collect_list(shifted)).alias("spans"))
+    # a set: rows of equal texts say the same
+    return saved(spans.groupBy("sha").agg(F.flatten(F.collect_set(shifted)).alias("spans")), "spans")
+
+
+def with_spans(rows: DataFrame, spans: DataFrame, hot: DataFrame) -> DataFrame:
+    """Left join of spans to rows by sha; those of the few frequent texts are broadcast, so that no task gets all their rows."""
+    few = F.broadcast(hot)
+    common = rows.join(few, "sha", "left_semi").join(F.broadcast(spans.join(few, "sha", "left_semi")), "sha", "left")
+    return common.unionByName(rows.join(few, "sha", "left_anti").join(spans, "sha", "left"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space), spans (the word
     positions removed, ends included).
 
@@ -285,10 +301,9 @@ def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000
     removed from texts of fewer than `size`. Rows that repeat count as elsewhere to each other. A null doc_id stays
     null. An empty table gives an empty result. Other columns are not read.
     """
-    docs = texts(docs, id_col, text_col)
-    spans = repeated_spans(docs, size, shard_words)
-    known = docs.withColumns(dict(zip(("crc", "hash"), checked(F.col("text")), strict=True)))
-    both = known.join(spans, known.doc_id.eqNullSafe(spans.doc_id) & (known.crc == spans.crc) & (known.hash == spans.hash), "left").select(known.doc_id, "text", "spans")
+    known = texts(docs, id_col, text_col).withColumn("sha", checked(F.col("text"))[0])
+    hot = frequent_texts(known)
+    both = with_spans(known, repeated_spans(known, hot, size, shard_words), hot).select("doc_id", "text", "spans")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(4)]
@@ -332,13 +347,15 @@ def brute_force(bodies: list[str | None], size: int = 35) -> list[tuple[int, int
     return out
 
 
-def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of docs, with all their columns: a text that has repeated windows is replaced by the words that stay,
     joined by one space, and its length column follows; all others are left as they are."""
-    found = fresh("_spans", docs)
-    spans = repeated_spans(texts(docs, id_col, text_col), size, shard_words)
-    crc, code = checked(F.coalesce(docs[text_col], F.lit("")))
-    both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["doc_id"]) & (crc == spans["crc"]) & (code == spans["hash"]), "left").select(*(docs[c] for c in docs.columns), spans["spans"].alias(found))
+    row = fresh("_row", docs)
+    known = texts(docs, id_col, text_col).withColumn("sha", checked(F.col("text"))[0])
+    hot = frequent_texts(known)
+    spans = repeated_spans(known, hot, size, shard_words)
+    whole = docs.select(checked(F.coalesce(docs[text_col], F.lit("")))[0].alias("sha"), F.struct(*(docs[c] for c in docs.columns)).alias(row))
+    both = with_spans(whole, spans, hot).select(f"{row}.*", F.col("spans").alias(fresh("_spans", docs)))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(text: str, found: list[dict]) -> str:
