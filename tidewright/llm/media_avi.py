@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import by_slices, texts
 
@@ -108,7 +109,8 @@ def _chunks(data: memoryview, at: int, end: int):
 
 
 def parse_avi(avi: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """(frames a second, [(offset, size)] of the video frames), by the index where there is one, else by the movi list."""
+    """(frames a second, [(offset, size)] of the video frames), by the index where there is one, else by the movi list.
+    ValueError where there is no such file."""
     data, fps, movi, index = memoryview(avi), FPS, None, None
     if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"AVI ":
         raise ValueError("not an AVI file")
@@ -127,22 +129,39 @@ def parse_avi(avi: bytes) -> tuple[int, list[tuple[int, int]]]:
     if index is None:
         return fps, [(a, s) for name, a, s in _chunks(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
     tag = index[:, 0] >> 16
-    return fps, [(movi[0] + int(o) + 8, int(s)) for o, s in index[(tag == 0x6364) | (tag == 0x6264)][:, 2:]]
+    places = [(movi[0] + int(o) + 8, int(s)) for o, s in index[(tag == 0x6364) | (tag == 0x6264)][:, 2:]]
+    if any(o + s > len(data) for o, s in places):
+        raise ValueError("an AVI file whose index points beyond its end")
+    return fps, places
 
 
 def decode_jpeg(data: bytes) -> np.ndarray:
-    """The block means of a baseline grey JPEG, by the Huffman tables and quantisers that it carries."""
-    at, tables, quant, interval, shape = 2, {}, {}, 0, (0, 0)
+    """The brightness of each 8x8 block of a baseline JPEG, grey or in colour, by the Huffman tables and quantisers that it
+    carries: the means of the first component's blocks. ValueError where there is no such image."""
+    try:
+        return _decoded(data)
+    except (IndexError, KeyError, struct.error) as broken:
+        raise ValueError(f"not a whole baseline JPEG: {broken!r}") from None
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    at, tables, quant, interval, size, parts = 2, {}, {}, 0, (0, 0), []
+    if data[:2] != bytes([0xFF, SOI]):
+        raise ValueError("not a JPEG")
     while True:
-        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-        body = data[at + 4 : at + 2 + size]
-        at += 2 + size
+        marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + length]
+        if data[at] != 0xFF or length < 2:
+            raise ValueError("not a whole baseline JPEG")
+        at += 2 + length
         if marker == DQT:
-            for k in range(0, len(body), 65):
-                quant[body[k] & 15] = body[k + 1]
+            while body:
+                wide = body[0] >> 4
+                quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
+                body = body[65 + 64 * wide :]
         elif marker == SOF0:
-            h, w = struct.unpack(">HH", body[1:5])
-            shape, q = (-(-h // 8), -(-w // 8)), body[8]
+            size = struct.unpack(">HH", body[1:5])
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]  # id, across, down, quantiser
         elif marker == DHT:
             while body:
                 n = sum(body[1:17])
@@ -151,8 +170,12 @@ def decode_jpeg(data: bytes) -> np.ndarray:
         elif marker == DRI:
             interval = int.from_bytes(body, "big")
         elif marker == SOS:
-            dc, ac = tables[body[2] >> 4], tables[0x10 | body[2] & 15]
+            used = {body[k]: body[k + 1] for k in range(1, 1 + 2 * body[0], 2)}
             break
+    if len(parts) == 1:  # a scan of one component goes block by block
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    most = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-size[1] // (8 * most[0])), -(-size[0] // (8 * most[1]))
     pieces, now = [], bytearray()
     while at < len(data):
         if data[at] == 0xFF and data[at + 1] != 0:
@@ -164,31 +187,38 @@ def decode_jpeg(data: bytes) -> np.ndarray:
         else:
             now.append(data[at])
             at += 2 if data[at] == 0xFF else 1
-    out: list[float] = []
-    total = shape[0] * shape[1]
+    out = np.full((down * parts[0][2], across * parts[0][1]), np.nan)
+    done = 0
     for piece in pieces:
-        bits, p, last = "".join(f"{x:08b}" for x in piece), 0, 0
+        bits, p, last = "".join(f"{x:08b}" for x in piece), 0, dict.fromkeys((x[0] for x in parts), 0)
 
         def symbol(table, p):
             n = 1
-            while (n, int(bits[p : p + n], 2)) not in table:
+            while n < 17 and (n, int(bits[p : p + n] or "0", 2)) not in table:
                 n += 1
             return table[n, int(bits[p : p + n], 2)], p + n
 
-        for _ in range(min(interval or total, total - len(out))):
-            cat, p = symbol(dc, p)
-            if cat:
-                extra = int(bits[p : p + cat], 2)
-                last += extra if extra >> (cat - 1) else extra - (1 << cat) + 1
-                p += cat
-            out.append(last * quant[q] / 8 + 128)
-            k = 1
-            while k < 64:
-                rs, p = symbol(ac, p)
-                if rs == 0:
-                    break
-                k, p = k + (rs >> 4) + 1, p + (rs & 15)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8).reshape(shape)
+        for _ in range(min(interval or across * down, across * down - done)):
+            for number, h, v, q in parts:
+                dc, ac = tables[used[number] >> 4], tables[0x10 | used[number] & 15]
+                for k in range(h * v):
+                    cat, p = symbol(dc, p)
+                    if cat:
+                        extra = int(bits[p : p + cat], 2)
+                        last[number] += extra if extra >> (cat - 1) else extra - (1 << cat) + 1
+                        p += cat
+                    if number == parts[0][0]:
+                        out[done // across * v + k // h, done % across * h + k % h] = last[number] * quant[q] / 8 + 128
+                    n = 1
+                    while n < 64:
+                        rs, p = symbol(ac, p)
+                        if rs == 0:
+                            break
+                        n, p = n + (rs >> 4) + 1, p + (rs & 15)
+            done += 1
+    if not out.size or np.isnan(out).any():
+        raise ValueError("not a whole baseline JPEG")
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
 def read_frames(avi: bytes) -> tuple[int, list[np.ndarray] | np.ndarray]:
@@ -239,7 +269,8 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, n_bytes, media): the text's UTF-8 bytes, padded to whole frames, as an AVI file.
 
     A null or empty text gives one frame of padding. Equal texts give equal files. Rows that repeat are stored each; a
-    null doc_id stays null; an empty table gives an empty one. Other columns are not read.
+    null doc_id stays null; an empty table gives an empty one. Other columns are not read. A file takes some 4.3 bytes for
+    each of the text, and a cell of a table holds 2 GiB: a text of more than 450 MB is an error.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -256,31 +287,48 @@ def timed(shots: list[tuple[int, int]], fps: int) -> list[dict]:
     return [{"clip": k, "first_frame": a, "last_frame": b, "start_ms": a * 1000 // fps, "end_ms": (b + 1) * 1000 // fps} for k, (a, b) in enumerate(shots)]
 
 
+def readable(avi: bytes) -> tuple[int, list[np.ndarray] | np.ndarray] | str:
+    """read_frames, or what is wrong with the file."""
+    try:
+        return read_frames(avi)
+    except ValueError as broken:
+        return str(broken)
+
+
 def clips(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """(doc_id, clips): the timed clips of each AVI file, an array of clip rows. Null media: null."""
+    """(doc_id, clips, problem): the timed clips of each AVI file, an array of clip rows. Null media: null; a file that
+    can't be read: null, and what is wrong with it."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        out, problems = [], []
         for avi in batch.column(1).to_pylist():
-            if avi is None:
-                out.append(None)
-            else:
-                fps, frames = read_frames(avi)
-                out.append(timed(detect_shots(frames), fps))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(CLIP))], names=["doc_id", "clips"])
-
-    kind = "doc_id long, clips array<struct<clip:int,first_frame:int,last_frame:int,start_ms:long,end_ms:long>>"
+            found = readable(avi) if avi is not None else None
+            problems.append(found if isinstance(found, str) else None)
+            out.append(timed(detect_shots(found[1]), found[0]) if isinstance(found, tuple) else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(CLIP)), pa.array(problems, pa.string())], names=["doc_id", "clips", "problem"])
+
+    kind = "doc_id long, clips array<struct<clip:int,first_frame:int,last_frame:int,start_ms:long,end_ms:long>>, problem string"
     return media.select("doc_id", media_col).mapInArrow(by_slices(work, rows=256), kind)
 
 
+def clip_rows(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """A row a clip: doc_id, clip, first_frame, last_frame, start_ms, end_ms, problem. A file without clips has one row
+    whose clip is null."""
+    return clips(media, media_col).select("doc_id", F.inline_outer("clips"), "problem")
+
+
 def digests(media: DataFrame) -> DataFrame:
     """What the stored bytes of (doc_id, n_bytes, media) give back: lengths and digests of payload and file, and the
-    shots as a feature text."""
+    shots as a feature text. Of a file that can't be read, or null, what comes from its frames is null."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(6)]
         for avi in batch.column(2).to_pylist():
-            fps, frames = read_frames(avi)
+            if avi is None or isinstance(found := readable(avi), str):
+                for c, x in zip(out, (None, None, None, None if avi is None else len(avi), None if avi is None else hashlib.sha256(avi).hexdigest(), None), strict=True):
+                    c.append(x)
+                continue
+            fps, frames = found
             payload = frames.tobytes() if isinstance(frames, np.ndarray) else b"".join(f.tobytes() for f in frames)
             shots = timed(detect_shots(frames), fps)
             feature = f"frames={len(frames)};shots={len(shots)};ms=" + ",".join(str(c["end_ms"]) for c in shots)
