@@ -474,6 +474,53 @@ def test_media_frames_by_the_general_decoder():
         media_avi.parse_avi(b"RIFX" + avi[4:])
 
 
+def colour_jpeg(luma):
+    """A baseline JPEG with 2x2 sampling of the first of three components, flat blocks of the given brightness."""
+    rows, cols = luma.shape
+    head = b"\xff\xd8" + media_avi._segment(media_avi.DQT, bytes([0, 8] + [1] * 63) + bytes([1, 8] + [1] * 63))
+    head += media_avi._segment(media_avi.SOF0, bytes([8]) + (rows * 8).to_bytes(2, "big") + (cols * 8).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1]))
+    head += media_avi._segment(media_avi.DHT, media_avi._table(0x00, media_avi.DC_LENGTHS) + media_avi._table(0x10, media_avi.AC_LENGTHS)) + media_avi._segment(media_avi.SOS, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+    code = {sym: f"{c:0{n}b}" for (n, c), sym in media_avi._codes([len(media_avi.DC_LENGTHS.get(n, [])) for n in range(1, 17)], [x for n in sorted(media_avi.DC_LENGTHS) for x in media_avi.DC_LENGTHS[n]]).items()}
+    bits, last = "", 128
+
+    def block(d):
+        cat = abs(d).bit_length()
+        return code[cat] + (f"{d if d > 0 else d + (1 << cat) - 1:0{cat}b}" if cat else "") + "0"
+
+    for y in range(0, rows, 2):
+        for x in range(0, cols, 2):
+            for k in range(4):
+                now = int(luma[y + k // 2, x + k % 2])
+                bits, last = bits + block(now - last), now
+            bits += block(0) + block(0)
+    bits += "1" * (-len(bits) % 8)
+    return head + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+
+
+def test_media_of_other_makers(spark):
+    """Frames in colour, and files that are cut, empty or no AVI at all."""
+    r = np.random.default_rng(2)
+    luma = r.integers(60, 190, (4, 6)).astype(np.uint8)
+    jpeg = colour_jpeg(luma)
+    assert (media_avi.decode_jpeg(jpeg) == luma).all()
+    payload = media_avi.padded(b"abc" * 400)
+    avi = media_avi.encode_avi(payload)
+    fps, places = media_avi.parse_avi(avi)
+    frames = [jpeg + b"\0" * (len(jpeg) % 2), colour_jpeg(255 - luma)]
+    movi = b"movi" + b"".join(media_avi._chunk(b"00dc", f) for f in frames)
+    other = b"RIFF" + (4).to_bytes(4, "little") + b"AVI " + media_avi._chunk(b"LIST", movi)
+    assert [f.tolist() for f in media_avi.read_frames(other)[1]] == [luma.tolist(), (255 - luma).tolist()]
+    broken = [b"", b"RIFF", b"no video", avi[: places[1][0] + 40], other[:-30], avi[:12] + b"\0" * 50, avi[: places[0][0]] + b"\xff" * 60 + avi[places[0][0] + 60 :]]
+    media = spark.createDataFrame([(0, 3, avi), (1, 3, other), (2, 3, None), *((10 + k, 3, b) for k, b in enumerate(broken))], "doc_id long, n_bytes long, media binary")
+    found = {r.doc_id: r for r in media_avi.clips(media).collect()}
+    assert found[0].clips and found[1].clips and found[2].clips is None and found[2].problem is None
+    assert all(found[10 + k].clips is None and found[10 + k].problem for k in range(len(broken)))
+    rows = media_avi.clip_rows(media).collect()
+    assert {r.doc_id for r in rows} == set(found) and all((r.clip is None) == (found[r.doc_id].clips is None) for r in rows)
+    digests = {r.doc_id: r for r in media_avi.digests(media).collect()}
+    assert digests[0].payload_sha256 == hashlib.sha256(payload).hexdigest() and digests[12].payload_sha256 is None and digests[12].media_bytes == len(b"no video")
+
+
 def test_shots():
     dark, light = np.full((24, 24), 10, np.uint8), np.full((24, 24), 240, np.uint8)
     frames = np.stack([dark] * 12 + [light] * 12 + [dark] * 6)
@@ -493,12 +540,15 @@ def test_shots_at_the_first_frame():
 
 
 def test_token_rollup(spark, docs, rows, tmp_path):
-    bpe = packing.ByteBpe(*packing.default_tokenizer())
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = defaultdict(lambda: [0, 0])
     for r in docs.collect():
         own = want[r.source, r.lang]
         own[0] += 1
-        own[1] += len(bpe.ids(r.text)) // 4
+        own[1] += len(library.encode(r.text, add_special_tokens=False).ids)
     assert {(r.source, r.lang): [r.docs, r.tokens] for r in queries.op6_token_rollup(spark, SF).collect()} == dict(want)
 
 
@@ -523,6 +573,107 @@ def test_rollup_batches(spark, tmp_path):
     assert token_counts.counted(frame(spark, [])).count() == 0
 
 
+def test_rollup_race_and_failed_attempts(spark, tmp_path, monkeypatch):
+    """A batch that is committed during a compaction counts once; what failed attempts leave behind counts not at all."""
+    kind = "source string, lang string, version string, op string, tokens long, old_tokens long"
+    of = lambda n: spark.createDataFrame([("a", "en", "v", "insert", n, None)], kind)
+    store, late = token_counts.Rollup(spark, str(tmp_path)), token_counts.Rollup(spark, str(tmp_path))
+    assert store.commit("../_one/ä b", of(1)) and not store.commit("../_one/ä b", of(1)) and store.commit("_two", of(2))
+    sums = token_counts.Rollup._sums
+
+    def meanwhile(self, deltas):
+        if self is store:
+            late.commit("late", of(40))
+        return sums(self, deltas)
+
+    monkeypatch.setattr(token_counts.Rollup, "_sums", meanwhile)
+    store.compact()
+    total = lambda: [(r.docs, r.tokens) for r in late.totals().collect()]
+    assert total() == [(3, 43)] and late._done("deltas") == ["late"]
+    monkeypatch.undo()
+    # an attempt that failed while it wrote; a compaction that stopped before its base, and one before it dropped its deltas
+    of(1000).select("source", "lang", "version").write.parquet(late._folder("cut off"))
+    (tmp_path / "deltas" / "b-cut%20off" / "_SUCCESS").unlink()
+    spark.createDataFrame([("late",)], "batch string").write.parquet(f"{tmp_path}/held/000000002")
+    assert total() == [(3, 43)] and late.commit("cut off", of(5)) and total() == [(4, 48)]
+    before = late._done("deltas")
+    monkeypatch.setattr(late, "_folder", lambda batch: (_ for _ in ()).throw(OSError("stopped")) if late._done("base")[-1] == "000000002" else token_counts.Rollup._folder(late, batch))
+    with pytest.raises(OSError, match="stopped"):
+        late.compact()
+    monkeypatch.undo()
+    assert total() == [(4, 48)] and late._done("deltas") == before
+    late.compact()
+    late.compact()
+    assert total() == [(4, 48)] and late._done("deltas") == [] and not late.commit("_two", of(2)) and not late.commit("cut off", of(5))
+
+
+def test_sample_is_bounded(spark):
+    from tidewright.llm import labelled
+
+    picked = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, y int")
+    d = frame(spark, [(k, f"t{k}") for k in range(30)] + [(3, "t3")] * 20 + [(4, "x" * 99), (None, "t")])
+    out = labelled.sampled(d, picked, 40, longest=50)
+    assert [t for t, _ in out] == [f"t{k}" for k in range(30)] and len(labelled.sampled(d, picked, 7, longest=50)) == 7
+
+
+def test_scores_against_plain_loops(spark):
+    """Both classifiers' scores from their parameters, a document, a passage and a word at a time."""
+    big = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    some = d.filter("doc_id < 60").select("doc_id", "text").collect() + [(900001, None), (900002, "")]
+    model, toxic = quality_mil.train(d, labels), toxicity_pu.train(d, labels)
+    few = frame(spark, [(r[0], r[1]) for r in some])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p = model.p
+    got = {r.doc_id: r.score for r in quality_mil.score(few, model).collect()}
+    for i, text in some:
+        words = (text or "").encode().split()
+        bags = [words[k : k + quality_mil.PASSAGE] for k in range(0, len(words), quality_mil.PASSAGE)] or [[]]
+        hs, ss = [], []
+        for bag in bags:
+            body, n, x = b"".join(bag), max(1, len(bag)), []
+            for c in quality_mil.CLASSES:
+                x.append(sum(b in c for b in body) / max(1, len(body)))
+            x += [sum(a == b for a, b in zip(bag, bag[1:], strict=False)) / n, len(set(bag)) / n, np.log1p(len(body) / n), sum(len(w) ** 2 for w in bag) / max(1, len(body)) / 16, sum(len(w) == 1 for w in bag) / n, np.log1p(len(bag)) / 4]
+            if not bag:
+                x = [0.0] * quality_mil.N_FEATURES
+            h = np.tanh((np.array(x) - model.mean) / model.scale @ p["E"] + p["e"])
+            hs.append(h)
+            ss.append(np.exp((np.tanh(h @ p["V"]) * sigmoid(h @ p["U"])) @ p["w"]))
+        z = sum(s * h for s, h in zip(ss, hs, strict=True)) / sum(ss)
+        assert got[i] == pytest.approx(float(sigmoid(z @ p["c"] + p["d"][0])), abs=1e-4)
+    got = {r.doc_id: r.score for r in toxicity_pu.score(few, toxic).collect()}
+    for i, text in some:
+        have = set()
+        for w in (text or "").lower().split():
+            w = w.strip(toxicity_pu.STRIPPED)
+            have |= {w[:n] for n in range(3, 9) if len(w) > n} | {w + "$"}
+        total = sum(w for f, w in zip(toxic.index, toxic.weights, strict=True) if f in have) + toxic.bias
+        assert got[i] == pytest.approx(float(sigmoid(total)), abs=1e-9)
+
+
+def test_attention_finds_the_passage_that_decides():
+    """One passage in ten tells the label: attention picks it out, and beats the mean of all passages."""
+    r = np.random.default_rng(11)
+    bags = np.full(600, 10)
+    X, y = r.normal(size=(6000, 6)), np.arange(600) % 2
+    at = np.arange(600) * 10 + r.integers(0, 10, 600)
+    X[at, 0] += 6  # stands out, whatever the label
+    X[at, 1] = np.where(y == 1, 2.0, -2.0) + 0.3 * r.normal(size=600)
+    X[:, 2] = r.normal(size=6000) * 3
+    others = np.ones(6000, bool)
+    others[at] = False
+    X[others, 1] *= 2
+    train, held = slice(0, 4000), slice(4000, 6000)
+    model = quality_mil.GatedAttention(6).fit(X[train], bags[:400], y[:400].astype(float))
+    found = model.forward(X[held], bags[400:])
+    right = ((found["y"] >= 0.5) == (y[400:] == 1)).mean()
+    assert right > 0.95 and found["a"].reshape(200, 10).argmax(1).tolist() == (at[400:] % 10).tolist()
+    uniform = model.p | {"w": np.zeros_like(model.p["w"])}
+    model.p = uniform
+    assert ((model.forward(X[held], bags[400:])["y"] >= 0.5) == (y[400:] == 1)).mean() < right - 0.05
+
+
 def test_substring_tells_texts_of_one_crc_apart(spark):
     one, two = (" ".join(f"{c}{k}" for k in range(40)).encode() + b" " for c in "pq")
     met = {zlib.crc32(w, zlib.crc32(one)): w for w in (hashlib.md5(b"1%d" % k).hexdigest()[:9].encode() for k in range(300_000))}

@@ -38,16 +38,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents: estimates from their lengths are committed first, and again, to no effect; the counts of
-    their tokens then revise them."""
+    """Totals of all documents. Estimates from their lengths are committed first, as a version of their own too, and again,
+    to no effect; the counts of their tokens then revise them, the version of estimates is deleted, and all is compacted."""
     docs = _table(spark, sf_dir, "documents")
     estimate = F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 4)
     load = docs.select("source", "lang", F.lit("byte_bpe_50k").alias("version"), estimate.alias("tokens"))
+    rough = load.withColumn("version", F.lit("length"))
     exact = token_counts.counted(docs).withColumn("estimate", F.ceil(F.col("chars") / 4))
     store = token_counts.Rollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    store.commit("load", token_counts.as_inserts(load))
+    store.commit("load", token_counts.as_inserts(load.unionByName(rough)))
     store.commit("load", token_counts.as_inserts(load))
     store.commit("tokens", token_counts.as_revisions(exact, "estimate"))
+    store.compact()
+    store.commit("length is gone", token_counts.as_inserts(rough, op="delete"))
     return store.totals()
 
 

@@ -7,6 +7,7 @@ run again changes nothing. Totals are sums over committed tables; compaction fol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,55 +49,68 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Rollups in a folder that all executors share: deltas/<batch>, and base/<number> with the batches it holds."""
+    """Rollups in a folder that all executors share: deltas/<batch>, base/<number>, and held/<number> with the names of the
+    batches that this base took in. A base takes in the one before, and counts once it and its names are both there.
+
+    Batches may have any names. One writer commits or compacts at a time; readers need not wait."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _folder(self, batch: str) -> str:
+        return f"{self.root}/deltas/b-{quote(batch, safe='')}"
+
     def _done(self, kind: str) -> list[str]:
         """Committed folders: those whose writer has left its mark of success."""
         top = self._path(f"{self.root}/{kind}")
         names = [f.getPath().getName() for f in self.fs.listStatus(top)] if self.fs.exists(top) else []
-        return sorted(n for n in names if self.fs.exists(self._path(f"{self.root}/{kind}/{n}/_SUCCESS")))
-
-    def _base(self) -> tuple[DataFrame, list[str]]:
-        done = self._done("base")
-        if not done:
-            return self.spark.createDataFrame([], ROLLUP), []
-        path = f"{self.root}/base/{done[-1]}"
-        held = [r[0] for r in self.spark.read.parquet(f"{self.root}/held/{done[-1]}").collect()]
-        return self.spark.read.schema(ROLLUP).parquet(path), held
+        done = [n for n in names if self.fs.exists(self._path(f"{self.root}/{kind}/{n}/_SUCCESS"))]
+        return sorted(unquote(n[2:]) if kind == "deltas" else n for n in done)
+
+    def _held(self, batches: list[str]) -> set[str]:
+        """Which of some batches a base has taken in: looked up, as all names since the beginning may be many."""
+        paths = [f"{self.root}/held/{n}" for n in self._done("base")]
+        if not paths or not batches:
+            return set()
+        held = self.spark.read.schema("batch string").parquet(*paths)
+        return {r[0] for r in held.filter(F.col("batch").isin(batches)).distinct().collect()}
+
+    def _sums(self, deltas: list[str]) -> DataFrame:
+        """Totals of the current base and of those deltas that it hasn't taken in."""
+        done, held = self._done("base"), self._held(deltas)
+        paths = [f"{self.root}/base/{n}" for n in done[-1:]] + [self._folder(b) for b in deltas if b not in held]
+        rows = self.spark.read.schema(ROLLUP).parquet(*paths) if paths else self.spark.createDataFrame([], ROLLUP)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Whether the batch was new. What a failed attempt has left is written over."""
-        if batch in self._done("deltas") or batch in self._base()[1]:
+        if batch in self._done("deltas") or self._held([batch]):
             return False
-        signed(changes).write.mode("overwrite").parquet(f"{self.root}/deltas/{batch}")
+        signed(changes).write.mode("overwrite").parquet(self._folder(batch))
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens); groups that have come down to nothing are left out."""
-        base, held = self._base()
-        paths = [f"{self.root}/deltas/{b}" for b in self._done("deltas") if b not in held]
-        rows = base.unionByName(self.spark.read.schema(ROLLUP).parquet(*paths)) if paths else base
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+        return self._sums(self._done("deltas"))
 
     def compact(self) -> None:
-        """Fold all committed deltas into a new base. The names of the batches it holds are written before the base itself,
-        so a base counts only when both are there; deltas in it are then dropped."""
-        held = sorted({*self._base()[1], *self._done("deltas")})
-        name = f"{int((self._done('base') or ['0'])[-1]) + 1:09d}"
-        self.spark.createDataFrame([(b,) for b in held], "batch string").write.mode("overwrite").parquet(f"{self.root}/held/{name}")
-        self.totals().write.mode("overwrite").parquet(f"{self.root}/base/{name}")
-        for b in self._done("deltas"):
-            if b in held:
-                self.fs.delete(self._path(f"{self.root}/deltas/{b}"), True)
-
-
-def as_inserts(counts: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return counts.select(*KEYS, F.lit("insert").alias("op"), F.col(tokens).cast("long").alias("tokens"), F.lit(None).cast("long").alias("old_tokens"))
+        """Fold the deltas committed by now into a new base, and drop them. They are listed once: one that is committed
+        meanwhile stays a delta. Deltas that an interrupted compaction has left behind are held already, and go."""
+        deltas = self._done("deltas")
+        new = [b for b in deltas if b not in self._held(deltas)]
+        if new:
+            name = f"{int((self._done('base') or ['0'])[-1]) + 1:09d}"
+            self.spark.createDataFrame([(b,) for b in new], "batch string").write.mode("overwrite").parquet(f"{self.root}/held/{name}")
+            self._sums(deltas).write.mode("overwrite").parquet(f"{self.root}/base/{name}")
+        for b in deltas:
+            self.fs.delete(self._path(self._folder(b)), True)
+
+
+def as_inserts(counts: DataFrame, tokens: str = "tokens", op: str = "insert") -> DataFrame:
+    """Inserts, or with op="delete" deletes, of counted rows."""
+    return counts.select(*KEYS, F.lit(op).alias("op"), F.col(tokens).cast("long").alias("tokens"), F.lit(None).cast("long").alias("old_tokens"))
 
 
 def as_revisions(counts: DataFrame, old: str) -> DataFrame:
