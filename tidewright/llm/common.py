@@ -20,12 +20,15 @@ _SAVED: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set, a temporary one in local mode; on a
+    cluster executors would write elsewhere than is read, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewright-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -35,17 +38,22 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it again: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _SAVED.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    _SAVED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process, once the results that read them have been written."""
-    for path in _SAVED:
+def drop_saved(spark: SparkSession, since: int = 0, last: bool = True) -> None:
+    """Delete the scratch tables of this process, once the results that read them have been written: those written since
+    a mark (saved_so_far), with or without the last."""
+    for path in _SAVED[since : None if last else -1]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _SAVED.clear()
+        _SAVED.remove(path)
+
+
+def saved_so_far() -> int:
+    return len(_SAVED)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,9 +20,10 @@ def training_labels(labels: DataFrame, label: str, parts: int, held: int) -> Dat
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
 
 
-def sampled(docs: DataFrame, picked: DataFrame, most: int) -> list[tuple[str, int]]:
-    """(text, y) of at most `most` rows of picked, by a hash of the id so that the choice is repeatable. The ids are
-    bounded by that parameter, so they are broadcast."""
+def sampled(docs: DataFrame, picked: DataFrame, most: int, longest: int = 1 << 20) -> list[tuple[str, int]]:
+    """(text, y) of at most `most` rows of picked, by a hash of the id so that the choice is repeatable, one text for each
+    id (of several the largest) and none of more than `longest` characters: so the sample is bounded by most times longest.
+    The ids are bounded as well, so they are broadcast."""
     few = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").collect()
+    rows = texts(docs).filter(F.char_length("text") <= longest).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

@@ -20,7 +20,7 @@ from .labelled import fold, sampled, training_labels
 
 PASSAGE = 64
 #: Character classes whose share of a passage is a feature.
-CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:?", b"!", b"|/\\_~^<>=+", b"*$%&#@", b"\"'()[]{}-", b"\n", bytes(range(128, 256))]
+CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:?", b"!", b"|/\\_~^<>=+", b"*$%&#@", b"\"'()[]{}-", bytes(range(128, 256))]
 _CLASS = np.full(256, len(CLASSES), np.uint8)
 for _k, _c in enumerate(CLASSES):
     _CLASS[list(_c)] = _k

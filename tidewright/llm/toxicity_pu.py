@@ -40,6 +40,10 @@ class PositiveUnlabelled:
         self.weights, self.bias = np.zeros(len(vocabulary)), -3.0
         self.seen: dict[str, tuple[int, ...]] = {}
 
+    def __getstate__(self) -> dict:
+        """What tasks get: the model without the words that this process has met."""
+        return self.__dict__ | {"seen": {}}
+
     def columns(self, text: str) -> list[int]:
         """The features present in a text, all of it; words met before are looked up."""
         if len(self.seen) > 150_000:
