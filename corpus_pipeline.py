@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import exact_dedup, packing, simhash, substrings, toxicity_pu
-from tidewright.llm.common import saved
+from tidewright.llm.common import drop_saved, saved, saved_so_far
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared scratch folder and read again."""
+    """All stages over documents, each written as Parquet to the shared scratch folder and read again; what a stage has
+    written on the way to its result is then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        mark = saved_so_far()
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        drop_saved(spark, mark, last=False)
     return docs
