@@ -215,6 +215,51 @@ def test_dim_job(spark, tmp_path):
     assert readers.dim_row(store.read("dim_base_source"), "3") == {"id": "3", "source_site": "w"} and readers.dim_row(store.read("dim_base_source"), "9") is None
     store.apply_config("u", "dim_base_source", ["id", "source_site"])
     assert store.read("dim_base_source").count() == 0
+    # events between the last drop and the first making after it change nothing; earlier ones aren't replayed
+    more = readers.change_capture(spark.createDataFrame([env("c", 1, source_table="base_source", sink_table="dim_base_source", sink_columns="id,old"), env("d", 4, source_table="base_source", sink_table="dim_base_source", sink_columns="id,old"), env("c", 5, source_table="base_source", sink_table="dim_base_source", sink_columns="id,source_site,more"), env("r", 6, source_table="base_source", sink_table="dim_base_source", sink_columns="id,more")], "value string"))
+    for since in (None, 6):
+        detail.dim_job(spark.createDataFrame([ch("insert", 7, id="9", source_site="s", more="m")], "value string"), more, store, since=since)
+        assert store.read("dim_base_source").columns == ["id", "source_site", "more"] and [r.id for r in store.read("dim_base_source").collect()] == ["9"]
+
+
+def test_dim_store_changes_and_compaction(spark, tmp_path):
+    """Puts write changes alone; a repeated batch changes nothing; compaction keeps the table, and so does a broken write."""
+    store = sinks.DimStore(spark, str(tmp_path), most=4)
+    store.create("t", ["id", "a", "b"])
+    put = lambda n, *rows: store.put("t", spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "id string, a string, b string, type string, ts long"), "id", ["ts"], n)
+    now = lambda: sorted(map(tuple, store.read("t").collect()))
+    put(1, ("1", "x", "y", "insert"), ("2", "p", "q", "insert"), ("3", "m", "n", "insert"))
+    assert store._version("t") == 0 and len(store._changes("t", 0)) == 1
+    for _ in range(2):
+        put(2, ("1", "", "z", "update"), ("2", None, None, "delete"))
+        assert now() == [("1", "x", "z"), ("3", "m", "n")]
+    (tmp_path / "t" / "c0-000000000009").mkdir()  # a write that failed
+    put(3, ("2", None, "new", "insert"), ("3", "k", None, "update"))
+    want = [("1", "x", "z"), ("2", None, "new"), ("3", "k", "n")]
+    assert now() == want and store._version("t") == 0
+    put(4, ("1", None, None, "delete"))
+    assert store._version("t") == 1 and now() == want[1:] and store._changes("t", 1) == []
+    put(5, ("1", "again", None, "insert"))
+    assert now() == [("1", "again", None), *want[1:]]
+
+
+def test_upserts_are_compacted(spark, tmp_path):
+    path = str(tmp_path)
+    write = sinks.upsert(path, "id", ["n"], ["id", "v", "n", "gone"], richer="v")
+    of = lambda *rows: spark.createDataFrame(list(rows), "id int, v string, n int, gone boolean")
+    now = lambda: sorted(map(tuple, sinks.read_upserted(spark, path, "id", richer="v", deleted="gone").select("id", "v", "n").collect()))
+    write(of((1, None, 1, False), (2, "b", 1, False)), 0)
+    write(of((1, "a", 2, False), (3, None, 1, False)), 1)
+    want = [(1, "a", 2), (2, "b", 1), (3, None, 1)]
+    assert now() == want
+    for _ in range(2):
+        sinks.compact_upserted(spark, path, "id", richer="v")
+        assert now() == want and sorted(p.name for p in tmp_path.iterdir() if p.name.startswith(("batch", "_base"))) == ["_base-1"]
+    (tmp_path / "_base-7").mkdir()  # a compaction that failed
+    write(of((1, None, 3, False), (2, "b", 9, True), (3, "c", 2, False)), 2)
+    assert now() == [(1, "a", 2), (3, "c", 2)]
+    sinks.compact_upserted(spark, path, "id", richer="v")
+    assert now() == [(1, "a", 2), (3, "c", 2)]
 
 
 def test_dashboard(spark, tmp_path):

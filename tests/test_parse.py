@@ -132,3 +132,22 @@ def test_times_and_names(spark):
     df = spark.createDataFrame([(1, 2)], "order_id int, user_id int")
     assert to_camel(df).columns == ["orderId", "userId"] and to_snake(to_camel(df)).columns == df.columns
     assert json.loads(parse.as_json(df, "user_id").first().value) == {"order_id": 1}
+
+
+def test_log_outputs_in_one_pass(spark):
+    """The one-pass split gives what the split by output gives, from one scan."""
+    import json
+
+    page = {"page_id": "home", "during_time": 5}
+    texts = [None, "", " ", "x", "5", "[1]", '{"a"', "{}", '{"ts": "late"}', json.dumps({"common": {"mid": "m"}, "page": page, "ts": 1}), json.dumps({"page": page, "displays": [{"i": "1"}, {"i": "2"}], "actions": [{"a": "b"}], "err": "e", "start": "s", "ts": 2}), json.dumps({"displays": [{"i": "9"}], "appVideo": "v", "ts": 3}), json.dumps({"page": page, "displays": [], "actions": None, "ts": "4x"}), '[{"page": {"page_id": "p"}}]']
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    clean, dirty = parse.split_dirty(raw)
+    want = [("dirty", r.value) for r in dirty.collect()]
+    for name, rows in parse.split_log(parse.logs(clean)).items():
+        cells = [c for c in ("common", "page", "err", "start", "appVideo", "display", "actions", "ts") if c in rows.columns and (c != "actions" or name == "action")]
+        want += [(name, *(str(r[c]) if c in cells else "None" for c in ("common", "page", "err", "start", "appVideo", "display", "actions", "ts"))) for r in rows.collect()]
+    out = parse.log_outputs(raw)
+    got = [("dirty", r.value) if r.output == "dirty" else (r.output, *(str(r[c]) for c in ("common", "page", "err", "start", "appVideo", "display", "action", "ts"))) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    plan = out.groupBy("output").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("Scan") == 1

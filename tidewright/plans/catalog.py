@@ -13,6 +13,7 @@ from ..functions.text import keyword_array, register_keywords
 from ..functions.timefn import epoch_seconds
 from ..operators import dims, parse, routing, serving, stateful
 from ..operators.windows import total, tumbling
+from . import job_catalog
 
 HOUR = "1 hour"
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -49,14 +50,8 @@ def log_split_explode(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("failed")).alias("err"), F.when(F.col("event_type") == "signup", F.lit("started")).alias("start"),
         F.when(F.col("k") % 3 > 0, many((F.col("k") % 3).cast("int"), "item")).alias("displays"), F.when(F.col("k") % 2 > 0, many(F.lit(1), "act")).alias("actions"), F.col("millis").alias("ts"),
     )
-    clean, dirty = parse.split_dirty(e.select(F.when(F.col("k") % 17 == 0, "not json").otherwise(F.to_json(record)).alias("value")))
-    out = parse.split_log(parse.logs(clean))
-    rows = [df.select(F.lit(name).alias("output"), F.col("common.sid").cast("long").alias("id")) for name, df in out.items()]
-    rows.append(dirty.select(F.lit("dirty").alias("output"), F.lit(0).cast("long").alias("id")))
-    union = rows[0]
-    for r in rows[1:]:
-        union = union.unionByName(r)
-    return union.groupBy("output").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+    out = parse.log_outputs(e.select(F.when(F.col("k") % 17 == 0, "not json").otherwise(F.to_json(record)).alias("value")))
+    return out.groupBy("output").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("common.sid").cast("long"), F.lit(0))).alias("id_sum"))
 
 
 def config_route(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pay_success_join, dedup_latest, retract_sum, order_uv_new_user, course_amount_rollup, source_order_window, province_distinct_orders, score_band, question_accuracy, keyword_udtf_topk,
         keyword_lateral, hourly_dense24, ratio_per_source, course_topk, dim_merge_nonempty,
     )
-}
+} | job_catalog.QUERIES
 
 E = f"SELECT event_id, ts, user_id, event_type, {K} AS k, strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) // 1000 AS millis FROM events"
 STAMP = "strftime(w, '%Y-%m-%d %H:%M:%S') AS stt, strftime(w + INTERVAL {n}, '%Y-%m-%d %H:%M:%S') AS edt, strftime(w, '%Y-%m-%d') AS cur_date"
@@ -320,4 +315,4 @@ ORACLE_SQL: dict[str, str] = {
         WITH e AS ({E}), p AS (SELECT user_id, CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN CAST(k AS VARCHAR) END AS a, CASE WHEN k % 5 <> 0 THEN event_type END AS b, k % 50 = 7 AS gone, row_number() OVER (ORDER BY ts, event_id) AS n FROM e),
              l AS (SELECT *, max(CASE WHEN gone THEN n END) OVER (PARTITION BY user_id) AS last FROM p)
         SELECT user_id, arg_max(a, n) FILTER (a <> '') AS a, arg_max(b, n) FILTER (b IS NOT NULL) AS b FROM l WHERE NOT gone AND (last IS NULL OR n > last) GROUP BY 1""",
-}
+} | job_catalog.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from types import ModuleType
 
 from pyspark.sql import DataFrame
@@ -17,18 +18,33 @@ def dim_changes(raw: DataFrame, config: DataFrame) -> DataFrame:
     return routing.route_dim(parse.dim_etl(parse.changes(raw)), config)
 
 
-def dim_job(raw: DataFrame, config_events: DataFrame, store: DimStore) -> None:
-    """A batch of change records into the dimension store: the configuration is replayed and complete before data."""
-    for event in config_events.orderBy("ts_ms").collect():  # a handful of rows, in order
-        d = event["data"]
-        store.apply_config(event["op"], d["sink_table"], d["sink_columns"].split(","), d.get("sink_pk") or "id")
+def dim_job(raw: DataFrame, config_events: DataFrame, store: DimStore, batch: int | None = None, since: int | None = None) -> None:
+    """A batch of change records into the dimension store: the configuration is replayed and complete before data. since:
+    configuration events up to that ts_ms have made their tables in an earlier batch.
+
+    Records are read, parsed and routed once, into a folder by sink; each table then takes its own part of it. Of the
+    configuration's history the driver gets two events a table at most: the last that drops, and the first that makes it
+    after that; those between change nothing."""
+    name, makes = F.col("data")["sink_table"], F.col("op").isin("r", "c")
+    events = config_events.select(name.alias("t"), "op", "ts_ms", "data", makes.alias("makes")).filter("t IS NOT NULL")
+    events = events.filter(F.col("ts_ms") > since) if since is not None else events
+    cut = events.filter("NOT makes").groupBy("t").agg(F.max("ts_ms").alias("_cut"))
+    live = events.join(cut, "t", "left").filter("_cut IS NULL OR ts_ms >= _cut")
+    acting = live.groupBy("t", "makes").agg(F.min_by(F.struct("op", "data"), F.struct("ts_ms", F.col("op") != "d")).alias("e"), F.min("ts_ms").alias("ts_ms"))
+    for row in acting.orderBy("ts_ms", "makes").collect():
+        d = row["e"]["data"]
+        store.apply_config(row["e"]["op"], row["t"], d["sink_columns"].split(","), d.get("sink_pk") or "id")
     config = routing.current_config(config_events, ["source_table"])
     config = config.select(*(F.col("data")[c].alias(c) for c in ("source_table", "sink_table", "sink_columns", "sink_pk")))
-    puts = dim_changes(raw, config)
+    path = f"{store.root}/_routed-{uuid.uuid4().hex}"
+    dim_changes(raw, config).write.partitionBy("sink_table").parquet(path)
+    spark = raw.sparkSession
+    routed = spark.read.option("basePath", path).schema("sink_pk STRING, type STRING, ts BIGINT, data MAP<STRING,STRING>, sink_table STRING").parquet(path)
     for row in config.collect():
         columns, key = row["sink_columns"].split(","), row["sink_pk"] or "id"
-        own = puts.filter(F.col("sink_table") == row["sink_table"]).select(*(F.col("data")[c].alias(c) for c in dict.fromkeys([key, *columns])), "type", "ts", F.xxhash64(F.to_json("data")).alias("tie"))
-        store.put(row["sink_table"], own, key, ["ts", "tie"])
+        own = routed.filter(F.col("sink_table") == row["sink_table"]).select(*(F.col("data")[c].alias(c) for c in dict.fromkeys([key, *columns])), "type", "ts", F.xxhash64(F.to_json("data")).alias("tie"))
+        store.put(row["sink_table"], own, key, ["ts", "tie"], batch)
+    store.fs.delete(store._path(path), True)
 
 
 def base_db(raw: DataFrame, config: DataFrame) -> DataFrame:

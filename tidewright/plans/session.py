@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 from ..functions.timefn import DEFAULT_ZONE
@@ -18,3 +22,19 @@ CONF = {
 def session(app: str = "tidewright", zone: str = DEFAULT_ZONE, master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=CONF | {"spark.sql.session.timeZone": zone} | {k.replace("__", "."): v for k, v in conf.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir), for tables that a query writes on its way. In local mode
+    a temporary one where none is set; on a cluster that is an error, as executors would write elsewhere than is read."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = current.get() if current.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tidewright-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found

@@ -54,12 +54,14 @@ def to_summary(df: DataFrame, root: str, name: str, checkpoint: str, once: bool
 
 
 def append_summary(df: DataFrame, root: str, name: str) -> None:
-    df.write.mode("append").partitionBy("cur_date").parquet(f"{root}/{name}")
+    """Append to a summary table, a day's rows from one task, so that days don't fall into a file for each task."""
+    df.repartition("cur_date").write.mode("append").partitionBy("cur_date").parquet(f"{root}/{name}")
 
 
 def upsert(path: str, key: str, order: list[str], columns: list[str], richer: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for a table keyed by `key`. Each batch is a folder of changes; read_upserted gives the
-    table. richer: a column whose non-null value wins over null, whatever the order (an outer join's early row)."""
+    table, and compact_upserted folds changes into it. richer: a column whose non-null value wins over null, whatever the
+    order (an outer join's early row)."""
 
     def write(batch: DataFrame, number: int) -> None:
         rank = [F.col(richer).isNotNull().desc()] if richer else []
@@ -70,33 +72,72 @@ def upsert(path: str, key: str, order: list[str], columns: list[str], richer: st
     return write
 
 
-def read_upserted(spark: SparkSession, path: str, key: str, richer: str | None = None, deleted: str | None = None) -> DataFrame:
-    """The current rows of an upsert table: of each key the last batch's, without tombstones."""
-    rows = spark.read.parquet(path)
+def _upserted(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], int]:
+    """All rows of an upsert table that may count, the batches among them, and the number up to which a base holds them."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(jvm(path))]
+    bases = [int(n[6:]) for n in names if n.startswith("_base-") and fs.exists(jvm(f"{path}/{n}/_SUCCESS"))]
+    last = max(bases, default=-1)
+    batches = sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) > last)
+    parts = [spark.read.parquet(f"{path}/_base-{last}")] if bases else []
+    parts += [spark.read.option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches))] if batches else []
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows, batches, last
+
+
+def _current(rows: DataFrame, key: str, richer: str | None) -> DataFrame:
     rank = [F.col(richer).isNotNull().desc()] if richer else []
     w = Window.partitionBy(key).orderBy(*rank, F.col("batch").desc())
-    out = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "batch")
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def read_upserted(spark: SparkSession, path: str, key: str, richer: str | None = None, deleted: str | None = None) -> DataFrame:
+    """The current rows of an upsert table: of each key the last batch's, without tombstones."""
+    out = _current(_upserted(spark, path)[0], key, richer).drop("batch")
     return out.filter(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else out
 
 
+def compact_upserted(spark: SparkSession, path: str, key: str, richer: str | None = None) -> None:
+    """Fold the batches there are into a base of current rows, tombstones included, that reads begin with from then on. A
+    compaction that fails leaves the batches as they are. Batches and older bases that it holds are dropped afterwards, so
+    readers of an earlier table should be done; the writing stream may go on."""
+    rows, batches, last = _upserted(spark, path)
+    if not batches:
+        return
+    top = batches[-1]
+    _current(rows, key, richer).write.mode("overwrite").parquet(f"{path}/_base-{top}")
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in [f"batch={b}" for b in batches] + [f"_base-{last}"]:
+        fs.delete(jvm(f"{path}/{name}"), True)
+
+
 class DimStore:
     """Dimension tables in folders: created and dropped by configuration, put by column, deleted by row.
 
-    A write makes a new version of the table beside the current one and then names it in the store's small version file,
-    so a reader or a failed write never meets half a table. Readers take the current version at each micro-batch, which
-    is what invalidating a cache was for."""
+    A table is a base (v<n>) and the changes put since (c<n>-<batch>); reading merges them by key. Puts write their changes
+    alone, under the name of their batch, so that one that runs again replaces what it wrote; every `most` of them, the
+    table is written anew as the next base. A folder counts once its writer has left its mark of success, so a reader or a
+    failed write never meets half a table. Readers take the table as it is at each micro-batch, which is what invalidating
+    a cache was for."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most: int = 16):
+        self.spark, self.root, self.most = spark, root.rstrip("/"), most
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _version(self, table: str) -> int:
+    def _folders(self, table: str) -> list[str]:
         p = self._path(f"{self.root}/{table}")
-        found = [int(f.getPath().getName()[1:]) for f in self.fs.listStatus(p) if f.getPath().getName()[:1] == "v"] if self.fs.exists(p) else []
-        done = [v for v in found if self.fs.exists(self._path(f"{self.root}/{table}/v{v}/_SUCCESS"))]
-        return max(done, default=-1)
+        names = [f.getPath().getName() for f in self.fs.listStatus(p)] if self.fs.exists(p) else []
+        return [n for n in names if self.fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS"))]
+
+    def _version(self, table: str) -> int:
+        return max((int(n[1:]) for n in self._folders(table) if n[0] == "v"), default=-1)
+
+    def _changes(self, table: str, version: int) -> list[str]:
+        return sorted(n for n in self._folders(table) if n.startswith(f"c{version}-"))
 
     def exists(self, table: str) -> bool:
         return self._version(table) >= 0
@@ -105,7 +146,7 @@ class DimStore:
         """Nothing happens where the table is there already."""
         if not self.exists(table):
             names = [key, *(c for c in columns if c != key)]
-            self._write(table, self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)))
+            self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)).write.mode("overwrite").parquet(f"{self.root}/{table}/v0")
 
     def drop(self, table: str) -> None:
         self.fs.delete(self._path(f"{self.root}/{table}"), True)
@@ -118,21 +159,41 @@ class DimStore:
             self.create(table, columns, key)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/v{self._version(table)}")
-
-    def _write(self, table: str, df: DataFrame) -> None:
-        v = self._version(table) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v{v}")
-        for old in range(v - 1):  # the version before stays for readers that have it open
-            self.fs.delete(self._path(f"{self.root}/{table}/v{old}"), True)
-
-    def put(self, table: str, puts: DataFrame, key: str, order: list[str]) -> None:
-        """Apply puts and deletes (type = 'delete') of a batch: empty cells leave what is there."""
-        now = self.read(table)
-        columns = [c for c in now.columns if c != key]
-        first = now.withColumn("type", F.lit("insert")).withColumns({c: F.lit(None).cast(puts.schema[c].dataType) for c in order}).withColumn("_new", F.lit(0))
-        rows = first.unionByName(puts.select(key, *columns, "type", *order).withColumn("_new", F.lit(1)))
-        self._write(table, dims.merge_dim(rows, key, columns, ["_new", *order]))
+        return self._read(table, self._version(table))
+
+    def _read(self, table: str, version: int) -> DataFrame:
+        base = self.spark.read.parquet(f"{self.root}/{table}/v{version}")
+        names = self._changes(table, version)
+        if not names:
+            return base
+        changes = self.spark.read.parquet(*(f"{self.root}/{table}/{n}" for n in names))
+        key, *columns = base.columns
+        order = [f for f in changes.schema.fields if f.name not in base.columns and f.name != "type"]
+        first = base.withColumn("type", F.lit("insert")).withColumns({f.name: F.lit(0 if f.name == "_batch" else None).cast(f.dataType) for f in order})
+        return dims.merge_dim(first.unionByName(changes), key, columns, ["_batch", *(f.name for f in order if f.name != "_batch")])
+
+    def put(self, table: str, puts: DataFrame, key: str, order: list[str], batch: int | None = None) -> None:
+        """Apply puts and deletes (type = 'delete') of a batch: empty cells, and columns that aren't put, leave what is
+        there. batch: its number, which a
+        repeated attempt shares and later batches exceed; else the next one."""
+        version = self._version(table)
+        names = self._changes(table, version)
+        number = batch if batch is not None else max((int(n.partition("-")[2]) for n in names), default=0) + 1
+        columns = [c for c in self.spark.read.parquet(f"{self.root}/{table}/v{version}").columns if c != key]
+        cells = [F.col(c) if c in puts.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        out = puts.select(key, *cells, "type", *order).withColumn("_batch", F.lit(number + 1).cast("long"))
+        out.write.mode("overwrite").parquet(f"{self.root}/{table}/c{version}-{number:012d}")
+        if len(names) + 1 >= self.most:
+            self.compact(table)
+
+    def compact(self, table: str) -> None:
+        """Write the table as the next base. The one before stays, for readers that have it open; older ones go."""
+        version = self._version(table)
+        if self._changes(table, version):
+            self._read(table, version).write.mode("overwrite").parquet(f"{self.root}/{table}/v{version + 1}")
+            for name in self._folders(table):
+                if int(name[1:].partition("-")[0]) < version:
+                    self.fs.delete(self._path(f"{self.root}/{table}/{name}"), True)
 
 
 def schema_text(schema: StructType) -> str:
