@@ -239,7 +239,7 @@ def frequent_texts(known: DataFrame) -> DataFrame:
     return counts.filter(F.col("rows") > known.count() // 4096 + 1).select("sha")
 
 
-def repeated_spans(docs: DataFrame, hot: DataFrame, size: int = 35, shard_words: int = 200_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: DataFrame, size: int = 35, shard_words: int = 1_000_000) -> DataFrame:
     """(sha, spans): of each text that has any, the repeated windows as ranges of word positions, ends included.
     docs: (doc_id, text, sha); hot: its frequent texts."""
     runs = saved(docs.select("doc_id", "text").mapInArrow(by_slices(_runs(size), rows=128, most_bytes=2 << 20), RUNS), "segments")
@@ -292,7 +292,7 @@ def with_spans(rows: DataFrame, spans: DataFrame, hot: DataFrame) -> DataFrame:
     return common.unionByName(rows.join(few, "sha", "left_anti").join(spans, "sha", "left"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space), spans (the word
     positions removed, ends included).
 
@@ -347,7 +347,7 @@ def brute_force(bodies: list[str | None], size: int = 35) -> list[tuple[int, int
     return out
 
 
-def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 35, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of docs, with all their columns: a text that has repeated windows is replaced by the words that stay,
     joined by one space, and its length column follows; all others are left as they are."""
     row = fresh("_row", docs)
