@@ -202,6 +202,25 @@ def test_streaming_processors_equal_batch(spark, tmp_path):
         assert both[0] == both[1], name
 
 
+@pytest.mark.parametrize("name", ["first", "flag", "retract"])
+def test_state_expires(spark, tmp_path, name):
+    """A key that isn't met again is forgotten once the watermark has passed its last row by the time to live."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = str(tmp_path / "in")
+    for day in (0, 0.5, 4, 8, 12):
+        keys = range(20) if day < 1 else [int(day)]
+        rows = spark.createDataFrame([(f"k{k}", int(T0 + day * 86_400), k) for k in keys], "k string, ts long, amount long").withColumn("et", F.timestamp_seconds("ts")).withColumn("day", F.date_format("et", "yyyy-MM-dd"))
+        rows.coalesce(1).write.mode("append").parquet(src)
+        __import__("time").sleep(0.05)
+    stream = readers.table_stream(spark, src, sinks.schema_text(rows.schema), most_files=1)
+    out = {"first": lambda: processors.first_of_day(stream, ["k"], "day", ["ts"]), "flag": lambda: processors.flag_first(stream, ["k"], ["ts"], "one"), "retract": lambda: processors.retractions(stream, "k", ["ts"], ["amount"], ttl_ms=10_000)}[name]()
+    query = sinks.run(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    left = [p["stateOperators"][0]["customMetrics"].get("rocksdbNumKeys", 0) if "rocksdbNumKeys" in p["stateOperators"][0].get("customMetrics", {}) else p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(left) >= 20 and left[-1] < max(left) / 2
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == {"first": 23, "flag": 43, "retract": 63}[name]
+
+
 def test_dim_job(spark, tmp_path):
     env = lambda op, ts, **d: (json.dumps({"op": op, "ts_ms": ts, "after": d if op != "d" else None, "before": d if op == "d" else None}),)
     ch = lambda kind, ts, **d: (json.dumps({"database": "edu", "table": "base_source", "type": kind, "ts": ts, "data": d}),)

@@ -1,6 +1,7 @@
 """Per-key operators in their batch form, by window functions. Every order ends in a tie-break column, so results repeat.
 
-The streaming forms are in tidewright.streaming.processors, under the same contracts."""
+The streaming forms are in tidewright.streaming.processors, under the same contracts; ttl_ms, how long those keep what they
+know of a key, means nothing here, where all rows are at hand."""
 
 from __future__ import annotations
 
@@ -22,12 +23,12 @@ def repair_new_visitor(rows: DataFrame, mid: str, is_new: str, day: str, order:
     return rows.withColumn(is_new, F.when(fresh, "1").otherwise("0"))
 
 
-def first_of_day(rows: DataFrame, keys: list[str], day: str, order: list[str], literal: bool = False) -> DataFrame:
+def first_of_day(rows: DataFrame, keys: list[str], day: str, order: list[str], literal: bool = False, ttl_ms: int | None = None) -> DataFrame:
     """The first row of each key and day. literal: of each key and instant."""
     return rows.withColumn("_f", _first([*keys, order[0] if literal else day], order)).filter("_f").drop("_f")
 
 
-def flag_first(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def flag_first(rows: DataFrame, keys: list[str], order: list[str], name: str, ttl_ms: int | None = None) -> DataFrame:
     """All rows; name is 1 on the first of each combination of keys, else 0."""
     return rows.withColumn(name, F.when(_first(keys, order), 1).otherwise(0).cast("long"))
 

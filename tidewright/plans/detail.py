@@ -80,7 +80,7 @@ def _visits(pages: DataFrame) -> DataFrame:
 
 def unique_visitors(pages: DataFrame, state: ModuleType = stateful, literal: bool = False) -> DataFrame:
     """The first session entry of each visitor and day."""
-    return state.first_of_day(_visits(parse.session_entries(pages)), ["mid"], "day", ["et", "tie"], literal)
+    return state.first_of_day(_visits(parse.session_entries(pages)), ["mid"], "day", ["et", "tie"], literal, ttl_ms=86_400_000)
 
 
 def user_jumps(pages: DataFrame, state: ModuleType = stateful, literal: bool = False, within: int = 10_000) -> DataFrame:

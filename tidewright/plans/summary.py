@@ -18,6 +18,8 @@ from ..functions.timefn import date_text, from_millis, from_seconds
 from ..operators import dims, parse, stateful
 from ..operators.windows import LENGTH, total, tumbling
 
+#: How long a stream remembers that it has met an order; visitors of a day are remembered for a day.
+HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 Step = Callable[[DataFrame, ModuleType], DataFrame]
 Dims = dict[str, DataFrame]
 
@@ -124,7 +126,7 @@ def _sums(*names: str) -> Callable[[DataFrame, Dims, str, str | None], DataFrame
 
 
 def _first_visits(literal: bool) -> Step:
-    return lambda rows, state: state.first_of_day(rows, ["mid", "page_id"], "day", ["et", "ts"], literal)
+    return lambda rows, state: state.first_of_day(rows, ["mid", "page_id"], "day", ["et", "ts"], literal, ttl_ms=DAY_MS)
 
 
 def _counted(uv: str, new: str, literal: bool) -> Step:
@@ -136,14 +138,14 @@ def summary_jobs(literal: bool = False) -> dict[str, Job]:
     state that isn't updated) instead of their meaning."""
     jobs = [
         Job("dws_traffic_source_keyword_page_view_window", _words, lambda r, d, n, w: tumbling(r, "et", ["keyword"], [F.count("*").alias("keyword_count")], n, w)),
-        Job("dws_traffic_vc_ch_ar_visitor_category_page_view_window", _pages, _visitors, [lambda r, s: s.flag_first(r, ["mid", "day"], ["ts", "page_id"], "uv")]),
+        Job("dws_traffic_vc_ch_ar_visitor_category_page_view_window", _pages, _visitors, [lambda r, s: s.flag_first(r, ["mid", "day"], ["ts", "page_id"], "uv", ttl_ms=DAY_MS)]),
         Job("dws_traffic_home_course_detail_page_view_window", lambda p: _pages(parse.pages_in(p)), _page_visits, [_first_visits(literal)]),
-        Job("dws_trade_cart_add_window", _seconds, lambda r, d, n, w: tumbling(r, "et", [], [F.count("*").alias("cart_add_uv_count")], n, w), [lambda r, s: s.first_of_day(r, ["user_id"], "day", ["ts"])]),
+        Job("dws_trade_cart_add_window", _seconds, lambda r, d, n, w: tumbling(r, "et", [], [F.count("*").alias("cart_add_uv_count")], n, w), [lambda r, s: s.first_of_day(r, ["user_id"], "day", ["ts"], ttl_ms=DAY_MS)]),
         Job("dws_trade_order_window", _details, _sums("order_uv_count", "new_order_user_count"), [_latest, _counted("order_uv_count", "new_order_user_count", literal)]),
         Job("dws_trade_pay_suc_window", _details, _sums("pay_suc_uv_count", "pay_suc_new_user_count"), [_latest, _counted("pay_suc_uv_count", "pay_suc_new_user_count", literal)], "2 seconds"),
         Job("dws_trade_course_order_window", _details, _courses, [_latest], "2 seconds"),
-        Job("dws_trade_source_order_window", lambda r: _details(parse.with_source(r)), _sources, [_latest, lambda r, s: s.flag_first(r, ["user_id", "source_id", "day"], ["ts", "id"], "uu"), lambda r, s: s.flag_first(r, ["order_id"], ["ts", "id"], "one")]),
-        Job("dws_trade_province_order_window", _details, _provinces, [_latest, lambda r, s: s.flag_first(r, ["province_id", "user_id", "day"], ["ts", "id"], "uu")]),
+        Job("dws_trade_source_order_window", lambda r: _details(parse.with_source(r)), _sources, [_latest, lambda r, s: s.flag_first(r, ["user_id", "source_id", "day"], ["ts", "id"], "uu", ttl_ms=DAY_MS), lambda r, s: s.flag_first(r, ["order_id"], ["ts", "id"], "one", ttl_ms=HOUR_MS)]),
+        Job("dws_trade_province_order_window", _details, _provinces, [_latest, lambda r, s: s.flag_first(r, ["province_id", "user_id", "day"], ["ts", "id"], "uu", ttl_ms=DAY_MS)]),
         Job("dws_examination_paper_exam_window", _seconds, _papers),
         Job("dws_examination_paper_score_duration_exam_window", _seconds, _bands),
         Job("dws_examination_question_answer_window", _seconds, _questions),

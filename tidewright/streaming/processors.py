@@ -1,6 +1,7 @@
 """Per-key operators in their streaming form: the functions of tidewright.operators.stateful, with the same contracts, over
-arbitrary-state processors. State is bounded as far as the contract allows: by a time to live where an old value can't
-matter any more, else by the number of keys.
+arbitrary-state processors. State is bounded as far as the contract allows: by a time to live in event time where an old
+value can't matter any more (a timer clears it once the watermark has passed its last use by that much), else by the number
+of keys. Where a time to live holds, rows later than the delay are dropped, as windows after it would.
 
 A micro-batch hands over the rows of a key in no order; processors sort them by the order columns."""
 
@@ -20,6 +21,14 @@ def _apply(rows: DataFrame, keys: list[str], make: Callable[[], StatefulProcesso
     return rows.groupBy(*keys).transformWithState(statefulProcessor=make(), outputStructType=schema, outputMode="Append", timeMode=time)
 
 
+def _living(rows: DataFrame, ttl_ms: int | None, event_time: str, delay: str) -> tuple[DataFrame, tuple[str, int] | None, str]:
+    """Rows with a watermark, what a processor has to know of the time to live, and the time mode; none without ttl_ms, or
+    without an event time."""
+    if not ttl_ms or dict(rows.dtypes).get(event_time) != "timestamp":
+        return rows, None, "None"
+    return rows.withWatermark(event_time, delay), (event_time, ttl_ms), "EventTime"
+
+
 def _plus(rows: DataFrame, *names: str) -> StructType:
     out = StructType([f for f in rows.schema.fields if f.name not in names])
     for n in names:
@@ -31,49 +40,79 @@ def _sorted(rows: Iterator[Row], order: list[str]) -> list[Row]:
     return sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in order))
 
 
-class _OneText(StatefulProcessor):
+class _Expiring(StatefulProcessor):
+    """A processor whose state a timer clears, `ttl` (event time column, milliseconds) after its last use."""
+
+    ttl: tuple[str, int] | None = None
+
+    def expect(self, handle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "value BIGINT") if self.ttl else None
+
+    def used(self, rows: list[Row], timers) -> None:
+        if self.ttl is None:
+            return
+        last = max((int(r[self.ttl[0]].timestamp() * 1000) for r in rows if r[self.ttl[0]] is not None), default=0)
+        at = max(last, timers.getCurrentWatermarkInMs()) + self.ttl[1]
+        old = self.until.get()[0] if self.until.exists() else None
+        if old is None or at > old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.until.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _OneText(_Expiring):
     """A processor with one text of state."""
 
-    def __init__(self, order: list[str], ttl_ms: int | None = None):
-        self.order, self.ttl = order, ttl_ms
+    def __init__(self, order: list[str], ttl: tuple[str, int] | None = None):
+        self.order, self.ttl = order, ttl
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("seen", "value STRING", self.ttl) if self.ttl else handle.getValueState("seen", "value STRING")
+        self.expect(handle)
+        self.state = handle.getValueState("seen", "value STRING")
 
     def seen(self) -> str | None:
         found = self.state.get() if self.state.exists() else None
         return found[0] if found else None
 
-    def close(self) -> None:
-        pass
-
 
 class FirstOfDay(_OneText):
-    def __init__(self, day: str, order: list[str]):
-        super().__init__(order)
+    def __init__(self, day: str, order: list[str], ttl: tuple[str, int] | None):
+        super().__init__(order, ttl)
         self.day = day
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.seen()
-        for r in _sorted(rows, self.order):
+        last, now = self.seen(), _sorted(rows, self.order)
+        for r in now:
             if last is None or r[self.day] > last:
                 last = r[self.day]
                 yield r
         if last is not None:
             self.state.update((last,))
+            self.used(now, timerValues)
 
 
 class FlagFirst(_OneText):
-    def __init__(self, order: list[str], name: str, columns: list[str]):
-        super().__init__(order)
+    def __init__(self, order: list[str], name: str, columns: list[str], ttl: tuple[str, int] | None):
+        super().__init__(order, ttl)
         self.name, self.columns = name, columns
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = self.seen() is None
-        for r in _sorted(rows, self.order):
+        fresh, now = self.seen() is None, _sorted(rows, self.order)
+        for r in now:
             yield Row(**{c: r[c] for c in self.columns}, **{self.name: int(fresh)})
             fresh = False
         self.state.update(("1",))
+        self.used(now, timerValues)
 
 
 class Visitors(_OneText):
@@ -108,14 +147,15 @@ class RepairNewVisitor(_OneText):
             self.state.update((first,))
 
 
-class _Held(StatefulProcessor):
+class _Held(_Expiring):
     """A processor that holds one row."""
 
     def __init__(self, schema: StructType, order: list[str]):
         self.schema, self.order = schema, order
 
     def init(self, handle) -> None:
-        self.handle, self.state = handle, handle.getValueState("held", self.schema)
+        self.expect(handle)
+        self.state = handle.getValueState("held", self.schema)
 
     def held(self) -> Row | None:
         found = self.state.get() if self.state.exists() else None
@@ -124,9 +164,6 @@ class _Held(StatefulProcessor):
     def hold(self, row: Row) -> None:
         self.state.update(tuple(row[c] for c in self.schema.names))
 
-    def close(self) -> None:
-        pass
-
 
 class Latest(_Held):
     """Holds the row of largest order until the watermark has passed its first sight by hold_ms, and gives it out once."""
@@ -155,19 +192,20 @@ class Latest(_Held):
 
 
 class Retract(_Held):
-    def __init__(self, schema: StructType, order: list[str], amounts: list[str]):
+    def __init__(self, schema: StructType, order: list[str], amounts: list[str], ttl: tuple[str, int] | None):
         super().__init__(schema, order)
-        self.amounts = amounts
+        self.amounts, self.ttl = amounts, ttl
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.held()
-        for r in _sorted(rows, self.order):
+        last, now = self.held(), _sorted(rows, self.order)
+        for r in now:
             if last is not None:
                 yield Row(**{c: (-last[c] if c in self.amounts and last[c] is not None else last[c]) for c in self.schema.names}, _sign=-1)
             yield Row(**{c: r[c] for c in self.schema.names}, _sign=1)
             last = r
         if last is not None:
             self.hold(last)
+            self.used(now, timerValues)
 
 
 class Bounces(_Held):
@@ -197,15 +235,17 @@ class Bounces(_Held):
                 yield last
 
 
-def first_of_day(rows: DataFrame, keys: list[str], day: str, order: list[str], literal: bool = False) -> DataFrame:
+def first_of_day(rows: DataFrame, keys: list[str], day: str, order: list[str], literal: bool = False, ttl_ms: int | None = DAY_MS, event_time: str = "et", delay: str = "1 day") -> DataFrame:
     mark = order[0] if literal else day
     out = rows.withColumn("_mark", F.date_format(mark, "yyyy-MM-dd HH:mm:ss") if literal and dict(rows.dtypes)[mark].startswith("timestamp") else F.col(mark).cast("string"))
-    return _apply(out, keys, lambda: FirstOfDay("_mark", order), out.schema).drop("_mark")
+    out, ttl, time = _living(out, ttl_ms, event_time, delay)
+    return _apply(out, keys, lambda: FirstOfDay("_mark", order, ttl), out.schema, time).drop("_mark")
 
 
-def flag_first(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def flag_first(rows: DataFrame, keys: list[str], order: list[str], name: str, ttl_ms: int | None = DAY_MS, event_time: str = "et", delay: str = "1 day") -> DataFrame:
     schema = _plus(rows, name)
-    return _apply(rows, keys, lambda: FlagFirst(order, name, [c for c in schema.names if c != name]), schema)
+    rows, ttl, time = _living(rows, ttl_ms, event_time, delay)
+    return _apply(rows, keys, lambda: FlagFirst(order, name, [c for c in schema.names if c != name], ttl), schema, time)
 
 
 def visitors_and_new(rows: DataFrame, user: str, day: str, order: list[str], uv: str, new: str, literal: bool = False) -> DataFrame:
@@ -222,9 +262,10 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], event_time: str =
     return _apply(rows.withWatermark(event_time, delay), keys, lambda: Latest(schema, order, event_time, hold_ms), schema, "EventTime")
 
 
-def retractions(rows: DataFrame, key: str, order: list[str], amounts: list[str]) -> DataFrame:
+def retractions(rows: DataFrame, key: str, order: list[str], amounts: list[str], ttl_ms: int | None = None, event_time: str = "et", delay: str = "1 day") -> DataFrame:
     schema = rows.schema
-    return _apply(rows, [key], lambda: Retract(schema, order, amounts), StructType([*schema.fields]).add("_sign", IntegerType()))
+    rows, ttl, time = _living(rows, ttl_ms, event_time, delay)
+    return _apply(rows, [key], lambda: Retract(schema, order, amounts, ttl), StructType([*schema.fields]).add("_sign", IntegerType()), time)
 
 
 def bounces(rows: DataFrame, mid: str, entry: Column, millis: str, order: list[str], within: int = 10_000, event_time: str = "et", delay: str = "0 seconds") -> DataFrame:
