@@ -9,6 +9,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]").appName("tidewright-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", shared + "/warehouse").config("spark.driver.memory", "4g")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
