@@ -208,7 +208,7 @@ def test_state_expires(spark, tmp_path, name):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src = str(tmp_path / "in")
     for day in (0, 0.5, 4, 8, 12):
-        keys = range(20) if day < 1 else [int(day)]
+        keys = range(20) if day < 1 else [100 + int(day)]
         rows = spark.createDataFrame([(f"k{k}", int(T0 + day * 86_400), k) for k in keys], "k string, ts long, amount long").withColumn("et", F.timestamp_seconds("ts")).withColumn("day", F.date_format("et", "yyyy-MM-dd"))
         rows.coalesce(1).write.mode("append").parquet(src)
         __import__("time").sleep(0.05)
