@@ -182,6 +182,62 @@ def test_stream_stream_joins(spark, tmp_path):
     assert [(r.id, r.source_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("1", "7")]
 
 
+def test_stream_join_gives_early_rows_and_takes_them_back(spark, tmp_path):
+    """A detail comes out without its source, and is corrected once, whatever number of visits follow."""
+    ch = lambda table, ts, **d: json.dumps({"database": "edu", "table": table, "type": "insert", "ts": ts, "data": d})
+    page = lambda sid, ts, sc: json.dumps({"common": {"sid": sid, "sc": sc}, "page": {"page_id": "order"}, "ts": ts * 1000})
+    first = [ch("order_detail", T0, id="1", order_id="o", create_time="2024-01-01 00:00:00"), ch("order_info", T0 + 1, id="o", session_id="s"), ch("order_detail", T0, id="2", order_id="p", create_time="2024-01-01 00:00:00"), ch("order_info", T0 + 1, id="p", session_id="nobody")]
+    for k, (db, log) in enumerate([(first, [page("z", T0, "0")]), ([ch("order_info", T0 + 2, id="y")], [page("s", T0 + 3, "7"), page("s", T0 + 4, "8")])]):
+        spark.createDataFrame([(r,) for r in db], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "db"))
+        spark.createDataFrame([(r,) for r in log], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "log"))
+        __import__("time").sleep(0.05)
+        streams = [readers.file_topic(spark, str(tmp_path / x)) for x in ("db", "log")]
+        out = detail.order_detail_changes(detail.parse.changes(streams[0]), detail.parse.logs(streams[1]))
+        sinks.run(out, sinks.replace_batch(str(tmp_path / "out")), str(tmp_path / "cp"))
+        got = sorted(((r.id, r.source_id, r._sign) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+        assert got == [("1", None, 1), ("2", None, 1)] if k == 0 else got == [("1", "7", 1), ("1", "8", 1), ("1", None, -1), ("1", None, 1), ("2", None, 1)]
+
+
+def test_dim_cache(spark):
+    now, reads = [0.0], []
+    table = lambda v: spark.createDataFrame([("1", v), ("2", "")], "id string, name string")
+    cache = readers.DimCache(lambda: reads.append(1) or table(f"v{len(reads)}"), most=2, expiry=10, clock=lambda: now[0])
+    assert cache.get(["1", "2", None, "9", "1"]) == {"1": {"id": "1", "name": "v1"}, "2": {"id": "2"}} and len(reads) == 1
+    assert cache.get(["9", "2"]) == {"2": {"id": "2"}} and len(reads) == 1  # what isn't there is remembered too
+    assert cache.get(["1"])["1"]["name"] == "v2" and len(cache.held) == 2  # it was the oldest of three
+    now[0] = 11
+    assert cache.get(["1"])["1"]["name"] == "v3"
+    cache.forget("1")
+    assert cache.get(["1"])["1"]["name"] == "v4"
+    cache.forget()
+    assert not cache.held
+
+
+def test_database_in_camel_case(spark):
+    """JDBC against the embedded database that Spark brings along."""
+    where = {"url": "jdbc:derby:memory:tidewright;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.createDataFrame([(1, "dim_a"), (2, None)], "source_id int, sink_table string").write.format("jdbc").options(**where, dbtable="table_process").mode("overwrite").save()
+    out = readers.database(spark, where["url"], 'SELECT "source_id" AS "source_id", "sink_table" AS "sink_table" FROM table_process', camel=True, driver=where["driver"])
+    assert out.columns == ["sourceId", "sinkTable"] and sorted(map(tuple, out.collect())) == [(1, "dim_a"), (2, None)]
+
+
+def test_topic_options():
+    """What the connector is asked for; its jar isn't here."""
+    from unittest.mock import MagicMock, patch
+
+    with patch("tidewright.sources.readers.F"), patch("tidewright.sources.sinks.F"):
+        spark, df = MagicMock(), MagicMock()
+        readers.topic(spark, "host:1", "topic_log", "group", "earliest")
+        spark.readStream.format.assert_called_with("kafka")
+        spark.readStream.format().options.assert_called_with(**{"kafka.bootstrap.servers": "host:1", "subscribe": "topic_log", "startingOffsets": "earliest", "kafka.group.id": "group"})
+        serialised = MagicMock()
+        sinks.to_topic(df, "host:1", "out", "/cp", lambda rows: serialised)
+        writer = serialised.writeStream.format("kafka").option("kafka.bootstrap.servers", "host:1").option("checkpointLocation", "/cp")
+        writer.option.assert_called_with("topic", "out")
+        sinks.to_topic(df, "host:1", None, "/cp")  # to the topic that each row names
+        assert df.select.called and not df.select().writeStream.format().option().option().option.called
+
+
 def test_streaming_processors_equal_batch(spark, tmp_path):
     """Repair, bounces and retractions over files of one row each."""
     rows = [("a", "1", 0, True, 5), ("a", "1", 3_000, False, 6), ("b", "0", 4_000, True, 1), ("a", "1", 90_000_000, True, 2), ("b", "1", 90_001_000, True, 9), ("b", "1", 90_002_000, True, 9), ("z", "0", 999_000_000, False, 0), ("y", "0", 1_999_000_000, False, 0)]

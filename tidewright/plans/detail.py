@@ -69,6 +69,11 @@ def order_detail(records: DataFrame, pages: DataFrame, streaming: bool = False)
     return joins.order_details(parse.order_detail_rows(records), parse.order_info_rows(records), parse.order_page_rows(pages), streaming)
 
 
+def order_detail_changes(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """The same in a stream, as changes: early rows, and what takes them back."""
+    return joins.order_detail_changes(parse.order_detail_rows(records), parse.order_info_rows(records), parse.order_page_rows(pages))
+
+
 def pay_success(records: DataFrame, details: DataFrame, streaming: bool = False) -> DataFrame:
     return joins.paid_details(parse.payment_success_rows(records), details, streaming)
 

@@ -5,7 +5,9 @@ streams stand in for topics, with the same `value` column."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import time
+from collections import OrderedDict
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,10 +77,43 @@ def dim_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dim_rows(dim: DataFrame, keys: Iterable[str], key_col: str = "id") -> dict[str, dict[str, str]]:
+    """The rows of some keys, without empty cells, by one query whose filter reaches the scan. For jobs, join instead."""
+    rows = dim.filter(F.col(key_col).isin(list(keys))).collect()
+    return {r[key_col]: {k: v for k, v in r.asDict().items() if v not in (None, "")} for r in rows}
+
+
 def dim_row(dim: DataFrame, key: str, key_col: str = "id") -> dict[str, str] | None:
-    """The row of one key, without empty cells; None where there is none."""
-    rows = dim.filter(F.col(key_col) == key).limit(1).collect()
-    return {k: v for k, v in rows[0].asDict().items() if v not in (None, "")} if rows else None
+    """The row of one key; None where there is none."""
+    return dim_rows(dim, [key], key_col).get(key)
+
+
+class DimCache:
+    """Point lookups for a serving process: rows met within `expiry` seconds are remembered, up to `most` keys, the missing
+    ones of a request are read by one query. read: the table as it stands. forget() after a change drops what is held."""
+
+    def __init__(self, read: Callable[[], DataFrame], key_col: str = "id", most: int = 10_000, expiry: float = 86_400, clock: Callable[[], float] = time.monotonic):
+        self.read, self.key_col, self.most, self.expiry, self.clock = read, key_col, most, expiry, clock
+        self.held: OrderedDict[str, tuple[float, dict[str, str] | None]] = OrderedDict()
+
+    def get(self, keys: Iterable[str]) -> dict[str, dict[str, str]]:
+        """The rows of the keys that there are."""
+        now, wanted = self.clock(), list(dict.fromkeys(k for k in keys if k is not None))
+        known = {k: self.held[k][1] for k in wanted if k in self.held and now - self.held[k][0] < self.expiry}
+        if missing := [k for k in wanted if k not in known]:
+            found = dim_rows(self.read(), missing, self.key_col)
+            for k in missing:
+                known[k] = found.get(k)
+                self.held[k] = now, known[k]
+                self.held.move_to_end(k)
+            while len(self.held) > self.most:
+                self.held.popitem(last=False)
+        return {k: v for k, v in known.items() if v is not None}
+
+    def forget(self, *keys: str) -> None:
+        """These keys, or all."""
+        for k in keys or list(self.held):
+            self.held.pop(k, None)
 
 
 def summary_tables(spark: SparkSession, root: str, names: Iterable[str] = schemas.SUMMARY) -> dict[str, DataFrame]:
