@@ -112,8 +112,8 @@ def test_links_of_dense_and_sparse_fingerprints(spark, seed):
     flips = [np.uint64(sum(1 << int(b) for b in r.choice(64, r.integers(0, 5), replace=False))) for _ in range(400)]
     fps = np.unique(np.array([base[r.integers(0, 3 if k % 3 == 0 else 30)] ^ f for k, f in enumerate(flips)], np.uint64))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    for size in (8, 4096):
-        roots = {row.node: row.root for row in components.components(simhash.near_links(df, sample_size=size)).collect()}
+    for size, hot in ((8, 1 << 18), (4096, 1 << 18), (4096, 3)):
+        roots = {row.node: row.root for row in components.components(simhash.near_links(df, sample_size=size, hot=hot)).collect()}
         label = comp_brute(fps, list(range(len(fps))))
         groups = defaultdict(set)
         for k, x in enumerate(fps.view(np.int64).tolist()):

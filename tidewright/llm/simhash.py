@@ -216,8 +216,11 @@ def bucket_links(radius: int, rest: int = 2_048):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3, sample_size: int = 4096) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column fp) within radius bits, a spanning forest a bucket."""
+def near_links(fps: DataFrame, radius: int = 3, sample_size: int = 4096, hot: int = 1 << 18) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (column fp) within radius bits, a spanning forest a bucket.
+
+    A bucket of more than `hot` rows is dealt out over all tasks: of the bits outside its partition, in radius + 1 groups,
+    two fingerprints within the radius share a group's value at least, so each group's values are buckets in its place."""
     total = fps.count()
     # the bounded sample that the cost estimate is fitted on
     picked = fps.select("fp").orderBy(F.xxhash64("fp")).limit(sample_size).collect() if total else []
@@ -235,7 +238,28 @@ def near_links(fps: DataFrame, radius: int = 3, sample_size: int = 4096) -> Data
                 c.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["part", "key", "probe", "fp"])
 
-    probes = fps.select("fp").mapInArrow(by_slices(keys, rows=4096), "part int, key long, probe byte, fp long")
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        part, key, probe, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+        cols: list[list[np.ndarray]] = [[], []]
+        for k in range(radius + 1):
+            value = np.zeros(len(fp), np.uint64)
+            for p, (bits, _) in enumerate(plan):
+                own = part == p
+                value[own] = partition_value(fp[own].view(np.uint64), [b for b in range(BITS) if b not in bits][k :: radius + 1])
+            # keys that meet by chance do no harm: what meets is verified on all bits
+            mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + value * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k)
+            cols[0].append((part + len(plan) * (k + 1)).astype(np.int32))
+            cols[1].append(mixed.view(np.int64))
+        again = [np.tile(x, radius + 1) for x in (probe, fp)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols] + [pa.array(x) for x in again], names=["part", "key", "probe", "fp"])
+
+    kind = "part int, key long, probe byte, fp long"
+    probes = saved(fps.select("fp").mapInArrow(by_slices(keys, rows=4096), kind), "probes")
+    crowded = saved(probes.groupBy("part", "key").count().filter(F.col("count") > hot).select("part", "key"), "probes-hot")
+    if not crowded.isEmpty():  # fewer than rows / hot, so they are broadcast
+        rest = probes.join(F.broadcast(crowded), ["part", "key"], "left_anti")
+        dealt = probes.join(F.broadcast(crowded), ["part", "key"], "left_semi").select("part", "key", "probe", "fp").mapInArrow(by_slices(deal, rows=4096), kind)
+        probes = rest.select(dealt.columns).unionByName(dealt)
     return probes.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(bucket_links(radius), "a long, b long")
 
 
