@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +23,25 @@ def training_labels(labels: DataFrame, label: str, parts: int, held: int) -> Dat
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
 
 
+def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, y, text) -> one of each doc_id, with its largest text, from a task."""
+    best: dict[int, tuple[int, str]] = {}
+    for batch in batches:
+        for i, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if i not in best or text > best[i][1]:
+                best[i] = y, text
+    for i, (y, text) in best.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([text])], names=["doc_id", "y", "text"])
+
+
 def sampled(docs: DataFrame, picked: DataFrame, most: int, longest: int = 1 << 20) -> list[tuple[str, int]]:
     """(text, y) of at most `most` rows of picked, by a hash of the id so that the choice is repeatable, one text for each
     id (of several the largest) and none of more than `longest` characters: so the sample is bounded by most times longest.
-    The ids are bounded as well, so they are broadcast."""
+    The ids are bounded as well, so they are broadcast. Rows that repeat an id are brought down to one in the tasks that
+    read them: texts aren't shuffled."""
     few = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = texts(docs).filter(F.char_length("text") <= longest).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    rows = texts(docs).filter(F.char_length("text") <= longest).join(F.broadcast(few), "doc_id").select("doc_id", "y", "text")
+    best: dict[int, tuple[str, int]] = {}
+    for r in rows.mapInArrow(_largest, "doc_id long, y int, text string").collect():
+        best[r["doc_id"]] = max(best.get(r["doc_id"], ("", r["y"])), (r["text"], r["y"]))
+    return [best[i] for i in sorted(best)]
