@@ -607,6 +607,28 @@ def test_rollup_race_and_failed_attempts(spark, tmp_path, monkeypatch):
     assert total() == [(4, 48)] and late._done("deltas") == [] and not late.commit("_two", of(2)) and not late.commit("cut off", of(5))
 
 
+def test_scratch_folder_must_be_shared(spark):
+    from unittest.mock import MagicMock
+
+    from tidewright.llm import common
+
+    cluster = MagicMock()
+    cluster.conf.get.return_value = None
+    cluster.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    cluster.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_dir(cluster)
+    cluster.conf.get.return_value = "/shared"
+    assert common.scratch_dir(cluster) == "/shared"
+    # what was written since a mark goes, but for the last
+    mark = common.saved_so_far()
+    tables = [common.saved(spark.range(k + 1), "x") for k in range(3)]
+    common.drop_saved(spark, mark, last=False)
+    assert tables[2].count() == 3 and common.saved_so_far() == mark + 1
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound|no such file"):
+        spark.read.parquet(tables[0].inputFiles()[0] if tables[0].inputFiles() else "/none").count()
+
+
 def test_sample_is_bounded(spark):
     from tidewright.llm import labelled
 
