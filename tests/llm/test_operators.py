@@ -436,6 +436,14 @@ def test_html_ratios_select(monkeypatch):
     assert all(" ".join(html_text.main_text(p).split()) != t for p, t in zip((bare, listed), texts, strict=False))
 
 
+def test_html_names_of_boilerplate():
+    for name in ("ad", "ad-slot-1", "adsbygoogle", "related-stories", "share_this", "socialIcons", "site-header", "commentList", "comments-area", "cookie-notice", "newsletter-signup-form", "sidebar left", "follow-us", "fb-comments"):
+        assert html_text.named_so({"class": name}, False), name
+    for name in ("social-science", "menu-of-the-day", "with-sidebar", "no-comments", "overflow-hidden", "headline", "advent", "post content", "notice-of-intent"):
+        assert not html_text.named_so({"class": name}, False), name
+    assert html_text.named_so({"id": "header"}, False) and not html_text.named_so({"id": "article-header"}, True)
+
+
 def test_html_deep_pages_take_linear_time():
     import time
 

@@ -38,8 +38,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 #: Elements that aren't main text by HTML's own rules.
 DROPPED = set("head nav footer aside form button select menu dialog search input fieldset svg".split())
 #: Words of class, id or role that mark boilerplate where the others beside them are neutral.
-MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidebars aside rail comment comments commentlist disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social follow popup modal overlay widget widgets skip pagination pager tags tagcloud copyright complementary contentinfo disclaimer warning toast announcement paywall donate feedback reviews".split())
-NEUTRAL = set("a all and area article author bar bars block body bottom box buttons button cards center col column container content count dark data desktop div element entry extra feed fixed float form full global group head headline holder icon icons id in inline inner item items js js2 large layout left light line link links list lists main medium meta mobile module more new nofollow off on outer page panel parent post posts primary print region right root row secondary section site skin slot small sticky story sub tablet text thread title top tracking unit us user users view web wide wrap wrapper zone".split())
+MARKS = set("ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidebars aside rail comment comments commentlist disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social follow popup modal overlay widget widgets skip pagination pager tags tagcloud copyright complementary contentinfo disclaimer warning toast announcement paywall donate feedback reviews".split())
+NEUTRAL = set("a all and area article articles author background bar bars bg block body bottom box button buttons card cards carousel center close col column container content count cover dark data desktop dfp div element entry extra facebook fb feed fields fixed flex float form full global google grid group head heading headline hero holder icon icons id image images img in info inline inner input item items js js2 label labels large layout left light line link links list lists main media medium message meta mini mobile module more msg network networks new news nofollow off on open outer page panel parent policy post posts primary print read reading region right root row secondary section site skin slider slot small sticky stories story style sub tab tablet tabs text this thread tile tiles title toggle top topics tracking twitter unit up us user users video videos view web wide wp wrap wrapper zone".split())
 #: A mark after one of these says what an element has; an article's own head belongs to it.
 NOT_IT, HEADS = {"with", "has", "no", "without", "hide"}, {"header", "masthead", "banner"}
 ARTICLE = {"article", "main"}
