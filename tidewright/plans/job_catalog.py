@@ -28,11 +28,18 @@ def _text(c) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a table that is too small to keep all cores busy, dealt out as a topic's partitions would be; a table that is
+    read in enough parts stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def log_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Events as application logs (value): sessions are events, pages go by the type, and errors have none."""
     k = F.col("k")
     millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    e = _t(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", F.from_json("props", "k BIGINT")["k"].alias("k"), millis.alias("millis"))
+    e = _dealt(_t(spark, sf, "events")).select("event_id", "ts", "user_id", "event_type", F.from_json("props", "k BIGINT")["k"].alias("k"), millis.alias("millis"))
     page = F.when(F.col("event_type") == "view", "home").when(F.col("event_type") == "click", "course_list").when(F.col("event_type") == "purchase", "course_detail").when(F.col("event_type") == "signup", "order")
     word = k % 4 == 0
     record = F.struct(
@@ -49,8 +56,8 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def change_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines, orders and their payments as change records (value)."""
-    o = _t(spark, sf, "orders").withColumn("ts", epoch_seconds("o_orderdate"))
-    li = _t(spark, sf, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "ts"), "l_orderkey")
+    o = _dealt(_t(spark, sf, "orders")).withColumn("ts", epoch_seconds("o_orderdate"))
+    li = _dealt(_t(spark, sf, "lineitem")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "ts"), "l_orderkey")
 
     def texts(rows: DataFrame, table: str, kind, **data) -> DataFrame:
         cells = F.create_map(*(x for n, c in data.items() for x in (F.lit(n), _text(c))))
