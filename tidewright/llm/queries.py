@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, media_avi, packing, pieces, quality_mil, simhash, substrings, token_counts, toxicity_pu
+from . import exact_dedup, html_text, media_avi, ordered_packing, packing, pieces, quality_mil, simhash, substrings, token_counts, toxicity_pu
 from .common import scratch_dir
 
 
@@ -71,8 +71,12 @@ def op10_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.digests(media_avi.stored(_table(spark, sf_dir, "documents")))
 
 
+def op11_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_packing.pack_in_order(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_quality_attention_mil, op3_simhash_near_dedup, op4_exact_dedup, op5_substring_dedup, op6_token_rollup, op7_html_extraction, op8_sentencepiece, op9_toxicity_pu, op10_media_avi)
+    f.__name__: f for f in (op1_best_fit_packing, op2_quality_attention_mil, op3_simhash_near_dedup, op4_exact_dedup, op5_substring_dedup, op6_token_rollup, op7_html_extraction, op8_sentencepiece, op9_toxicity_pu, op10_media_avi, op11_ordered_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
