@@ -22,7 +22,7 @@ import json
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ CAPACITY = 2048
 END = 1
 #: What ends a sentence: these, closing marks after them included.
 _SENTENCE = re.compile(r"[.!?…。！？][\"')\]»”’]*$")
-#: Printable Latin characters, which normalise to themselves and have one lower case.
-_PLAIN = re.compile(r"[!-~¡-įı-ɏ]+")
+_STOPS, _CLOSING = tuple(".!?…。！？"), tuple("\"')]»”’")
+#: Words with others than printable Latin characters, which normalise to themselves and have one lower case.
+_ODD = re.compile(r"^.*[^!-~¡-įı-ɏ\n].*$", re.M).findall
 
 
 def default_tokenizer() -> str:
@@ -90,53 +91,68 @@ class WordBpe(dict):
     def reset(self) -> None:
         """Forget all words. Empty words and line ends have no ids; a line end ends a sentence."""
         self.clear()
+        self.new: list[str] = []
         self.ids, self.counts, self.ends = [b"", b""], array.array("q", [0, 0]), array.array("b", [0, 1])
         self[""], self["\n"] = 0, 1
 
-    def _hold(self, words: list[str], ids: list[bytes]) -> None:
-        self.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
-        self.ids += ids
-        self.counts.extend([len(x) // 4 for x in ids])
-        self.ends.extend([_SENTENCE.search(w) is not None for w in words])
-
-    def learn(self, words: set[str]) -> None:
-        """Takes in words that it doesn't have."""
-        plain = [w for w in words if _PLAIN.fullmatch(w) and not self.names(w)]
-        if odd := list(words.difference(plain)):
-            self._hold(odd, [np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd])
-        if plain:
-            pieces = self.cut("\n".join(plain).lower() + "\n")
-            ids = self.of_rank[self.fast("\x00".join(pieces) + "\x00")]
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_end)).tolist()
-            self._hold(plain, [raw[at:to] for at, to in zip([0] + [e + 4 for e in ends[:-1]], ends, strict=True)])
-
-    def document(self, text: str, most: int = 1 << 20) -> tuple[bytes, np.ndarray, int]:
-        """Ids as little-endian words, the numbers of ids before each end of a sentence, and the number of ids. Texts are
-        read in stretches of about `most` characters, cut at spaces."""
-        out, stops, n, at = [], [], 0, 0
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+    def learn(self) -> None:
+        """Encodes the words that have come up since the last time."""
+        words, self.new = self.new, []
+        lines = "\n".join(words)
+        odd = set(_ODD(lines))
+        if self.names(lines):
+            odd.update(filter(self.names, words))
+        pieces = self.cut("\n".join([w for w in words if w not in odd]).lower() + "\n")
+        ids = self.of_rank[self.fast("\x00".join(pieces) + "\x00")]
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_end)).tolist()
+        plain = iter([raw[at:to] for at, to in zip([0] + [e + 4 for e in ends[:-1]], ends, strict=True)])
+        encode, size = self.whole.encode, len(self.ids)
+        self.ids += [np.array(encode(w, add_special_tokens=False).ids, "<u4").tobytes() if w in odd else next(plain) for w in words] if odd else plain
+        self.counts.extend([len(x) // 4 for x in self.ids[size:]])
+        self.ends.extend([w.endswith(_STOPS) or w.endswith(_CLOSING) and _SENTENCE.search(w) is not None for w in words])
+
+    def _stretches(self, text: str, most: int) -> Iterator[list[int]]:
+        """Numbers of the words of a text, in stretches of about `most` characters, cut at spaces."""
+        at = 0
         while at < len(text):
             to = len(text) if len(text) - at <= most else text.find(" ", at + most)
             to = len(text) if to < 0 else to
-            words = text[at:to].replace("\n", " \n ").split(" ")
-            try:
-                own = list(map(self.__getitem__, words))
-            except KeyError:
-                if len(self.ids) > self.keep:
-                    self.reset()
-                self.learn({w for w in set(words) if w not in self})
-                own = list(map(self.__getitem__, words))
+            yield list(map(self.__getitem__, text[at:to].replace("\n", " \n ").split(" ")))
+            at = to + 1
+
+    def _put(self, stretches: Iterable[list[int]]) -> tuple[bytes, np.ndarray, int]:
+        out, stops, n = [], [], 0
+        for own in stretches:
+            if self.new:
+                self.learn()
             places = np.array(own, np.int64)
             total = n + np.cumsum(np.frombuffer(self.counts, np.int64)[places])
             out.append(b"".join(map(self.ids.__getitem__, own)))
             stops.append(total[np.frombuffer(self.ends, np.int8)[places] > 0])
-            n, at = int(total[-1]), to + 1
+            n = int(total[-1])
         return b"".join(out), np.concatenate(stops) if stops else np.zeros(0, np.int64), n
 
-    def documents(self, texts: list[str]) -> list[tuple[bytes, np.ndarray, int]]:
-        """As document, for several texts, whose new words are learned together."""
-        if len(self.ids) < self.keep:
-            self.learn({w for t in texts if len(t) < 1 << 16 for w in set(t.replace("\n", " ").split(" ")) if w not in self})
-        return [self.document(t) for t in texts]
+    def documents(self, texts: list[str], most: int = 1 << 20) -> Iterator[tuple[bytes, np.ndarray, int]]:
+        """For each text its ids as little-endian words, the numbers of ids before each end of a sentence, and the number of
+        ids. New words of texts of up to a million characters in all are learned together; longer texts go in stretches."""
+        at = 0
+        while at < len(texts):
+            if len(self) > self.keep:
+                self.reset()
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= most):
+                size += len(texts[to])
+                to += 1
+            if size > most:
+                yield self._put(self._stretches(texts[at], most))
+            else:
+                yield from map(self._put, [list(self._stretches(t, most)) for t in texts[at:to]])
+            at = to
 
 
 @functools.lru_cache(maxsize=1)
