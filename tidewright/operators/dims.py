@@ -15,7 +15,7 @@ def merge_dim(puts: DataFrame, key: str, columns: list[str], order: list[str], t
     gone = F.max(F.when(F.col(type_col) == "delete", at)).over(Window.partitionBy(key))
     live = puts.withColumn("_at", at).withColumn("_gone", gone).filter((F.col(type_col) != "delete") & (F.col("_gone").isNull() | (F.col("_at") > F.col("_gone"))))
     filled = {c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("_at")) for c in columns}
-    return live.groupBy(key).agg(*(F.max_by(c, filled[c]).alias(c) for c in columns))
+    return live.groupBy(key).agg(*(F.max_by(c, filled[c]).alias(c) for c in columns)) if columns else live.select(key).distinct()
 
 
 def lookup(rows: DataFrame, dim: DataFrame, key: str, attributes: dict[str, str], dim_key: str = "id", default: dict[str, str] | None = None) -> DataFrame:

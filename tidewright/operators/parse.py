@@ -138,18 +138,23 @@ def split_log(log: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def log_outputs(raw: DataFrame, col: str = "value") -> DataFrame:
-    """split_dirty and split_log in one pass over the texts: a row for each output of each record, by its name in `output`
-    (dirty: value alone), with common, page, err, start, appVideo, display, action and ts as the output has them; whole arrays
-    of displays and actions go with none. One scan, one parse and one explode give all, to be counted or written by output."""
+def parsed_logs(raw: DataFrame, col: str = "value") -> DataFrame:
+    """(r, _text, _dirty): application logs parsed once, their texts, and which of those are no JSON objects."""
     # a text that isn't read whole is looked at again: it is dirty unless it is an object, of whatever types
     schema = f"{schemas.LOG}, _broken STRING"
     r = F.from_json(F.when(F.col(col).isNull(), "").otherwise(F.col(col)), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     parsed = raw.select(r.alias("r"), F.col(col).alias("_text"))
     odd = F.col("r").isNull() | F.col("r._broken").isNotNull() | (F.trim("_text") == "")
     dirty = odd & ~F.coalesce(F.schema_of_variant(F.try_parse_json("_text")).startswith("OBJECT"), F.lit(False))
-    parsed = parsed.withColumn("_dirty", F.coalesce(dirty, F.lit(True)))
-    clean = ~F.col("_dirty")
+    return parsed.withColumn("_dirty", F.coalesce(dirty, F.lit(True)))
+
+
+def outputs(parsed: DataFrame, incomplete: Column | None = None) -> DataFrame:
+    """A row for each output of each parsed log, by its name in `output` (dirty: value alone), with common, page, err, start,
+    appVideo, display, action and ts as the output has them; whole arrays of displays and actions go with none. One explode
+    gives all. incomplete: which clean records go to an output of that name alone, with their value."""
+    short = F.lit(False) if incomplete is None else incomplete
+    clean = ~F.col("_dirty") & ~short
 
     def one(name: str, **filled) -> Column:
         kinds = {"display": "MAP<STRING,STRING>", "action": "MAP<STRING,STRING>"}
@@ -159,10 +164,16 @@ def log_outputs(raw: DataFrame, col: str = "value") -> DataFrame:
     paged = clean & F.col("r.page").isNotNull()
     rows = F.array(
         F.when(F.col("_dirty"), one("dirty")), F.when(clean & err.isNotNull(), one("err", err=err, start=start, appVideo=video)), F.when(clean & start.isNotNull(), one("start", start=start, appVideo=video)),
-        F.when(clean & video.isNotNull(), one("appVideo", start=start, appVideo=video)), F.when(paged, one("page", start=start, appVideo=video)),
+        F.when(clean & video.isNotNull(), one("appVideo", start=start, appVideo=video)), F.when(paged, one("page", start=start, appVideo=video)), F.when(~F.col("_dirty") & short, one("incomplete")),
     )
     many = lambda name, of: F.when(paged & F.col(of).isNotNull(), F.transform(of, lambda x: one(name, **{name: x}))).otherwise(F.array().cast(f"array<{one_type}>"))
     one_type = "struct<output:string,err:string,start:string,appVideo:string,display:map<string,string>,action:map<string,string>>"
     rows = F.concat(F.filter(rows, lambda x: x.isNotNull()), many("display", "r.displays"), many("action", "r.actions"))
     out = parsed.select("r", "_text", F.explode(rows).alias("o"))
-    return out.select("o.output", F.col("r.common").alias("common"), F.col("r.page").alias("page"), "o.err", "o.start", "o.appVideo", "o.display", "o.action", F.col("r.ts").alias("ts"), F.when(F.col("o.output") == "dirty", F.col("_text")).alias("value"))
+    return out.select("o.output", F.col("r.common").alias("common"), F.col("r.page").alias("page"), "o.err", "o.start", "o.appVideo", "o.display", "o.action", F.col("r.ts").alias("ts"), F.when(F.col("o.output").isin("dirty", "incomplete"), F.col("_text")).alias("value"))
+
+
+def log_outputs(raw: DataFrame, col: str = "value") -> DataFrame:
+    """split_dirty and split_log in one pass over the texts: one scan, one parse and one explode give all outputs, to be
+    counted or written by output."""
+    return outputs(parsed_logs(raw, col))

@@ -19,10 +19,12 @@ def current_config(events: DataFrame, keys: list[str], order: str = "ts_ms") ->
 def route_dim(records: DataFrame, config: DataFrame) -> DataFrame:
     """Change records of configured tables, cut to their columns, with the change type as a column of the data.
 
-    The configuration is joined by its statistics: a small one is broadcast, as a rule, a large one shuffled."""
-    cfg = config.select(F.col("source_table").alias("table"), "sink_table", "sink_columns", "sink_pk")
+    The configuration is joined by its statistics: a small one is broadcast, as a rule, a large one shuffled. Where its rows
+    have a generation, the records get it."""
+    more = ["generation"] if "generation" in config.columns else []
+    cfg = config.select(F.col("source_table").alias("table"), "sink_table", "sink_columns", "sink_pk", *more)
     out = records.join(cfg, "table").withColumn("data", with_entry(prune("data", "sink_columns"), "type", F.col("type")))
-    return out.select("sink_table", "sink_pk", "type", "ts", "data")
+    return out.select("sink_table", "sink_pk", "type", "ts", "data", *more)
 
 
 def route_dwd(records: DataFrame, config: DataFrame) -> DataFrame:

@@ -64,6 +64,22 @@ def base_log(raw: DataFrame, state: ModuleType = stateful, literal: bool = False
     return {"dirty": dirty, "incomplete": log.filter(F.col("common").isNull() | F.col("ts").isNull())} | parse.split_log(fixed)
 
 
+def log_job(raw: DataFrame, state: ModuleType = stateful, literal: bool = False) -> DataFrame:
+    """base_log as one table: a row for each output of each record, by its name in `output` (dirty, incomplete, err, start,
+    appVideo, page, display, action). One scan, one parse, the flag's repair and one explode, in batch and in streams.
+
+    Records that know no visitor (no mid, no common, no ts, no JSON) keep their flag; they are dealt out by their texts, so
+    that no key gathers them."""
+    parsed = parse.parsed_logs(raw)
+    short = F.col("r.common").isNull() | F.col("r.ts").isNull()
+    known = ~F.col("_dirty") & ~short & F.col("r.common.mid").isNotNull()
+    who = F.when(known, F.concat(F.lit("m"), "r.common.mid")).otherwise(F.concat(F.lit("t"), F.pmod(F.xxhash64("_text"), F.lit(4096))))
+    rows = parsed.select("r", "_text", "_dirty", known.alias("_known"), who.alias("_who"), F.col("r.common.is_new").alias("_new"), date_text(from_millis("r.ts")).alias("_day"), F.col("r.ts").alias("ts"), F.xxhash64(F.to_json("r.page"), "r.err").alias("_tie"))
+    fixed = state.repair_new_visitor(rows, "_who", "_new", "_day", ["ts", "_tie"], literal)
+    r = F.when(F.col("_known"), F.col("r").withField("common.is_new", F.col("_new"))).otherwise(F.col("r"))
+    return parse.outputs(fixed.select(r.alias("r"), "_text", "_dirty"), F.coalesce(short, F.lit(True)))
+
+
 def order_detail(records: DataFrame, pages: DataFrame, streaming: bool = False) -> DataFrame:
     """Change records and page logs -> order details with their source."""
     return joins.order_details(parse.order_detail_rows(records), parse.order_info_rows(records), parse.order_page_rows(pages), streaming)

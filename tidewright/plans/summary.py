@@ -26,13 +26,17 @@ Dims = dict[str, DataFrame]
 
 @dataclass(frozen=True)
 class Job:
-    """prepare: input rows -> rows with event time et; steps; window: rows, dimensions, length and delay -> summary."""
+    """prepare: input rows -> rows with event time et; steps; window: rows, dimensions, length and delay -> summary.
+
+    changes: in one streaming query, instead of steps and window: rows, the module that chains state, dimensions and length
+    -> summary, without holding rows back, by taking back what is replaced."""
 
     name: str
     prepare: Callable[[DataFrame], DataFrame]
     window: Callable[[DataFrame, Dims, str, str | None], DataFrame]
     steps: list[Step] = field(default_factory=list)
     delay: str = "0 seconds"
+    changes: Callable[[DataFrame, ModuleType, Dims, str], DataFrame] | None = None
 
     def batch(self, rows: DataFrame, dimensions: Dims | None = None, length: str = LENGTH) -> DataFrame:
         out = self.prepare(rows)
@@ -99,6 +103,23 @@ def _provinces(rows: DataFrame, d: Dims, length: str, delay: str | None) -> Data
     # streams reject distinct aggregates; there a set per window and province is what is left
     orders = F.size(F.collect_set("order_id")).cast("long") if rows.isStreaming else F.count_distinct("order_id")
     out = tumbling(rows, "et", ["province_id"], [F.coalesce(amount, F.lit(0).cast("decimal(26,2)")).alias("order_total_amount"), total("uu", "order_uu_count"), orders.alias("order_count")], length, delay)
+    return _with_province(out, d)
+
+
+def _province_changes(rows: DataFrame, chain: ModuleType, d: Dims, length: str) -> DataFrame:
+    """Details at once, and taken back when a later version comes. An order counts while a detail of it stands, a user on the
+    first detail of the day that stands: first sums by order, then by province."""
+    rows = rows.withColumn("amount", F.col("final_amount").cast("decimal(16,2)"))
+    out = chain.replacements(rows, "id", ["row_op_ts", "arrival"])
+    out = chain.credited(out, ["province_id", "user_id", "day"], ["ts", "id"], "uu")
+    sign = F.col("_sign")
+    orders = out.groupBy(F.window("et", length).alias("_w"), "province_id", "order_id").agg(F.sum(sign).alias("n"), F.sum(F.col("amount") * sign).alias("amount"), F.sum("uu").alias("uu")).filter("n > 0")
+    zero = F.lit(0).cast("decimal(26,2)")
+    measures = [F.coalesce(F.sum("amount").cast("decimal(26,2)"), zero).alias("order_total_amount"), F.sum("uu").alias("order_uu_count"), F.count("order_id").alias("order_count")]
+    return _with_province(tumbling(orders, "_w", ["province_id"], measures, length), d)
+
+
+def _with_province(out: DataFrame, d: Dims) -> DataFrame:
     out = dims.lookup(out, d["dim_base_province"], "province_id", {"name": "province_name"}, default={"province_name": ""})
     return out.select("stt", "edt", "cur_date", "province_id", "province_name", F.lit("").alias("user_id"), "order_total_amount", "order_uu_count", "order_count")
 
@@ -145,7 +166,7 @@ def summary_jobs(literal: bool = False) -> dict[str, Job]:
         Job("dws_trade_pay_suc_window", _details, _sums("pay_suc_uv_count", "pay_suc_new_user_count"), [_latest, _counted("pay_suc_uv_count", "pay_suc_new_user_count", literal)], "2 seconds"),
         Job("dws_trade_course_order_window", _details, _courses, [_latest], "2 seconds"),
         Job("dws_trade_source_order_window", lambda r: _details(parse.with_source(r)), _sources, [_latest, lambda r, s: s.flag_first(r, ["user_id", "source_id", "day"], ["ts", "id"], "uu", ttl_ms=DAY_MS), lambda r, s: s.flag_first(r, ["order_id"], ["ts", "id"], "one", ttl_ms=HOUR_MS)]),
-        Job("dws_trade_province_order_window", _details, _provinces, [_latest, lambda r, s: s.flag_first(r, ["province_id", "user_id", "day"], ["ts", "id"], "uu", ttl_ms=DAY_MS)]),
+        Job("dws_trade_province_order_window", _details, _provinces, [_latest, lambda r, s: s.flag_first(r, ["province_id", "user_id", "day"], ["ts", "id"], "uu", ttl_ms=DAY_MS)], changes=_province_changes),
         Job("dws_examination_paper_exam_window", _seconds, _papers),
         Job("dws_examination_paper_score_duration_exam_window", _seconds, _bands),
         Job("dws_examination_question_answer_window", _seconds, _questions),

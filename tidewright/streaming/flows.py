@@ -1,4 +1,6 @@
-"""Streaming runs of the jobs: every step that keeps state is a query of its own, with a table between it and the next.
+"""Streaming runs of the jobs. `chained` runs a job as one query, state after state, under one checkpoint. `summary` makes
+every step that keeps state a query of its own, with a table between it and the next, for steps to be scaled and replayed
+by themselves.
 
 Each query recovers by its own checkpoint; a table between two queries can be replayed. With once=True a run takes what
 is there now and stops; windows and held rows then come out as far as the watermark has passed them."""
@@ -11,7 +13,7 @@ from ..operators.windows import LENGTH
 from ..plans.summary import Dims, Job
 from ..sources.readers import table_stream
 from ..sources.sinks import run, schema_text, to_summary
-from . import processors
+from . import chain, processors
 
 
 def staged(spark: SparkSession, rows: DataFrame, root: str, name: str, most_files: int | None = None, once: bool = True) -> DataFrame:
@@ -27,3 +29,16 @@ def summary(spark: SparkSession, job: Job, rows: DataFrame, dimensions: Dims, ro
     for k, step in enumerate(job.steps):
         now = staged(spark, step(now, processors), root, f"{job.name}_{k}", once=once)
     to_summary(job.window(now, dimensions, length, job.delay), root, job.name, f"{root}/_checkpoints/{job.name}", once)
+
+
+def chained(spark: SparkSession, job: Job, rows: DataFrame, dimensions: Dims, root: str, length: str = LENGTH, hold: str = "5 seconds", once: bool = True) -> None:
+    """Run a summary job as one query into its summary table. hold: how far the watermark stays behind, which is how long
+    rows are held for later versions; jobs with `changes` hold none, and `hold` is how late rows may come."""
+    now = chain.begin(job.prepare(rows), hold)
+    if job.changes:
+        out = job.changes(now, chain, dimensions, length)
+    else:
+        for step in job.steps:
+            now = step(now, chain)
+        out = job.window(now, dimensions, length, None)
+    to_summary(out, root, job.name, f"{root}/_checkpoints/{job.name}", once)

@@ -8,6 +8,7 @@ A micro-batch hands over the rows of a key in no order; processors sort them by
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -37,7 +38,16 @@ def _plus(rows: DataFrame, *names: str) -> StructType:
 
 
 def _sorted(rows: Iterator[Row], order: list[str]) -> list[Row]:
-    return sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in order))
+    return sorted(rows, key=lambda r: _rank(r, order))
+
+
+def _rank(row: Row, order: list[str]) -> tuple:
+    return tuple((row[c] is not None, _plain_time(row[c])) for c in order)
+
+
+def _plain_time(v):
+    """Times of rows have a zone, those of state have none, in local time: without one they compare."""
+    return v.astimezone().replace(tzinfo=None) if isinstance(v, datetime) and v.tzinfo else v
 
 
 class _Expiring(StatefulProcessor):
