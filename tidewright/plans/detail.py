@@ -18,6 +18,19 @@ def dim_changes(raw: DataFrame, config: DataFrame) -> DataFrame:
     return routing.route_dim(parse.dim_etl(parse.changes(raw)), config)
 
 
+def dim_puts(raw: DataFrame, config: DataFrame) -> DataFrame:
+    """Change records -> puts and deletes of all dimension tables at once, as sources.keyed.KeyedTables takes them."""
+    routed = dim_changes(raw, config)
+    return routed.select(F.col("sink_table").alias("table"), "generation", F.element_at("data", F.coalesce("sink_pk", F.lit("id"))).alias("key"), "type", "ts", "data")
+
+
+def by_table(records: DataFrame, path: str) -> DataFrame:
+    """Change records, read and parsed once, written by table and read again: whoever takes one table's records opens its
+    folder alone."""
+    records.select("table", "type", "ts", "data").write.partitionBy("table").parquet(path)
+    return records.sparkSession.read.schema("type STRING, ts BIGINT, data MAP<STRING,STRING>, table STRING").parquet(path)
+
+
 def dim_job(raw: DataFrame, config_events: DataFrame, store: DimStore, batch: int | None = None, since: int | None = None) -> None:
     """A batch of change records into the dimension store: the configuration is replayed and complete before data. since:
     configuration events up to that ts_ms have made their tables in an earlier batch.

@@ -5,6 +5,7 @@ Instants are those of a session in UTC, as the test tables have them; amounts ar
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,9 @@ from ..functions import timefn
 from ..functions.timefn import epoch_seconds
 from ..operators import parse, routing, serving
 from ..sources import readers, sinks
+from ..sources.config_table import ConfigTable
+from ..sources.keyed import KeyedTables
+from ..streaming import jobs
 from . import detail, schemas
 from .session import scratch
 from .summary import Dims, summary_jobs
@@ -70,6 +74,11 @@ def change_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lines.unionByName(infos).unionByName(paid)
 
 
+def _records(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
+    """The change records, parsed once for all who take one kind of them."""
+    return detail.by_table(parse.changes(change_texts(spark, sf), strict=strict), f"{scratch(spark)}/changes-{uuid.uuid4().hex}")
+
+
 def details(spark: SparkSession, sf: str) -> DataFrame:
     """Order details as the summary jobs take them."""
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", epoch_seconds("o_orderdate").alias("ts"))
@@ -124,13 +133,13 @@ def _run(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def dwd_order_detail(spark: SparkSession, sf: str) -> DataFrame:
     """Change records and page logs through the detail job: an inner and a left outer join."""
-    out = detail.order_detail(parse.changes(change_texts(spark, sf)), pages(spark, sf))
+    out = detail.order_detail(_records(spark, sf), pages(spark, sf))
     return out.drop("row_op_ts")
 
 
 def dwd_pay_success(spark: SparkSession, sf: str) -> DataFrame:
     """Successful payments with the details of their orders, through both detail jobs."""
-    records = parse.changes(change_texts(spark, sf))
+    records = _records(spark, sf)
     out = detail.pay_success(records, detail.order_detail(records, pages(spark, sf)))
     return out.select("id", "order_id", "user_id", "course_id", "province_id", "payment_type", "payment_status", "callback_time", "original_amount", "coupon_reduce_amount", "final_amount", "ts")
 
@@ -169,10 +178,37 @@ def dim_route(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dim_job_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The dimension job into a store, then its table read back."""
-    store = sinks.DimStore(spark, f"{scratch(spark)}/dims-{uuid.uuid4().hex}")
-    detail.dim_job(change_texts(spark, sf), _config(spark), store)
-    return store.read("dim_order_info").select(F.col("id").cast("long").alias("id"), "province_id", "trade_body")
+    """The dimension job into keyed tables, all in one write, then one of them read back."""
+    root = f"{scratch(spark)}/dims-{uuid.uuid4().hex}"
+    config, tables = ConfigTable(spark, f"{root}/config", ["source_table"]), KeyedTables(spark, f"{root}/tables")
+    config.apply(_config(spark), 0)
+    tables.put(detail.dim_puts(change_texts(spark, sf), config.read()), 0)
+    return jobs.dim_table(config, tables, "dim_order_info").select(F.col("id").cast("long").alias("id"), "province_id", "trade_body")
+
+
+def dim_config_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The dimension job as a stream whose configuration changes half-way: even orders come first; then one table is made
+    anew with another column, one is added and one stays, and odd orders follow. All three tables, as they stand."""
+    root = f"{scratch(spark)}/dim-stream-{uuid.uuid4().hex}"
+    config, tables = ConfigTable(spark, f"{root}/config", ["source_table"]), KeyedTables(spark, f"{root}/tables")
+    order = F.coalesce(F.get_json_object("value", "$.data.order_id"), F.get_json_object("value", "$.data.id")).cast("long")
+    change_texts(spark, sf).withColumn("part", order % 2).write.partitionBy("part").text(f"{root}/all")
+    row = lambda op, ts, table, key, columns: (json.dumps({"op": op, "ts_ms": ts, "after": {"source_table": table, "sink_table": f"dim_{table}", "sink_columns": columns, "sink_pk": key}}),)
+    steps = [[row("r", 1, "order_info", "id", "id,province_id"), row("r", 1, "order_detail", "id", "id,course_id")], [row("u", 2, "order_info", "id", "id,trade_body"), row("c", 2, "payment_info", "order_id", "order_id,payment_status"), row("r", 2, "order_detail", "id", "id,course_id")]]
+    for k, events in enumerate(steps):
+        spark.createDataFrame(events, "value string").coalesce(1).write.mode("append").text(f"{root}/conf")
+        jobs.control(readers.change_capture(readers.file_topic(spark, f"{root}/conf")), config, f"{root}/cp-conf")
+        jobs.dim(readers.file_topic(spark, f"{root}/all/part=[0-{k}]"), config, tables, f"{root}/cp")
+    of = lambda name, key, cell: jobs.dim_table(config, tables, name).select(F.lit(name).alias("name"), F.col(key).alias("id"), F.col(cell).alias("cell"))
+    return of("dim_order_info", "id", "trade_body").unionByName(of("dim_payment_info", "order_id", "payment_status")).unionByName(of("dim_order_detail", "id", "course_id"))
+
+
+def dwd_base_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Application logs, broken and incomplete ones among them, through the log job: every output of every record."""
+    event = F.col("event_id").cast("string")
+    more = _t(spark, sf, "events").select(F.explode(F.filter(F.array(F.when(F.col("event_id") % 50 == 0, F.concat(F.lit('{"broken '), event)), F.when(F.col("event_id") % 70 == 0, F.concat(F.lit('{"ts": '), event, F.lit("}")))), lambda x: x.isNotNull())).alias("value"))
+    out = detail.log_job(log_texts(spark, sf).unionByName(more))
+    return out.select("output", F.col("common.mid").alias("mid"), F.col("common.is_new").alias("is_new"), F.col("page.page_id").alias("page_id"), "err", F.when(F.col("output") != "incomplete", F.col("ts")).alias("millis"), "value")
 
 
 def dwd_base_db(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +240,7 @@ def search_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The rows that the detail jobs take from change records and logs, by kind: parsed strictly, so a broken record fails."""
-    records = parse.dwd_etl(parse.changes(change_texts(spark, sf), strict=True))
+    records = parse.dwd_etl(_records(spark, sf, strict=True))
     kinds = {"detail": parse.order_detail_rows(records).select("id", F.col("create_time").alias("a"), F.col("final_amount").alias("b"), "ts"), "info": parse.order_info_rows(records).select("id", F.col("session_id").alias("a"), F.col("out_trade_no").alias("b"), F.col("info_ts").alias("ts"))}
     kinds["paid"] = parse.payment_success_rows(records).select(F.col("order_id").alias("id"), F.col("callback_time").alias("a"), F.col("payment_type").alias("b"), "ts")
     kinds["visit"] = parse.order_page_rows(pages(spark, sf)).select(F.col("session_id").alias("id"), F.col("source_id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("page_ts").alias("ts"))
@@ -278,7 +314,7 @@ def time_functions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _job(n, rows) for n, rows in JOBS.items()} | {
     f.__name__: f
     for f in (
-        dwd_order_detail, dwd_pay_success, config_replay, cdc_snapshot, dim_route, dim_job_table, dwd_base_db, dwd_unique_visitors, dwd_user_jumps, session_entries, pages_in, search_rows, order_rows,
+        dwd_order_detail, dwd_pay_success, config_replay, cdc_snapshot, dim_route, dim_job_table, dim_config_stream, dwd_base_db, dwd_base_log, dwd_unique_visitors, dwd_user_jumps, session_entries, pages_in, search_rows, order_rows,
         topic_rows, detail_json, upserted_details, summary_store, source_orders, keyword_cloud, province_amounts, question_rates, score_distribution, time_functions,
     )
 }
@@ -309,6 +345,18 @@ PROVINCE = f"""SELECT {{stamp}} province_id, coalesce(n_name, '') AS province_na
 ON_SOLD = "'1998-01-05'"
 
 ORACLE_SQL: dict[str, str] = {
+    "dim_config_stream": f"""
+        SELECT 'dim_order_info' AS name, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS cell FROM orders WHERE o_orderkey % 2 = 1
+        UNION ALL SELECT 'dim_payment_info', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderstatus = 'F' THEN '1602' ELSE '1601' END FROM orders WHERE o_orderkey % 2 = 1
+        UNION ALL SELECT DISTINCT 'dim_order_detail', id, CAST(l_partkey % 50 AS VARCHAR) FROM ({LINES})""",
+    "dwd_base_log": """
+        WITH e AS (SELECT CAST(user_id AS VARCHAR) AS mid, k % 2 AS fresh, strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) // 1000 AS millis, CASE event_type WHEN 'error' THEN 'failed' END AS err,
+                          CASE event_type WHEN 'view' THEN 'home' WHEN 'click' THEN 'course_list' WHEN 'purchase' THEN 'course_detail' WHEN 'signup' THEN 'order' END AS page_id FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+             f AS (SELECT *, CASE WHEN fresh = 1 AND first_value(fresh) OVER w = 1 AND first_value(day) OVER w = day THEN '1' ELSE '0' END AS is_new FROM e WINDOW w AS (PARTITION BY mid ORDER BY millis))
+        SELECT 'page' AS output, mid, is_new, page_id, NULL AS err, millis, NULL AS value FROM f WHERE page_id IS NOT NULL
+        UNION ALL SELECT 'err', mid, is_new, page_id, err, millis, NULL FROM f WHERE err IS NOT NULL
+        UNION ALL SELECT 'dirty', NULL, NULL, NULL, NULL, NULL, '{"broken ' || event_id FROM events WHERE event_id % 50 = 0
+        UNION ALL SELECT 'incomplete', NULL, NULL, NULL, NULL, NULL, '{"ts": ' || event_id || '}' FROM events WHERE event_id % 70 = 0""",
     "dws_traffic_source_keyword_page_view_window": f"SELECT {STAMPS}, keyword, count(*) AS keyword_count FROM (SELECT w, unnest(['big', 'data', CAST(k AS VARCHAR)]) AS keyword FROM ({P}) WHERE k % 4 = 0) GROUP BY w, keyword",
     "dws_traffic_vc_ch_ar_visitor_category_page_view_window": f"""
         WITH f AS (SELECT *, row_number() OVER (PARTITION BY mid, day ORDER BY millis, page_id) = 1 AS uv FROM ({P})),

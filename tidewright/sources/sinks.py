@@ -54,8 +54,9 @@ def to_summary(df: DataFrame, root: str, name: str, checkpoint: str, once: bool
 
 
 def append_summary(df: DataFrame, root: str, name: str) -> None:
-    """Append to a summary table, a day's rows from one task, so that days don't fall into a file for each task."""
-    df.repartition("cur_date").write.mode("append").partitionBy("cur_date").parquet(f"{root}/{name}")
+    """Append to a summary table, few files a day: small days aren't cut into a file for each task, and large ones are spread
+    over several."""
+    df.hint("rebalance", "cur_date").write.mode("append").partitionBy("cur_date").parquet(f"{root}/{name}")
 
 
 def upsert(path: str, key: str, order: list[str], columns: list[str], richer: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -67,6 +68,9 @@ def upsert(path: str, key: str, order: list[str], columns: list[str], richer: st
         rank = [F.col(richer).isNotNull().desc()] if richer else []
         w = Window.partitionBy(key).orderBy(*rank, *(F.col(c).desc() for c in order))
         last = batch.select(*columns).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+        jvm = batch.sparkSession._jvm.org.apache.hadoop.fs.Path
+        if not jvm(path).getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(jvm(f"{path}/_columns/_SUCCESS")):
+            last.limit(0).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/_columns")
         last.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return write
@@ -76,12 +80,16 @@ def _upserted(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], int
     """All rows of an upsert table that may count, the batches among them, and the number up to which a base holds them."""
     jvm = spark._jvm.org.apache.hadoop.fs.Path
     fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm(path)):
+        raise LookupError(f"nothing has been written to {path} yet, not even an empty batch")
     names = [f.getPath().getName() for f in fs.listStatus(jvm(path))]
     bases = [int(n[6:]) for n in names if n.startswith("_base-") and fs.exists(jvm(f"{path}/{n}/_SUCCESS"))]
     last = max(bases, default=-1)
     batches = sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) > last)
     parts = [spark.read.parquet(f"{path}/_base-{last}")] if bases else []
     parts += [spark.read.option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches))] if batches else []
+    if not parts:  # empty batches leave no folders, but the columns are known
+        parts = [spark.read.parquet(f"{path}/_columns")]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return rows, batches, last
 
@@ -159,6 +167,8 @@ class DimStore:
             self.create(table, columns, key)
 
     def read(self, table: str) -> DataFrame:
+        if not self.exists(table):
+            raise LookupError(f"there is no dimension table {table}")
         return self._read(table, self._version(table))
 
     def _read(self, table: str, version: int) -> DataFrame:

@@ -27,9 +27,7 @@ def dim(raw: DataFrame, config: ConfigTable, tables: KeyedTables, checkpoint: st
     """Change records into dimension tables: one join with the configuration and one write a micro-batch, for all tables."""
 
     def write(batch: DataFrame, number: int) -> None:
-        routed = detail.dim_changes(batch, config.read(config.pinned("dim", number)))
-        key = F.element_at("data", F.coalesce("sink_pk", F.lit("id")))
-        tables.put(routed.select(F.col("sink_table").alias("table"), "generation", key.alias("key"), "type", "ts", "data"), number)
+        tables.put(detail.dim_puts(batch, config.read(config.pinned("dim", number))), number)
         if number % compact_every == compact_every - 1:
             tables.compact()
             config.forget("dim", number - 1)
