@@ -39,8 +39,15 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def _topic(texts: DataFrame, name: str) -> DataFrame:
+    """Texts as a topic has them: written once, a record a line, so that readers don't make them anew in each expression."""
+    path = f"{scratch(texts.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    texts.write.text(path)
+    return texts.sparkSession.read.text(path)
+
+
 def log_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as application logs (value): sessions are events, pages go by the type, and errors have none."""
+    """Events as a topic of application logs (value): sessions are events, pages go by the type, and errors have none."""
     k = F.col("k")
     millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     e = _dealt(_t(spark, sf, "events")).select("event_id", "ts", "user_id", "event_type", F.from_json("props", "k BIGINT")["k"].alias("k"), millis.alias("millis"))
@@ -51,7 +58,7 @@ def log_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(page.isNotNull(), F.struct(page.alias("page_id"), F.when(k % 3 != 0, "x").alias("last_page_id"), (k * 10).alias("during_time"), F.when(word, F.concat(F.lit("Big Data "), k)).otherwise(F.concat(F.lit("c"), k)).alias("item"), F.when(word, "keyword").otherwise("course").alias("item_type"))).alias("page"),
         F.when(F.col("event_type") == "error", "failed").alias("err"), F.col("millis").alias("ts"),
     )
-    return e.select(F.to_json(record).alias("value"))
+    return _topic(e.select(F.to_json(record).alias("value")), "topic-log")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +66,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def change_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines, orders and their payments as change records (value)."""
+    """Order lines, orders and their payments as a topic of change records (value)."""
     o = _dealt(_t(spark, sf, "orders")).withColumn("ts", epoch_seconds("o_orderdate"))
     li = _dealt(_t(spark, sf, "lineitem")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "ts"), "l_orderkey")
 
@@ -71,7 +78,7 @@ def change_texts(spark: SparkSession, sf: str) -> DataFrame:
     lines = texts(li, "order_detail", F.when(F.col("l_linenumber") == 6, "update").otherwise("insert"), id=F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), order_id="l_orderkey", user_id="o_custkey", course_id=F.col("l_partkey") % 50, create_time=create, origin_amount=F.col("l_quantity").cast("long"), coupon_reduce=F.lit(1), final_amount=F.col("l_quantity").cast("long") - 1)
     infos = texts(o, "order_info", F.lit("insert"), id="o_orderkey", province_id=F.col("o_custkey") % 27, out_trade_no=F.concat(F.lit("t"), "o_orderkey"), session_id=F.concat(F.lit("s"), "o_orderkey"), trade_body="o_orderpriority")
     paid = texts(o.withColumn("ts", F.col("ts") + 60), "payment_info", F.lit("update"), order_id="o_orderkey", payment_status=F.when(F.col("o_orderstatus") == "F", "1602").otherwise("1601"), payment_type=F.col("o_custkey") % 3, callback_time=create)
-    return lines.unionByName(infos).unionByName(paid)
+    return _topic(lines.unionByName(infos).unionByName(paid), "topic-db")
 
 
 def _records(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
