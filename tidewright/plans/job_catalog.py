@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timefn
 from ..functions.timefn import epoch_seconds
-from ..operators import parse, routing, serving
+from ..operators import parse, patterns, routing, serving
 from ..sources import readers, sinks
 from ..sources.config_table import ConfigTable
 from ..sources.keyed import KeyedTables
@@ -233,6 +233,23 @@ def dwd_user_jumps(spark: SparkSession, sf: str) -> DataFrame:
     return detail.user_jumps(pages(spark, sf), within=6 * 3_600_000).select("mid", F.col("ts").alias("millis"))
 
 
+def sequence_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Three patterns over the events of each user, all matches and timeouts: a bounce, a funnel and a mixed one."""
+    e = _t(spark, sf, "events").select("event_id", "user_id", "event_type", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("millis"))
+    is_ = lambda kind: f"event_type = '{kind}'"
+    hour, begin = 3_600_000, patterns.Pattern.begin
+    found = {
+        "bounce": begin("first", is_("view")).next("second", is_("view")).within(6 * hour),
+        "funnel": begin("view", is_("view")).followed_by("click", is_("click")).followed_by("buy", is_("purchase")).within(48 * hour),
+        "mixed": begin("signup", is_("signup")).followed_by("view", is_("view")).next("click", is_("click")).within(24 * hour),
+    }
+    out = None
+    for name, pattern in found.items():
+        rows = patterns.match(e, pattern, ["user_id"], "millis", ["millis", "event_id"]).select(F.lit(name).alias("pattern"), "event_id", F.col("_outcome").alias("outcome"), F.size("_at").cast("long").alias("steps"), F.try_element_at("_at", F.lit(-1)).alias("last_millis"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def session_entries(spark: SparkSession, sf: str) -> DataFrame:
     return parse.session_entries(pages(spark, sf)).select(F.col("common.sid").alias("sid"), F.col("page.page_id").alias("page_id"))
 
@@ -321,7 +338,7 @@ def time_functions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _job(n, rows) for n, rows in JOBS.items()} | {
     f.__name__: f
     for f in (
-        dwd_order_detail, dwd_pay_success, config_replay, cdc_snapshot, dim_route, dim_job_table, dim_config_stream, dwd_base_db, dwd_base_log, dwd_unique_visitors, dwd_user_jumps, session_entries, pages_in, search_rows, order_rows,
+        dwd_order_detail, dwd_pay_success, config_replay, cdc_snapshot, dim_route, dim_job_table, dim_config_stream, dwd_base_db, dwd_base_log, dwd_unique_visitors, dwd_user_jumps, sequence_patterns, session_entries, pages_in, search_rows, order_rows,
         topic_rows, detail_json, upserted_details, summary_store, source_orders, keyword_cloud, province_amounts, question_rates, score_distribution, time_functions,
     )
 }
@@ -352,6 +369,15 @@ PROVINCE = f"""SELECT {{stamp}} province_id, coalesce(n_name, '') AS province_na
 ON_SOLD = "'1998-01-05'"
 
 ORACLE_SQL: dict[str, str] = {
+    "sequence_patterns": """
+        WITH e AS (SELECT event_id, user_id, event_type AS k, epoch_us(ts) // 1000 AS ms FROM events),
+             n AS (SELECT *, lead(k) OVER w AS nk, lead(ms) OVER w AS nx, first_value(CASE WHEN k = 'purchase' THEN ms END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS buy FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+             f AS (SELECT *, first_value(CASE WHEN k = 'click' THEN {'a': ms, 'b': buy} END IGNORE NULLS) OVER w AS c, first_value(CASE WHEN k = 'view' THEN {'a': ms, 'nk': nk, 'nx': nx} END IGNORE NULLS) OVER w AS v
+                   FROM n WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+             o AS (SELECT 'bounce' AS pattern, event_id, CASE WHEN nx IS NULL OR nx - ms >= 21600000 THEN 0 WHEN nk = 'view' THEN 1 END AS steps, 1 AS whole, nx AS first_, NULL AS second_ FROM f WHERE k = 'view'
+                   UNION ALL SELECT 'funnel', event_id, CASE WHEN c.a IS NULL OR c.a - ms >= 172800000 THEN 0 WHEN c.b IS NULL OR c.b - ms >= 172800000 THEN 1 ELSE 2 END, 2, c.a, c.b FROM f WHERE k = 'view'
+                   UNION ALL SELECT 'mixed', event_id, CASE WHEN v.a IS NULL OR v.a - ms >= 86400000 THEN 0 WHEN v.nx IS NULL OR v.nx - ms >= 86400000 THEN 1 WHEN v.nk = 'click' THEN 2 END, 2, v.a, v.nx FROM f WHERE k = 'signup')
+        SELECT pattern, event_id, CASE WHEN steps = whole THEN 'match' ELSE 'timeout' END AS outcome, CAST(steps AS BIGINT) AS steps, CASE steps WHEN 1 THEN first_ WHEN 2 THEN second_ END AS last_millis FROM o WHERE steps IS NOT NULL""",
     "dim_config_stream": f"""
         SELECT 'dim_order_info' AS name, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS cell FROM orders WHERE o_orderkey % 2 = 1
         UNION ALL SELECT 'dim_payment_info', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderstatus = 'F' THEN '1602' ELSE '1601' END FROM orders WHERE o_orderkey % 2 = 1
