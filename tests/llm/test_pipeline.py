@@ -64,7 +64,7 @@ def test_planted_cases(spark):
 
 
 def test_registered_queries(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     columns = {n: q(spark, SF).columns for n, q in QUERIES.items() if n.startswith(("op4", "op7", "op10"))}
     assert columns["op4_exact_dedup"] == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert QUERIES["op10_media_avi"](spark, SF).filter(F.col("payload_bytes") % 576 != 0).count() == 0
