@@ -7,6 +7,8 @@ is there now and stops; windows and held rows then come out as far as the waterm
 
 from __future__ import annotations
 
+from types import ModuleType
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.windows import LENGTH
@@ -23,11 +25,14 @@ def staged(spark: SparkSession, rows: DataFrame, root: str, name: str, most_file
     return table_stream(spark, path, schema_text(rows.schema), most_files)
 
 
-def summary(spark: SparkSession, job: Job, rows: DataFrame, dimensions: Dims, root: str, length: str = LENGTH, once: bool = True) -> None:
-    """Run a summary job over a stream of detail rows into its summary table under root."""
+def summary(spark: SparkSession, job: Job, rows: DataFrame, dimensions: Dims, root: str, length: str = LENGTH, once: bool = True, state: ModuleType = processors) -> None:
+    """Run a summary job over a stream of detail rows into its summary table under root. state: processors, by event time, or
+    clocked, by the clock; the clock never has all that is there, so that runs on until it is stopped (once=False)."""
+    if once and state.__name__.endswith("clocked"):
+        raise ValueError("steps by the clock have no end: run them with once=False")
     now = job.prepare(rows)
     for k, step in enumerate(job.steps):
-        now = staged(spark, step(now, processors), root, f"{job.name}_{k}", once=once)
+        now = staged(spark, step(now, state), root, f"{job.name}_{k}", once=once)
     to_summary(job.window(now, dimensions, length, job.delay), root, job.name, f"{root}/_checkpoints/{job.name}", once)
 
 
