@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidewright.llm import divergence, ordered_packing, prefix_trie, queries
+from tidewright.llm import divergence, ordered_packing, prefix_trie, queries, token_counts
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids binary, start int, length string, sequence_id int, offset string"
@@ -259,3 +259,16 @@ def test_matrix_blocks_sort_alike(width):
     assert order.tolist() == sorted(range(200), key=lambda k: (seqs[k], last[k]))
     alike = [next((d for d in range(9) if seqs[a][: d + 1] != seqs[b][: d + 1] or d == len(seqs[a])), 0) for a, b in zip(order, order[1:], strict=False)]
     assert m.shared(order).tolist() == [-1, *alike]
+
+
+def test_rollup_history_stays_small(spark, tmp_path):
+    """Many compactions: few folders of bases and names are left, and every batch is still known."""
+    store = token_counts.Rollup(spark, str(tmp_path), most=3, buckets=4)
+    one = spark.createDataFrame([("s", "en", "v", "insert", 2, None)], "source string, lang string, version string, op string, tokens long, old_tokens long")
+    for k in range(9):
+        assert store.commit(f"batch {k}", one)
+        store.compact()
+        assert not store.commit(f"batch {k // 2}", one)
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(9, 18)]
+    assert len(store._done("base")) == 2 and len(store._names()) <= 4
+    assert store._held([f"batch {k}" for k in range(12)]) == {f"batch {k}" for k in range(9)}

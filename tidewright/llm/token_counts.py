@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
+from zlib import crc32
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,12 +51,14 @@ def signed(changes: DataFrame) -> DataFrame:
 
 class Rollup:
     """Rollups in a folder that all executors share: deltas/<batch>, base/<number>, and held/<number> with the names of the
-    batches that this base took in. A base takes in the one before, and counts once it and its names are both there.
+    batches that this base took in, in buckets by name. A base takes in the one before, and counts once it and its names are
+    both there; names of up to the last base's number hold. Bases older than the one before the last are dropped, and `most`
+    folders of names are written as one, so that what a commit reads grows with the bucket of its name alone.
 
     Batches may have any names. One writer commits or compacts at a time; readers need not wait."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most: int = 16, buckets: int = 64):
+        self.spark, self.root, self.most, self.buckets = spark, root.rstrip("/"), most, buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -69,10 +72,19 @@ class Rollup:
         done = [n for n in names if self.fs.exists(self._path(f"{self.root}/{kind}/{n}/_SUCCESS"))]
         return sorted(unquote(n[2:]) if kind == "deltas" else n for n in done)
 
+    def _bucket(self, batch: str) -> int:
+        return crc32(batch.encode()) % self.buckets
+
+    def _names(self) -> list[str]:
+        """Folders of names that hold: up to the last base."""
+        last = (self._done("base") or [""])[-1]
+        return [n for n in self._done("held") if n <= last]
+
     def _held(self, batches: list[str]) -> set[str]:
-        """Which of some batches a base has taken in: looked up, as all names since the beginning may be many."""
-        paths = [f"{self.root}/held/{n}" for n in self._done("base")]
-        if not paths or not batches:
+        """Which of some batches a base has taken in: looked up in the buckets of their names."""
+        wanted = sorted({self._bucket(b) for b in batches})
+        paths = [p for n in (self._names() if batches else []) for k in wanted if self.fs.exists(self._path(p := f"{self.root}/held/{n}/bucket={k}"))]
+        if not paths:
             return set()
         held = self.spark.read.schema("batch string").parquet(*paths)
         return {r[0] for r in held.filter(F.col("batch").isin(batches)).distinct().collect()}
@@ -101,9 +113,15 @@ class Rollup:
         deltas = self._done("deltas")
         new = [b for b in deltas if b not in self._held(deltas)]
         if new:
-            name = f"{int((self._done('base') or ['0'])[-1]) + 1:09d}"
-            self.spark.createDataFrame([(b,) for b in new], "batch string").write.mode("overwrite").parquet(f"{self.root}/held/{name}")
+            bases, names = self._done("base"), self._names()
+            name = f"{int((bases or ['0'])[-1]) + 1:09d}"
+            held, fold = self.spark.createDataFrame([(b,) for b in new], "batch string"), len(names) >= self.most
+            if fold:
+                held = held.unionByName(self.spark.read.schema("batch string").option("recursiveFileLookup", "true").parquet(*(f"{self.root}/held/{n}" for n in names)))
+            held.withColumn("bucket", (F.crc32("batch") % self.buckets).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/held/{name}")
             self._sums(deltas).write.mode("overwrite").parquet(f"{self.root}/base/{name}")
+            for old in [f"base/{n}" for n in bases[:-1]] + [f"held/{n}" for n in names if fold]:
+                self.fs.delete(self._path(f"{self.root}/{old}"), True)
         for b in deltas:
             self.fs.delete(self._path(self._folder(b)), True)
 
