@@ -12,6 +12,15 @@ from tidewright.sources import readers, sinks
 from tidewright.streaming import flows
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Each stateful step of each micro-batch has a task and a store for each: two show as much as more."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def feed(spark, path, *batches):
     """Files of one batch each, in order of their times."""
     for b in batches:

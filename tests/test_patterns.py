@@ -10,6 +10,15 @@ from tidewright.operators.patterns import Pattern
 from tidewright.sources import readers, sinks
 from tidewright.streaming import patterns as runs
 
+
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Each stateful step of each micro-batch has a task and a store for each: two show as much as more."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
 T0 = 1_704_067_200_000
 PATTERNS = {
     "bounce": Pattern.begin("first", "kind = 'a'").next("second", "kind = 'a'").within(10_000),

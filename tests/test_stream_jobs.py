@@ -205,3 +205,21 @@ def test_visit_streams_equal_batch(spark, tmp_path):
         getattr(jobs, name)(stream, f"{tmp_path}/{name}", f"{tmp_path}/cp-{name}")
         got = sorted((r.mid, r.ts) for r in spark.read.parquet(f"{tmp_path}/{name}").filter("mid <> 'far'").collect())
         assert got == sorted((r.mid, r.ts) for r in plan(batch).collect())
+
+
+def test_upserts_of_empty_batches(spark, tmp_path):
+    """An empty first batch is an empty table with its columns; one that was never written is an error with a name."""
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "id string, n int, v string")
+    with pytest.raises(LookupError, match="nothing has been written"):
+        sinks.read_upserted(spark, path, "id")
+    write = sinks.upsert(path, "id", ["n"], ["id", "n", "v"])
+    write(rows.limit(0), 0)
+    out = sinks.read_upserted(spark, path, "id")
+    assert out.columns == ["id", "n", "v"] and out.collect() == []
+    sinks.compact_upserted(spark, path, "id")
+    write(rows, 1)
+    write(rows.limit(0), 2)
+    sinks.compact_upserted(spark, path, "id")
+    assert [tuple(r) for r in sinks.read_upserted(spark, path, "id").collect()] == [("a", 2, "y")]
+    with pytest.raises(LookupError, match="no dimension table"):
+        sinks.DimStore(spark, f"{path}-dims").read("dim_a")
