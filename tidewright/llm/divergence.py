@@ -35,7 +35,7 @@ def terms_of(text: str, most: int = 1 << 20) -> Iterator[list[bytes]]:
         at = to
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", most: int = 400_000) -> DataFrame:
+def term_counts(docs: DataFrame, text_col: str = "text", most: int = 200_000) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of a term in a group and the group's documents with it; a row with null
     term for each group. Tasks sum up at most about `most` terms before they hand them on."""
 
@@ -155,7 +155,7 @@ def _tile(key: tuple, cells: pd.DataFrame, rows: int) -> pd.DataFrame:
     return pd.DataFrame({"lang": lang, "g": g + a * rows, "h": h + b * rows, "sum": sums[g, h], "seen": seen[g, h]})
 
 
-def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, rows: int = 64, width: int = 4096, text_col: str = "text") -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, rows: int = 64, width: int = 1024, text_col: str = "text") -> DataFrame:
     """lang, source, part, item, value, rank: part `pair` has every other source of the language by divergence, part `term`
     the terms that a source has more of than its language, the first `top`.
 
