@@ -171,7 +171,8 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, rows: int = 64,
     kept = saved(kept, "terms-kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     terms = kept.join(langs, "lang").withColumn("blocks", F.ceil(F.col("v") / width)).withColumn("block", F.expr("pmod(xxhash64(term), blocks)"))
-    terms = terms.withColumn("col", F.row_number().over(Window.partitionBy("lang", "block").orderBy(F.desc("df"), "term")) - 1)
+    # by both: a plan that has met by language would number all of a language's terms in one task
+    terms = terms.repartition("lang", "block").withColumn("col", F.row_number().over(Window.partitionBy("lang", "block").orderBy(F.desc("df"), "term")) - 1)
     cells = saved(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]), "cells")
     own = cells.groupBy("lang", "source").agg(F.sum("n").alias("own_n"))
     groups = counts.filter("term is null").select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
