@@ -23,6 +23,9 @@ from . import detail, schemas
 from .session import scratch
 from .summary import Dims, summary_jobs
 
+#: Of a file of a simulated topic.
+RECORDS = 100_000
+
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -40,10 +43,12 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _topic(texts: DataFrame, name: str) -> DataFrame:
-    """Texts as a topic has them: written once, a record a line, so that readers don't make them anew in each expression."""
+    """Texts as a topic has them: written once, so that readers don't make them anew in each expression, and compressed, as
+    they say the same names in each record. A file holds few records, so that a task that reads some megabytes of them
+    doesn't unpack gigabytes."""
     path = f"{scratch(texts.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    texts.write.text(path)
-    return texts.sparkSession.read.text(path)
+    texts.write.option("compression", "zstd").option("maxRecordsPerFile", RECORDS).parquet(path)
+    return texts.sparkSession.read.schema("value STRING").parquet(path)
 
 
 def log_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,10 +70,15 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return readers.page_log(log_texts(spark, sf)).drop("et")
 
 
-def change_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines, orders and their payments as a topic of change records (value)."""
-    o = _dealt(_t(spark, sf, "orders")).withColumn("ts", epoch_seconds("o_orderdate"))
-    li = _dealt(_t(spark, sf, "lineitem")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "ts"), "l_orderkey")
+def _changes(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
+    """Order lines, orders and their payments as change records (value), not written yet. part: of even orders (0) or odd
+    ones (1) alone."""
+    def of(table: str, key: str) -> DataFrame:
+        rows = _t(spark, sf, table)
+        return _dealt(rows if part is None else rows.filter(F.col(key) % 2 == part))
+
+    o = of("orders", "o_orderkey").withColumn("ts", epoch_seconds("o_orderdate"))
+    li = of("lineitem", "l_orderkey").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "ts"), "l_orderkey")
 
     def texts(rows: DataFrame, table: str, kind, **data) -> DataFrame:
         cells = F.create_map(*(x for n, c in data.items() for x in (F.lit(n), _text(c))))
@@ -78,7 +88,12 @@ def change_texts(spark: SparkSession, sf: str) -> DataFrame:
     lines = texts(li, "order_detail", F.when(F.col("l_linenumber") == 6, "update").otherwise("insert"), id=F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), order_id="l_orderkey", user_id="o_custkey", course_id=F.col("l_partkey") % 50, create_time=create, origin_amount=F.col("l_quantity").cast("long"), coupon_reduce=F.lit(1), final_amount=F.col("l_quantity").cast("long") - 1)
     infos = texts(o, "order_info", F.lit("insert"), id="o_orderkey", province_id=F.col("o_custkey") % 27, out_trade_no=F.concat(F.lit("t"), "o_orderkey"), session_id=F.concat(F.lit("s"), "o_orderkey"), trade_body="o_orderpriority")
     paid = texts(o.withColumn("ts", F.col("ts") + 60), "payment_info", F.lit("update"), order_id="o_orderkey", payment_status=F.when(F.col("o_orderstatus") == "F", "1602").otherwise("1601"), payment_type=F.col("o_custkey") % 3, callback_time=create)
-    return _topic(lines.unionByName(infos).unionByName(paid), "topic-db")
+    return lines.unionByName(infos).unionByName(paid)
+
+
+def change_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines, orders and their payments as a topic of change records (value)."""
+    return _topic(_changes(spark, sf), "topic-db")
 
 
 def _records(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
@@ -198,11 +213,11 @@ def dim_config_stream(spark: SparkSession, sf: str) -> DataFrame:
     anew with another column, one is added and one stays, and odd orders follow. All three tables, as they stand."""
     root = f"{scratch(spark)}/dim-stream-{uuid.uuid4().hex}"
     config, tables = ConfigTable(spark, f"{root}/config", ["source_table"]), KeyedTables(spark, f"{root}/tables")
-    order = F.coalesce(F.get_json_object("value", "$.data.order_id"), F.get_json_object("value", "$.data.id")).cast("long")
-    change_texts(spark, sf).withColumn("part", order % 2).write.partitionBy("part").text(f"{root}/all")
     row = lambda op, ts, table, key, columns: (json.dumps({"op": op, "ts_ms": ts, "after": {"source_table": table, "sink_table": f"dim_{table}", "sink_columns": columns, "sink_pk": key}}),)
     steps = [[row("r", 1, "order_info", "id", "id,province_id"), row("r", 1, "order_detail", "id", "id,course_id")], [row("u", 2, "order_info", "id", "id,trade_body"), row("c", 2, "payment_info", "order_id", "order_id,payment_status"), row("r", 2, "order_detail", "id", "id,course_id")]]
     for k, events in enumerate(steps):
+        # each order's records are written once, straight into the topic's part
+        _changes(spark, sf, k).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(f"{root}/all/part={k}")
         spark.createDataFrame(events, "value string").coalesce(1).write.mode("append").text(f"{root}/conf")
         jobs.control(readers.change_capture(readers.file_topic(spark, f"{root}/conf")), config, f"{root}/cp-conf")
         jobs.dim(readers.file_topic(spark, f"{root}/all/part=[0-{k}]"), config, tables, f"{root}/cp")
