@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.plans import job_catalog
 from tidewright.plans.session import scratch
+from tidewright.sources.keyed import KeyedTables
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,16 @@ def test_config_stream_writes_records_once_and_compressed(spark):
     key = F.coalesce(F.get_json_object("d", "$.order_id"), F.get_json_object("d", "$.id")).cast("long")
     want = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() * n for t, n in (("lineitem", 1), ("orders", 2)))
     assert records.count() == want and records.filter(key % 2 != F.col("part")).count() == 0
+
+
+def test_keyed_tables_hash_behind_the_shuffle(spark, tmp_path):
+    rows = [("t", 1, str(k), "insert", k, {"id": str(k), "v": "x"}) for k in range(50)]
+    df = spark.createDataFrame(rows, "table string, generation long, key string, type string, ts long, data map<string,string>")
+    tables = KeyedTables(spark, str(tmp_path / "t"))
+    tables.put(df, 0)
+    assert glob.glob(f"{tmp_path}/t/changes/batch=0/table=t/generation=1/bucket=*/*.zstd.parquet")
+    ties = spark.read.parquet(f"{tmp_path}/t/changes").select("tie", F.xxhash64(F.to_json("data")).alias("want")).collect()
+    assert len(ties) == 50 and all(r.tie == r.want for r in ties)
+    tables.compact()
+    assert glob.glob(f"{tmp_path}/t/base/batch=0/table=t/generation=1/bucket=*/*.zstd.parquet")
+    assert tables.read("t", 1, ["id", "v"]).count() == 50

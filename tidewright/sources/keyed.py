@@ -36,9 +36,11 @@ class KeyedTables:
     def put(self, rows: DataFrame, batch: int) -> None:
         """rows: table, generation, key, type (delete, or anything else), ts, data. A batch that runs again replaces what it
         wrote. Rows without a key can't be found again and are left out; of equal ts the data decide."""
-        out = rows.filter("key IS NOT NULL").select("table", F.col("generation").cast("long").alias("generation"), self._bucket(F.col("key")).alias("bucket"), "key", "type", "ts", F.xxhash64(F.to_json("data")).alias("tie"), "data")
-        # few files a bucket, and none too large: adaptive execution splits and joins the parts of a rebalance
-        out.hint("rebalance", *PLACE).write.mode("overwrite").partitionBy(*PLACE).parquet(f"{self.root}/changes/batch={batch}")
+        out = rows.filter("key IS NOT NULL").select("table", F.col("generation").cast("long").alias("generation"), self._bucket(F.col("key")).alias("bucket"), "key", "type", "ts", "data")
+        # few files a bucket, and none too large: adaptive execution splits and joins the parts of a rebalance; ties are hashes,
+        # which don't compress, so they are made behind it
+        out = out.hint("rebalance", *PLACE).select(*PLACE, "key", "type", "ts", F.xxhash64(F.to_json("data")).alias("tie"), "data")
+        out.write.option("compression", "zstd").mode("overwrite").partitionBy(*PLACE).parquet(f"{self.root}/changes/batch={batch}")
 
     def _folders(self, kind: str, batches: list[int], table: str, generation: int, buckets: set[int] | None) -> dict[int, list[str]]:
         """Folders by bucket, in order of their batches."""
@@ -106,7 +108,7 @@ class KeyedTables:
         # a bucket whose keys are all gone has a base too, with a row that marks it
         none = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in CELLS.split(", "))]
         out = out.unionByName(self._load("changes", later).select(*PLACE).distinct().select(*PLACE, *none))
-        out.hint("rebalance", *PLACE).write.mode("overwrite").partitionBy(*PLACE).parquet(f"{self.root}/base/batch={upto}")
+        out.hint("rebalance", *PLACE).write.option("compression", "zstd").mode("overwrite").partitionBy(*PLACE).parquet(f"{self.root}/base/batch={upto}")
         for n in changes:
             if n <= last:
                 self.fs.delete(self._path(f"{self.root}/changes/batch={n}"), True)
