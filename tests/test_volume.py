@@ -3,9 +3,10 @@
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidewright.plans import job_catalog
+from tidewright.plans import catalog, job_catalog
 from tidewright.plans.session import scratch
 from tidewright.sources.keyed import KeyedTables
 
@@ -55,3 +56,9 @@ def test_keyed_tables_hash_behind_the_shuffle(spark, tmp_path):
     tables.compact()
     assert glob.glob(f"{tmp_path}/t/base/batch=0/table=t/generation=1/bucket=*/*.zstd.parquet")
     assert tables.read("t", 1, ["id", "v"]).count() == 50
+
+
+@pytest.mark.parametrize("query", [job_catalog.dim_route, job_catalog.dwd_base_db, catalog.config_route])
+def test_routing_does_not_shuffle_records(spark, query):
+    plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(table" not in plan and "BroadcastHashJoin" in plan

@@ -19,18 +19,19 @@ def current_config(events: DataFrame, keys: list[str], order: str = "ts_ms") ->
 def route_dim(records: DataFrame, config: DataFrame) -> DataFrame:
     """Change records of configured tables, cut to their columns, with the change type as a column of the data.
 
-    The configuration is joined by its statistics: a small one is broadcast, as a rule, a large one shuffled. Where its rows
-    have a generation, the records get it."""
+    The configuration, a few rows a source table, is broadcast: a shuffle by table would bring all records of one to a single
+    task. Where its rows have a generation, the records get it."""
     more = ["generation"] if "generation" in config.columns else []
     cfg = config.select(F.col("source_table").alias("table"), "sink_table", "sink_columns", "sink_pk", *more)
-    out = records.join(cfg, "table").withColumn("data", with_entry(prune("data", "sink_columns"), "type", F.col("type")))
+    out = records.join(F.broadcast(cfg), "table").withColumn("data", with_entry(prune("data", "sink_columns"), "type", F.col("type")))
     return out.select("sink_table", "sink_pk", "type", "ts", "data", *more)
 
 
 def route_dwd(records: DataFrame, config: DataFrame) -> DataFrame:
-    """Change records by table and type to their sinks, cut to their columns, with ts as a column of the data."""
+    """Change records by table and type to their sinks, cut to their columns, with ts as a column of the data. The
+    configuration is broadcast, as in route_dim."""
     cfg = config.select(F.col("source_table").alias("table"), F.col("source_type").alias("type"), "sink_table", "sink_columns")
-    out = records.join(cfg, ["table", "type"]).withColumn("data", with_entry(prune("data", "sink_columns"), "ts", F.col("ts")))
+    out = records.join(F.broadcast(cfg), ["table", "type"]).withColumn("data", with_entry(prune("data", "sink_columns"), "ts", F.col("ts")))
     return out.select("sink_table", "ts", "data")
 
 
