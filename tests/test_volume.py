@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.operators import joins
 from tidewright.plans import catalog, job_catalog
 from tidewright.plans.session import scratch
 from tidewright.sources.keyed import KeyedTables
@@ -62,3 +63,26 @@ def test_keyed_tables_hash_behind_the_shuffle(spark, tmp_path):
 def test_routing_does_not_shuffle_records(spark, query):
     plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning(table" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_details_are_shuffled_once(spark):
+    detail = spark.createDataFrame([(f"d{k}", f"o{k % 4}") for k in range(8)], "id string, order_id string")
+    info = spark.createDataFrame([("o0", "s0"), ("o1", "s1"), ("o2", None), ("o1", "s9")], "id string, session_id string")
+    visits = spark.createDataFrame([("s0", "7"), ("s0", "8"), ("s9", None)], "session_id string, source_id string")
+    rest = [c for c in joins.NAMES if c not in ("id", "order_id", "session_id", "source_id", "ts", "province_id", "out_trade_no", "trade_body")]
+    detail = detail.withColumns({c: F.lit(c) for c in rest}).withColumn("ts", F.lit(1).cast("long"))
+    info = info.withColumns({c: F.lit(c) for c in ("province_id", "out_trade_no", "trade_body")})
+    pay = spark.createDataFrame([("o0",), ("o2",)], "order_id string").withColumns({c: F.lit(c) for c in ("alipay_trade_no", "trade_body", "payment_type", "payment_status", "callback_time", "callback_content")}).withColumn("ts", F.lit(2).cast("long"))
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.order_details(detail, info, visits)
+        paid = joins.paid_details(pay, out)
+        rows = sorted((r.id, r.session_id, r.source_id) for r in out.fillna("-").collect())
+        # by session: orders and visits; by order: both of them, details and payments
+        counts = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (out, paid)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert rows == sorted([("d0", "s0", "7"), ("d0", "s0", "8"), ("d4", "s0", "7"), ("d4", "s0", "8"), ("d1", "s1", "-"), ("d1", "s9", "-"), ("d5", "s1", "-"), ("d5", "s9", "-"), ("d2", "-", "-"), ("d6", "-", "-")])
+    assert counts == [4, 5]
+    assert sorted((r.id, r.ts) for r in paid.collect()) == sorted((r[0], 2) for r in rows if r[0] not in ("d1", "d5"))

@@ -36,10 +36,12 @@ def _seen(visits: DataFrame) -> DataFrame:
 def order_details(detail: DataFrame, info: DataFrame, visits: DataFrame, streaming: bool = False, hold: str = "10 seconds") -> DataFrame:
     """Details of orders with their order, and the source of the session if its visit to the order page is known.
 
-    In a stream all sides are held for `hold`: pairs further apart in event time aren't joined, and a detail without a
+    In batch the visits go to the orders, which are fewer, so that details are shuffled once, by their order. In a stream all sides are held for `hold`: pairs further apart in event time aren't joined, and a detail without a
     visit comes out, once, when the watermark has passed it; order_detail_changes gives it at once, and corrects it."""
-    both = _with_orders(detail, info, streaming, hold)
-    out = _with_visits(both, _seen(visits) if streaming else visits, streaming, hold, "left")
+    if streaming:
+        out = _with_visits(_with_orders(detail, info, True, hold), _seen(visits), True, hold, "left")
+    else:
+        out = _with_orders(detail, _with_visits(info, visits, False, hold, "left"), False, hold)
     return out.select(*NAMES, F.current_timestamp().alias("row_op_ts"), *(["et"] if streaming else []))
 
 
