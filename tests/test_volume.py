@@ -65,6 +65,12 @@ def test_routing_does_not_shuffle_records(spark, query):
     assert "SortMergeJoin" not in plan and "hashpartitioning(table" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_parsed_records_are_compressed(spark):
+    _, (path,) = made(spark, "changes-*", lambda: job_catalog.order_rows(spark, SF))
+    files = glob.glob(f"{path}/table=*/part-*")
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_details_are_shuffled_once(spark):
     detail = spark.createDataFrame([(f"d{k}", f"o{k % 4}") for k in range(8)], "id string, order_id string")
     info = spark.createDataFrame([("o0", "s0"), ("o1", "s1"), ("o2", None), ("o1", "s9")], "id string, session_id string")
