@@ -61,7 +61,12 @@ def test_keyed_tables_hash_behind_the_shuffle(spark, tmp_path):
 
 @pytest.mark.parametrize("query", [job_catalog.dim_route, job_catalog.dwd_base_db, catalog.config_route])
 def test_routing_does_not_shuffle_records(spark, query):
-    plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the records are small here
+    try:
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
     assert "SortMergeJoin" not in plan and "hashpartitioning(table" not in plan and "BroadcastHashJoin" in plan
 
 
@@ -92,3 +97,15 @@ def test_details_are_shuffled_once(spark):
     assert rows == sorted([("d0", "s0", "7"), ("d0", "s0", "8"), ("d4", "s0", "7"), ("d4", "s0", "8"), ("d1", "s1", "-"), ("d1", "s9", "-"), ("d5", "s1", "-"), ("d5", "s9", "-"), ("d2", "-", "-"), ("d6", "-", "-")])
     assert counts == [4, 5]
     assert sorted((r.id, r.ts) for r in paid.collect()) == sorted((r[0], 2) for r in rows if r[0] not in ("d1", "d5"))
+
+
+def test_upserted_details_are_joined_once(spark):
+    out, paths = made(spark, "upsert-*", lambda: job_catalog.upserted_details(spark, SF))
+    # the batches read these rows, which are whole
+    (rows,) = [p for p in paths if p.endswith("-rows")]
+    details = job_catalog.details(spark, SF)
+    assert spark.read.parquet(rows).count() == details.count()
+    assert out.count() == details.select("id").distinct().count()
+    # one shuffle, and no sort before it
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange") :]

@@ -23,7 +23,7 @@ from . import detail, schemas
 from .session import scratch
 from .summary import Dims, summary_jobs
 
-#: Of a file of a simulated topic.
+#: Of a file of a simulated topic or source.
 RECORDS = 100_000
 
 
@@ -305,8 +305,10 @@ def detail_json(spark: SparkSession, sf: str) -> DataFrame:
 
 def upserted_details(spark: SparkSession, sf: str) -> DataFrame:
     """Details upserted in three batches, the middle one twice and compacted after it, then read by key."""
-    path, rows = f"{scratch(spark)}/upsert-{uuid.uuid4().hex}", details(spark, sf).withColumn("version", F.lit(0))
-    write = sinks.upsert(path, "id", ["row_op_ts", "arrival"], ["id", "final_amount", "version", "row_op_ts", "arrival"])
+    path, columns = f"{scratch(spark)}/upsert-{uuid.uuid4().hex}", ["id", "final_amount", "version", "row_op_ts", "arrival"]
+    # the batches' source, joined once
+    details(spark, sf).withColumn("version", F.lit(0)).select(*columns).write.option("compression", "zstd").option("maxRecordsPerFile", RECORDS).parquet(f"{path}-rows")
+    rows, write = spark.read.parquet(f"{path}-rows"), sinks.upsert(path, "id", ["row_op_ts", "arrival"], columns)
     write(rows, 0)
     for _ in range(2):
         write(rows.filter("arrival % 2 = 0").withColumn("version", F.lit(1)), 1)

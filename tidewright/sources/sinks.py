@@ -71,7 +71,7 @@ def upsert(path: str, key: str, order: list[str], columns: list[str], richer: st
         jvm = batch.sparkSession._jvm.org.apache.hadoop.fs.Path
         if not jvm(path).getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(jvm(f"{path}/_columns/_SUCCESS")):
             last.limit(0).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/_columns")
-        last.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        last.withColumn("batch", F.lit(number)).write.option("compression", "zstd").mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return write
 
@@ -95,9 +95,11 @@ def _upserted(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], int
 
 
 def _current(rows: DataFrame, key: str, richer: str | None) -> DataFrame:
+    """Of each key the last batch's row. As a batch has a key once, tasks needn't look for the last before the shuffle, which
+    would sort all that they read."""
     rank = [F.col(richer).isNotNull().desc()] if richer else []
     w = Window.partitionBy(key).orderBy(*rank, F.col("batch").desc())
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return rows.repartition(F.col(key)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def read_upserted(spark: SparkSession, path: str, key: str, richer: str | None = None, deleted: str | None = None) -> DataFrame:
@@ -114,7 +116,7 @@ def compact_upserted(spark: SparkSession, path: str, key: str, richer: str | Non
     if not batches:
         return
     top = batches[-1]
-    _current(rows, key, richer).write.mode("overwrite").parquet(f"{path}/_base-{top}")
+    _current(rows, key, richer).write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/_base-{top}")
     jvm = spark._jvm.org.apache.hadoop.fs.Path
     fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for name in [f"batch={b}" for b in batches] + [f"_base-{last}"]:
